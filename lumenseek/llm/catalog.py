@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import packing, simple8b
+from lumenseek.llm import decontamination, packing, secrets, simple8b
 
 
 def queries():
-    return {"op8_simple8b": simple8b.op8_simple8b, "op10_packing": packing.op10_packing}
+    return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op3_decontamination": decontamination.op3_decontamination,
+        "op8_simple8b": simple8b.op8_simple8b,
+        "op10_packing": packing.op10_packing,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op3_decontamination": decontamination.ORACLE_SQL}
