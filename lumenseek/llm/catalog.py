@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import decontamination, packing, secrets, simple8b
+from lumenseek.llm import decontamination, packing, quality, secrets, simple8b, toxicity
 
 
 def queries():
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_quality": quality.op2_quality,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op8_simple8b": simple8b.op8_simple8b,
         "op10_packing": packing.op10_packing,
     }
