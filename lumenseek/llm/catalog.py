@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import decontamination, packing, quality, secrets, simple8b, toxicity
+from lumenseek.llm import decontamination, extraction, packing, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
@@ -10,11 +10,13 @@ def queries():
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_quality": quality.op2_quality,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op4_html_extraction": extraction.op4_html_extraction,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_warc": warc.op6_warc,
         "op8_simple8b": simple8b.op8_simple8b,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontamination.ORACLE_SQL}
+    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
