@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import decontamination, extraction, packing, quality, secrets, simple8b, toxicity, warc
+from lumenseek.llm import decontamination, extraction, jpeg, packing, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_html_extraction": extraction.op4_html_extraction,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_warc": warc.op6_warc,
+        "op7_jpeg": jpeg.op7_jpeg,
         "op8_simple8b": simple8b.op8_simple8b,
         "op10_packing": packing.op10_packing,
     }
