@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenseek.llm import decontamination, extraction, jpeg, packing, quality, secrets, simple8b, toxicity, warc
+from lumenseek.llm import decontamination, extraction, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
@@ -15,9 +15,10 @@ def queries():
         "op6_warc": warc.op6_warc,
         "op7_jpeg": jpeg.op7_jpeg,
         "op8_simple8b": simple8b.op8_simple8b,
+        "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
+    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_jaccard_join": jaccard.ORACLE_SQL}
