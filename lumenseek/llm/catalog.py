@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lumenseek.llm import decontamination, extraction, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_quality": quality.op2_quality,
         "op3_decontamination": decontamination.op3_decontamination,

@@ -13,6 +13,7 @@ link a member; the join then only makes pairs of different components. Every ste
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -207,13 +208,14 @@ def group_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.where("comp_a <> comp_b AND (gid_a <> gid_b OR a < b)").select("a", "b").distinct()
 
 
-def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that its links reach.
+class Classes(NamedTuple):
+    signed: DataFrame  # the rows of ``signatures``
+    nodes: DataFrame  # node, least (doc_id), copies, and the doc_key and text_key of one of its documents
+    found: DataFrame  # node, component of every node with a link
 
-    docs: doc_id and text, other columns are ignored. Null and empty texts, and those without words, have no shingles and no links: their
-    component is their own doc_id. Repeated rows are answered each and are equal sets. A null doc_id has the least doc_id of its
-    component, null if there is none. An empty table gives no rows.
-    """
+
+def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
+    """Sets, nodes and components of ``docs`` (columns doc_id and text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = common.materialize(signatures(rows, frequent(rows), percent), "signatures")
     linked = signed.where("n > 0")
@@ -224,7 +226,17 @@ def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     labelled = linked.select("node", "n", "gid", "prefix").join(_sized(known), "node", "left")
     labelled = labelled.withColumn("comp", F.xxhash64(F.coalesce("component", "node")))
     more = verified(group_pairs(labelled, percent), nodes, rows, percent)
-    found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return Classes(signed, nodes, components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+
+
+def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """For each row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that its links reach.
+
+    docs: doc_id and text, other columns are ignored. Null and empty texts, and those without words, have no shingles and no links: their
+    component is their own doc_id. Repeated rows are answered each and are equal sets. A null doc_id has the least doc_id of its
+    component, null if there is none. An empty table gives no rows.
+    """
+    signed, nodes, found = classes(docs, percent=percent)
     named = nodes.join(found, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     families = named.join(least, "component").select("node", "component_id")
@@ -234,15 +246,23 @@ def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document for each component: that with the smallest doc_id.
+    """The rows of ``docs``, with all their columns, of one document of each component: that with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays; rows without a doc_id stay only if no linked row has one.
+    Of rows that repeat its doc_id and text one stays; a null doc_id counts as the smallest. Texts without words are in no component and all stay.
     """
-    named = docs.select("doc_id", "text")
-    kept = join(named, percent=percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = common.materialize(kept, "kept").select(F.col("doc_id").alias("kept_id"))
-    rows = docs.join(_sized(kept), F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.where("doc_id IS NULL").union(rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    signed, nodes, found = classes(docs, percent=percent)
+    component = F.coalesce("component", "node")
+    chosen = nodes.join(found, "node", "left").groupBy(component.alias("c")).agg(F.min(F.struct("doc_key", "text_key")).alias("one"))
+    again = signed.where("n > 0").groupBy(_doc_key(), "text_key").count().where("count > 1").select("doc_key", "text_key", F.lit(True).alias("again"))
+    kept = common.materialize(chosen.select("one.doc_key", "one.text_key").join(again, ["doc_key", "text_key"], "left"), "kept")
+    kept = kept.select(F.col("doc_key").alias("__doc"), F.col("text_key").alias("__text"), F.col("again").alias("__again"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    marked = docs.join(_sized(kept), (doc == F.col("__doc")) & (F.xxhash64(text) == F.col("__text")))
+    once = marked.where("__again IS NULL").drop("__doc", "__text", "__again")
+    repeated = marked.where("__again").dropDuplicates(["__doc", "__text"]).drop("__doc", "__text", "__again")
+    wordless = docs.where(F.translate(text, " \t\n\v\f\r", "") == "")
+    return once.union(repeated).union(wordless)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +271,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 s AS (
   SELECT DISTINCT r, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS g
