@@ -3,11 +3,11 @@
 A document's set is its distinct 5-word shingles. Equal sets are one node. The shingles stand in one global order, those
 that many documents share last; two sets of Jaccard similarity t or more then share a shingle in their prefixes. Nodes with
 the same prefix and size form a group, group pairs that share a prefix shingle are filtered by size and position, and
-what is left is expanded to its members and verified on the whole texts.
+what is left is expanded to its members, filtered by parity bitmaps and verified on the whole texts.
 
 Only connectivity is asked for, so members of one component need no further comparison. Before the grouped join, nodes with an equal
-min-hash or group are compared with one leader each, which ties large families of near copies together with one
-link a member; the join then only makes pairs of different components. Every step is spread over the cluster.
+min-hash or group are compared with one leader each, the one with the largest share of frequent shingles: in a family of edited copies
+that is the one closest to their origin. This ties large families together with one link a member; the join then only makes pairs of different components. Every step is spread over the cluster.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ CHUNK = 2_000_000
 REPEATS = 4
 MOST_RANKED = 500_000
 MIN_HASHES = 3
-#: Rows up to which a table of ids is broadcast; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a table of ids is broadcast, some 10 to 40 bytes each; beyond, Spark shuffles both sides.
+BROADCAST_ROWS = 1_000_000
+LEAST_BITS = 64
 
 _SEEDS = [np.uint64(x) for x in (0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142, 0x9E3779B185EBCA87, 0x27D4EB2F165667C5)]
 
@@ -58,6 +59,25 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(both) and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Which of 2**k >= len(s) bits an odd number of the shingles fall on. Two bitmaps differ in no more bits than the sets do in shingles."""
+    size = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    hit = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(hit.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n_a: int, a: bytes, n_b: int, b: bytes, percent: int = PERCENT) -> bool:
+    """False only if the bitmaps prove that the sets differ in too many shingles."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # the low bits of a hash place it in every size
+        longer = x if len(x) > len(y) else y
+        folded = longer[: len(longer) // 2] ^ longer[len(longer) // 2 :]
+        x, y = (folded, y) if longer is x else (x, folded)
+    apart = int(np.unpackbits(x ^ y).sum())
+    both = (n_a + n_b - apart) // 2
+    return 100 * both >= percent * (n_a + n_b - both)
+
+
 def probe_length(n: int, percent: int = PERCENT) -> int:
     """How many first shingles of a set of n must be looked at: n - ceil(t n) + 1."""
     return n - -(-percent * n // 100) + 1
@@ -106,7 +126,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (digest of the set), n (its size), prefix (first shingles in the global order), gid (prefix and size) and keys (min-hashes) of each row."""
+    """doc_id, text_key (hash of the text), node (digest of the set), n (its size), prefix (first shingles in the global order), gid (prefix and size), keys (min-hashes), shared (share of frequent shingles) and bits (bitmap) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +134,7 @@ def signatures(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent:
         for batch in batches:
             for part in common.slices(batch, "text", 1_000_000):
                 sets = shingle_sets(part.column("text"))
-                nodes, prefixes, groups, keys = [], [], [], []
+                nodes, prefixes, groups, keys, shares, bits = [], [], [], [], [], []
                 for s in sets:
                     n = len(s)
                     if not n:
@@ -122,14 +142,19 @@ def signatures(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent:
                         prefixes.append(None)
                         groups.append(None)
                         keys.append(None)
+                        shares.append(None)
+                        bits.append(None)
                         continue
                     spread = [words.mix(s ^ seed) for seed in _SEEDS]
                     nodes.append(np.array([spread[3].sum(), spread[4].sum()], ">u8").tobytes())
                     keys.append(_signed(np.array([x.min() for x in spread[:MIN_HASHES]])))
+                    bits.append(bitmap(s))
+                    shares.append(0.0)
                     if len(hot):
                         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                         rank = np.where(hot[at] == s, ranks[at], 0)
                         if rank.any():
+                            shares[-1] = float((rank > 0).mean())
                             s = s[np.argsort(rank, kind="stable")]
                     # a set of one shingle is similar to its equals only
                     s = s[: probe_length(n, percent)] if n > 1 else s[:0]
@@ -137,11 +162,11 @@ def signatures(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent:
                     factors = words.powers(len(s) + 1)[0][: len(s)]
                     groups.append(int(_signed(words.mix(np.array([(s * factors).sum() + np.uint64(n)])))[0]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(groups, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "node", "n", "prefix", "gid", "keys"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(groups, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shares, pa.float64()), pa.array(bits, pa.binary())],
+                    ["doc_id", "text_key", "node", "n", "prefix", "gid", "keys", "shared", "bits"],
                 )
 
-    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_key bigint, node binary, n bigint, prefix array<bigint>, gid bigint, keys array<bigint>")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_key bigint, node binary, n bigint, prefix array<bigint>, gid bigint, keys array<bigint>, shared double, bits binary")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -156,9 +181,17 @@ def _doc_key() -> F.Column:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the node pairs (a, b) whose sets are similar, compared on the whole texts.
 
-    Only texts of nodes that occur in a pair are fetched, one for each.
+    Bitmaps rule most others out first. Only texts of nodes that occur in a pair that is left are fetched, one for each.
     """
-    pairs = common.materialize(pairs, "pairs")
+    sides = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b"))
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*x, percent) for x in zip(*columns)], pa.bool_()))
+
+    told = pairs.join(next(sides), "a").join(next(sides), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = common.materialize(told.mapInArrow(plausible, "a binary, b binary"), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_key", "text_key"), "node")
     asked = common.materialize(asked, "asked")
     keyed = docs.select(_doc_key(), F.xxhash64("text").alias("text_key"), "text")
@@ -176,12 +209,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
 
 
 def leader_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each node with the least node of its group and of each of its min-hashes, if their sizes allow the similarity."""
-    keyed = signed.where("n > 1").select("node", "n", F.explode(F.concat(F.col("keys"), F.array("gid"))).alias("key")).distinct()
-    least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("b"), F.max("node").alias("last")).where("b.node <> last")
-    least = least.select("key", F.col("b.node").alias("b"), F.col("b.n").alias("n_b"))
+    """Each node with the leader of its group and of each of its min-hashes, if their sizes allow the similarity."""
+    keyed = signed.where("n > 1").select("node", "n", "shared", F.explode(F.concat(F.col("keys"), F.array("gid"))).alias("key")).distinct()
+    leaders = keyed.groupBy("key").agg(F.max(F.struct("shared", "node", "n")).alias("b"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    leaders = leaders.select("key", F.col("b.node").alias("b"), F.col("b.n").alias("n_b"))
     fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    return keyed.join(least, "key").where((F.col("node") != F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct()
+    return keyed.join(leaders, "key").where((F.col("node") != F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct()
 
 
 def group_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -190,17 +223,20 @@ def group_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed: node, n, gid, prefix and comp (a hash of the component). Shingles that only one component has are dropped after a
     partial aggregation, so a shingle that a whole family of near copies shares makes no pairs.
     """
+    # of two sets, each must be so small that the other's shingles from here on can make the similarity
+    room = F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")
     tokens = signed.where("n > 1").select("gid", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
-    several = common.materialize(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "shared-shingles")
-    groups = tokens.join(_sized(several), "token").groupBy("token", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    several = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("token", "least")
+    several = common.materialize(several, "shared-shingles")
+    rows = tokens.join(_sized(several), "token").where(room >= F.col("least"))
+    groups = rows.groupBy("token", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     groups = common.materialize(groups, "groups")
-    small, large = (groups.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "pos", "lo", "hi"))) for side in ("a", "b"))
-    # of the smaller set only the index prefix counts; the first shared shingle leaves room for enough others
-    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    room = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    still = groups.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
+    groups = common.materialize(groups.join(still, "token", "left_semi").withColumn("room", room), "open-groups")
+    small, large = (groups.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "room", "lo", "hi"))) for side in ("a", "b"))
     ordered = F.expr("n_a < n_b OR (n_a = n_b AND gid_a < gid_b)")
     apart = F.expr("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)")
-    found = small.join(large, "token").where(ordered & apart & (100 * F.col("n_a") >= percent * F.col("n_b")) & (room >= needed)).select("gid_a", "gid_b").distinct()
+    found = small.join(large, "token").where(ordered & apart & F.expr("n_a <= room_b AND n_b <= room_a") & (100 * F.col("n_a") >= percent * F.col("n_b"))).select("gid_a", "gid_b").distinct()
     within = signed.where("n > 1").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"))
     members = signed.where("n > 1").select("gid", "node", "comp").distinct()
     first, second = (members.select(F.col("gid").alias(f"gid_{s}"), F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in ("a", "b"))
@@ -220,8 +256,8 @@ def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
     signed = common.materialize(signatures(rows, frequent(rows), percent), "signatures")
     linked = signed.where("n > 0")
     # copies cost nothing more: one document stands for each node
-    nodes = linked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(_doc_key(), "text_key")).alias("one"))
-    nodes = common.materialize(nodes.select("node", "least", "copies", "one.doc_key", "one.text_key"), "nodes")
+    nodes = linked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(_doc_key(), "text_key", "n", "bits")).alias("one"))
+    nodes = common.materialize(nodes.select("node", "least", "copies", "one.doc_key", "one.text_key", "one.n", "one.bits"), "nodes")
     known = components(verified(leader_pairs(linked, percent), nodes, rows, percent))
     labelled = linked.select("node", "n", "gid", "prefix").join(_sized(known), "node", "left")
     labelled = labelled.withColumn("comp", F.xxhash64(F.coalesce("component", "node")))
