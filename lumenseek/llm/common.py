@@ -58,3 +58,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
 
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def filter_rows(docs: DataFrame, keep, column: str = "text", limit: int = 2_000_000) -> DataFrame:
+    """The rows, with all their columns, for which ``keep`` (of an Arrow text column) is true.
+
+    ``keep`` sees about ``limit`` bytes at a time, and columns pass through as they are.
+    """
+    names = docs.columns
+    place = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = batch.rename_columns([f"c{i}" for i in range(len(names))])
+            for part in slices(plain, f"c{place}", limit):
+                yield part.filter(pa.array(keep(part.column(place)), pa.bool_())).rename_columns(names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -217,19 +217,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = B
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that share no window with any benchmark item."""
-    index_rows = block_count(benchmark, BLOCK_BYTES)
-    out = docs
-    for k in range(index_rows):
-        shared = docs.sparkSession.sparkContext.broadcast(block(benchmark, k, index_rows))
+    n, out = block_count(benchmark, BLOCK_BYTES), docs
+    for k in range(n):
+        shared = docs.sparkSession.sparkContext.broadcast(block(benchmark, k, n))
 
-        @F.pandas_udf("boolean")
-        def clean(texts, shared=shared):
-            import pandas as pd
+        def clean(column: pa.Array, shared=shared) -> list[bool]:
+            _, _, items = hits(column, shared.value)
+            return [row not in items for row in range(len(column))]
 
-            _, _, items = hits(pa.array([t or "" for t in texts], pa.string()), shared.value)
-            return pd.Series([row not in items for row in range(len(texts))])
-
-        out = out.where(clean(F.col("text").cast("string")))
+        out = common.filter_rows(out, clean)
     return out
 
 

@@ -2,7 +2,7 @@
 
 Every DOM node has a density: characters per tag, weighed by how few of its characters and tags belong to links. The sum of
 its children's densities is largest for the node that holds an article's paragraphs. That node is the
-article (or the article or main element around it). The least density on its path to the body is the threshold: what
+article (or the article or main element around it). The least density on its path up to the body, which itself is diluted by all else, is the threshold: what
 stands beside that path and is at least so dense belongs to the article too. Elements that by their name,
 role or class are no article text (menus, adverts, forms, reader comments and so on) are left out of the tree from the start.
 """
@@ -25,7 +25,6 @@ from lumenseek.llm import common
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form menu select button textarea title iframe object canvas svg dialog noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open paragraph, and which open elements a start tag ends, up to the given bounds.
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_LIKE = {
@@ -40,6 +39,8 @@ ENDS_LIKE = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: Elements that begin a block of text; all others, unknown ones too, run on in theirs.
+BLOCK = ENDS_PARAGRAPH | DROPPED | frozenset(ENDS_LIKE) | frozenset("html body thead tfoot caption colgroup legend summary optgroup title".split())
 ARTICLE = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words in class or id that mark what is no article text.
@@ -115,7 +116,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
         i = stack.pop()
         node = nodes[i]
         node.end = len(nodes)
-        if node.tag not in INLINE:
+        if node.tag in BLOCK:
             put()
         if node.tag in ARTICLE:
             article_depth -= 1
@@ -154,13 +155,13 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             continue
         tag, attributes = tag.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            if tag in INLINE:
+            if tag not in BLOCK:
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag == tag:
                         while len(stack) > k:
                             close()
                         break
-                    if nodes[stack[k]].tag not in INLINE:
+                    if nodes[stack[k]].tag in BLOCK:
                         break
             elif tag == "p":
                 close_to({"p"}, ENDS_PARAGRAPH - {"p"})
@@ -169,7 +170,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             continue
         if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
             if tag in ENDS_PARAGRAPH:
                 close_to({"p"}, ENDS_PARAGRAPH - {"p"})
             if tag in ENDS_LIKE:
@@ -184,7 +185,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             elif tag == "hr":
                 put()
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
             put()
         dropped = up.dropped or _dropped(tag, attributes, article_depth > 0)
         nodes.append(_Node(tag, stack[-1], up.link or tag == "a", dropped))
@@ -222,18 +223,18 @@ def main_text(page: str | None) -> str:
         return ""
     body = next((i for i, n in enumerate(nodes) if n.tag == "body"), 0)
     for node in nodes:
-        if not node.dropped and node.tag not in INLINE:
+        if not node.dropped and (node.tag in BLOCK or node.parent < 0):
             node.density = _density(node, nodes[body])
             if node.parent >= 0:
                 nodes[node.parent].children_density += node.density
     inside = range(body, nodes[body].end)
-    best = max((i for i in inside if not nodes[i].dropped and nodes[i].tag not in INLINE), key=lambda i: nodes[i].children_density, default=body)
+    best = max((i for i in inside if not nodes[i].dropped and nodes[i].tag in BLOCK or not i), key=lambda i: nodes[i].children_density, default=body)
     path = [best]
     while path[-1] != body and nodes[path[-1]].parent >= 0:
         path.append(nodes[path[-1]].parent)
     best = next((i for i in path if nodes[i].tag in ARTICLE), best)
     path = path[path.index(best) :]
-    threshold = min(nodes[i].density for i in path)
+    threshold = min(nodes[i].density for i in path if i != body or best == body)
     taken = [(best, nodes[best].end)]
     on_path = set(path)
     if nodes[best].tag not in ARTICLE:

@@ -22,6 +22,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenseek.llm import common
 
@@ -147,21 +148,21 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     One row per row, in any number and with any other columns; existing columns of the new names are replaced. A
     null text has no spans and stays null, an empty one has none. Runs in the tasks that read the rows, without a shuffle.
     """
-    span = "array<struct<start:bigint,end:bigint,kind:string>>"
+    kept = [c for c in docs.columns if c not in ("secret_spans", "redacted_text")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("secret_spans"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
-    @F.pandas_udf(f"struct<secret_spans:{span},redacted_text:string>")
-    def of(texts):
-        import pandas as pd
-
-        rows = []
-        for t in texts:
-            found = spans(t or "")
-            rows.append(([{"start": s, "end": e, "kind": k} for s, e, k in found], redact(t, found) if found else t))
-        return pd.DataFrame(rows, columns=["secret_spans", "redacted_text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "secret_spans", 2_000_000):
+                texts = part.column("secret_spans").to_pylist()
+                found = [spans(t or "") for t in texts]
+                redacted = [redact(t, f) if f else t for t, f in zip(texts, found)]
+                told = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in f] for f in found], span)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], told, pa.array(redacted, pa.string())], [*kept, "secret_spans", "redacted_text"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("secret_spans", "redacted_text")]
-    both = docs.select(*kept, of(F.col(f"`{text}`").cast("string")).alias("__found"))
-    return both.select(*kept, "__found.secret_spans", "__found.redacted_text")
+    types = "secret_spans array<struct<start:bigint,end:bigint,kind:string>>, redacted_text string"
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(types).fields]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def digest(docs: DataFrame) -> DataFrame:
         return ",".join(f"{k}:{s}:{e}" for s, e, k in found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text")):
             found = [spans(t) for t in common.texts_of(batch.column("text"))]
             base = [[x for x in f if x[2] != "random"] for f in found]
             counts = [pa.array([sum(x[2] == kind for x in f) for f in found], pa.int64()) for kind in KINDS]

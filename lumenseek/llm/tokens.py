@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Cached pieces per Python worker, and the longest piece that is kept.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 CACHE_CHARS = 64
 #: The id that ends a document in the files and sequences.
 DOCUMENT_END = 2

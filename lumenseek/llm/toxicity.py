@@ -10,7 +10,8 @@ Scoring uses that the output is linear: each table row adds one number to the di
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -99,14 +100,33 @@ def bag(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return unique.astype(np.int32), np.bincount(inverse, weight, len(unique)).astype(np.float32)
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int = EPOCHS, kept: int = KEPT_EPOCHS, rate: float = RATE) -> Model:
+class Bags(NamedTuple):
+    """Texts as ranges of two long arrays, which keeps many of them in little memory."""
+
+    buckets: np.ndarray
+    weights: np.ndarray
+    bounds: np.ndarray
+    labels: np.ndarray
+
+
+def bags(texts: Sequence[str], labels: Sequence[int], bits: int = BITS) -> Bags:
+    buckets, weights, sizes = array("i"), array("f"), [0]
+    for text in texts:
+        at, weight = bag(text, bits)
+        buckets.frombytes(at.tobytes())
+        weights.frombytes(weight.tobytes())
+        sizes.append(len(at))
+    return Bags(np.frombuffer(buckets, np.int32), np.frombuffer(weights, np.float32), np.cumsum(sizes), np.asarray(labels, np.int64))
+
+
+def fit(found: Bags, size: int, epochs: int = EPOCHS, kept: int = KEPT_EPOCHS, rate: float = RATE) -> Model:
     """Train table, softmax and biases jointly by AdaGrad steps on the cross entropy, one text at a time in a fixed shuffled order.
 
     With labels of one class only, or none, there is nothing to tell apart: all texts get the same score.
     """
-    positive = sum(y for *_, y in examples)
-    if not positive or positive == len(examples):
-        return Model(np.zeros(size, np.float32), 0.0 if not examples else 4.0 if positive else -4.0)
+    n, positive = len(found.labels), int(found.labels.sum())
+    if not positive or positive == n:
+        return Model(np.zeros(size, np.float32), 0.0 if not n else 4.0 if positive else -4.0)
     rng = np.random.default_rng(11)
     table = (rng.random((size, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
     out = rng.random((DIMENSIONS, 2), np.float32) - 0.5
@@ -114,15 +134,16 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: i
     seen, seen_out, seen_bias = np.full(size, 1e-4, np.float32), 1e-2, 1e-2
     total, total_bias = np.zeros(size, np.float32), 0.0
     for epoch in range(epochs):
-        for i in rng.permutation(len(examples)):
-            at, weights, label = examples[i]
-            if not len(at):
+        for i in rng.permutation(n):
+            a, b = found.bounds[i], found.bounds[i + 1]
+            if a == b:
                 continue
+            at, weights = found.buckets[a:b], found.weights[a:b]
             mean = weights @ table[at]
             z = mean @ out + bias
             g = np.exp(z - z.max())
             g /= g.sum()
-            g[label] -= 1
+            g[found.labels[i]] -= 1
             back = out @ g
             seen[at] += weights * weights * float(back @ back)
             seen_out += float(mean @ mean) * float(g @ g)
@@ -140,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     """The model, learnt in one task from about ``rows`` labelled documents outside the held-out fold, of ``most_bytes`` of text in all."""
 
     def learn(texts: list[str], ys: list[int]) -> bytes:
-        model = fit([(*bag(t, bits), y) for t, y in zip(texts, ys)], 1 << bits)
+        model = fit(bags(texts, ys, bits), 1 << bits)
         return np.append(model.table, np.float32(model.bias)).tobytes()
 
     found = sampling.learnt(sampling.training_rows(docs, labels, label, rows), learn, most_bytes)
@@ -172,16 +193,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        column = pa.array([t or "" for t in texts], pa.string())
-        parts = [logits(column.slice(a, 50), shared.value) for a in range(0, len(column), 50)]
-        return pd.Series(sigmoid(np.concatenate(parts)) < threshold if parts else [], dtype=bool)
-
-    return docs.where(clean(F.col("text").cast("string")))
+    return common.filter_rows(docs, lambda column: sigmoid(logits(column, shared.value)) < threshold, limit=500_000)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
