@@ -6,7 +6,7 @@ the same prefix and size form a group, group pairs that share a prefix shingle a
 what is left is expanded to its members, filtered by parity bitmaps and verified on the whole texts.
 
 Only connectivity is asked for, so members of one component need no further comparison. Before the grouped join, nodes with an equal
-min-hash or group are compared with one leader each, the one with the largest share of frequent shingles: in a family of edited copies
+min-hash or group are compared with one leader each, the one whose shingles are shared most: in a family of edited copies
 that is the one closest to their origin. This ties large families together with one link a member; the join then only makes pairs of different components. Every step is spread over the cluster.
 """
 
@@ -26,10 +26,13 @@ from lumenseek.llm.components import components
 SHINGLE = 5
 #: Similarity as a percentage, so that comparisons are exact.
 PERCENT = 75
-#: The order: a shingle repeated so often within a task's chunk of shingles is counted as frequent; at most so many are ranked. Any order gives the same result.
-CHUNK = 2_000_000
-REPEATS = 4
-MOST_RANKED = 500_000
+#: The order is by how many sets share a shingle, told approximately: by the top HASH_BITS of its hash, and sets are told
+#: apart by TAG_BITS of their digest (so copies count once). At most MOST_RANKED shingles, those of most sets, are placed after
+#: all others. Any order gives the same result; a better one makes fewer pairs.
+HASH_BITS, TAG_BITS = 30, 6
+CHUNK = 4_000_000
+RANGE_BYTES = 16 << 20
+MOST_RANKED = 8_000_000
 MIN_HASHES = 3
 #: Rows up to which a table of ids is broadcast, some 10 to 40 bytes each; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -87,50 +90,89 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, np.uint64).view(np.int64)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and their ranks from 1 on by ascending count."""
+def digest(s: np.ndarray) -> bytes:
+    """16 bytes that equal sets have in common."""
+    return np.array([words.mix(s ^ seed).sum() for seed in _SEEDS[3:]], ">u8").tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending values as 16-bit steps; 65,535 goes on with the next one."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    more, rest = np.divmod(steps, np.uint64(65535))
+    out = np.full(len(values) + int(more.sum()), 65535, "<u2")
+    out[np.cumsum(more + np.uint64(1)).astype(np.int64) - 1] = rest
+    return out.tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, "<u2")
+    return np.cumsum(steps, dtype=np.uint64)[steps != 65535]
+
+
+def shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hash tops of shingles that several sets share, and the level of each: the logarithm of how many sets, up to 2**TAG_BITS.
+
+    Tasks sort the hashes they see and deal them to ranges in packed form; the number of ranges follows the size of the input,
+    so that each is counted in bounded memory. The driver gets ``MOST_RANKED`` at most.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = max(8, min(-(-size // RANGE_BYTES), 100_000))
+    edges = np.array([i * (1 << (HASH_BITS + TAG_BITS)) // ranges for i in range(ranges + 1)], np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
         def put() -> pa.RecordBatch:
-            unique, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= REPEATS
-            return pa.RecordBatch.from_arrays([pa.array(_signed(unique[often])), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
+            values = np.unique(np.concatenate(held))
+            at = np.searchsorted(values, edges)
+            full = np.flatnonzero(np.diff(at))
+            packed = [pack_sorted(values[at[i] : at[i + 1]] - edges[i]) for i in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packed, pa.binary())], ["range", "data"])
 
         for batch in batches:
             for part in common.slices(batch, "text", 1_000_000):
-                sets = shingle_sets(part.column("text"))
-                held += sets
-                size += sum(map(len, sets))
-                if size >= CHUNK:
+                for s in shingle_sets(part.column("text")):
+                    if len(s) > 1:
+                        tag = np.uint64(digest(s)[0] & ((1 << TAG_BITS) - 1))
+                        held.append((s >> np.uint64(64 - HASH_BITS)) << np.uint64(TAG_BITS) | tag)
+                        n += len(s)
+                if n >= CHUNK:
                     yield put()
-                    held, size = [], 0
-        if size:
+                    held, n = [], 0
+        if held:
             yield put()
 
-    counted = common.materialize(docs.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
-    level = F.floor(F.log2("n"))
-    kept, least = 0, 0
-    for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if kept + row["count"] > MOST_RANKED:
+    def count(table: pa.Table) -> pa.Table:
+        base = edges[table.column("range")[0].as_py()]
+        values = np.unique(np.concatenate([unpack_sorted(d.as_buffer()) for c in table.column("data").chunks for d in c])) + base
+        first = np.flatnonzero(np.diff(values >> np.uint64(TAG_BITS), prepend=np.uint64(1 << 63)))
+        sets = np.diff(np.append(first, len(values)))
+        level = np.frexp(sets.astype(np.float64))[1] - 1
+        tops = (values[first] >> np.uint64(TAG_BITS)).astype("<u4")
+        found = [(k, tops[level == k]) for k in range(1, TAG_BITS + 1)]
+        return pa.table([pa.array([k for k, _ in found], pa.int32()), pa.array([len(t) for _, t in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary())], ["level", "n", "data"])
+
+    dealt = docs.select("text").mapInArrow(deal, "range bigint, data binary")
+    counted = common.materialize(dealt.groupBy("range").applyInArrow(count, "level int, n bigint, data binary"), "shared")
+    kept, least = 0, 1
+    for row in counted.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        if kept + row["n"] > MOST_RANKED:
             least = row["level"] + 1
             break
-        kept += row["count"]
-    table = counted.where(level >= least).toArrow()
-    hashes, counts = table["shingle"].to_numpy().astype(np.int64).view(np.uint64), table["n"].to_numpy()
-    ranks = np.empty(len(hashes), np.int64)
-    ranks[np.lexsort((hashes, counts))] = np.arange(1, len(hashes) + 1)
-    order = np.argsort(hashes)
-    return hashes[order], ranks[order]
+        kept += row["n"]
+    rows = counted.where(F.col("level") >= least).collect()
+    tops = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["data"], "<u4") for r in rows)])
+    levels = np.concatenate([np.zeros(0, np.uint8), *(np.full(r["n"], r["level"], np.uint8) for r in rows)])
+    order = np.argsort(tops)
+    return tops[order], levels[order]
 
 
-def signatures(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (digest of the set), n (its size), prefix (first shingles in the global order), gid (prefix and size), keys (min-hashes), shared (share of frequent shingles) and bits (bitmap) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranked)
+def signatures(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key (hash of the text), node (digest of the set), n (its size), prefix (first shingles in the global order), gid (prefix and size), keys (min-hashes), shared (mean level of its shingles) and bits (bitmap) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, ranks = shared.value
+        tops, levels = shared.value
         for batch in batches:
             for part in common.slices(batch, "text", 1_000_000):
                 sets = shingle_sets(part.column("text"))
@@ -145,17 +187,17 @@ def signatures(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent:
                         shares.append(None)
                         bits.append(None)
                         continue
-                    spread = [words.mix(s ^ seed) for seed in _SEEDS]
-                    nodes.append(np.array([spread[3].sum(), spread[4].sum()], ">u8").tobytes())
-                    keys.append(_signed(np.array([x.min() for x in spread[:MIN_HASHES]])))
+                    nodes.append(digest(s))
+                    keys.append(_signed(np.array([words.mix(s ^ seed).min() for seed in _SEEDS[:MIN_HASHES]])))
                     bits.append(bitmap(s))
                     shares.append(0.0)
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                        rank = np.where(hot[at] == s, ranks[at], 0)
-                        if rank.any():
-                            shares[-1] = float((rank > 0).mean())
-                            s = s[np.argsort(rank, kind="stable")]
+                    if len(tops):
+                        top = (s >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+                        at = np.minimum(np.searchsorted(tops, top), len(tops) - 1)
+                        level = np.where(tops[at] == top, levels[at], 0)
+                        if level.any():
+                            shares[-1] = float(level.mean())
+                            s = s[np.argsort(level, kind="stable")]
                     # a set of one shingle is similar to its equals only
                     s = s[: probe_length(n, percent)] if n > 1 else s[:0]
                     prefixes.append(_signed(s))
@@ -253,7 +295,7 @@ class Classes(NamedTuple):
 def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
     """Sets, nodes and components of ``docs`` (columns doc_id and text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = common.materialize(signatures(rows, frequent(rows), percent), "signatures")
+    signed = common.materialize(signatures(rows, shared_shingles(rows), percent), "signatures")
     linked = signed.where("n > 0")
     # copies cost nothing more: one document stands for each node
     nodes = linked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(_doc_key(), "text_key", "n", "bits")).alias("one"))
