@@ -86,19 +86,24 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             return found if content else found.drop("content")
         return gitfiles.read(spark, root, content=content)
 
+    def refreshed(model, quiet):
+        if args.directory:
+            return indexer.index(spark, files(True), kept, model, quiet=quiet)
+        return indexer.index(spark, files(False), kept, model, read=lambda rows: gitfiles.contents(rows, root), quiet=quiet)
+
     def embedder():
         found = embedders.build(args.model, args.backend, directory=args.model_dir, url=args.url, threads=args.workers)
         found.batch_size = embedders.effective_batch_size(args.batch_size, found.batch_size)
         return found
 
     if args.command == "index":
-        done = indexer.index(spark, files(True), kept, embedder(), quiet=args.quiet)
+        done = refreshed(embedder(), args.quiet)
         print(done)
     elif args.command == "search":
         query = search.query_text(args.query)
         model = embedder()
         if not args.no_auto_index:
-            done = indexer.index(spark, files(True), kept, model, quiet=args.quiet or args.json)
+            done = refreshed(model, args.quiet or args.json)
             if args.verbose:
                 print(f"[index] {done}", file=sys.stderr)
         hits = search.search_store(spark, kept, files(False), model.embed([query])[0], args.top_k, args.path)

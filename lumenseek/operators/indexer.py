@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import Window
 
 from lumenseek.functions import chunking, formatting, hashing, paths
 from lumenseek.operators import embedders
+from lumenseek.operators.joins import broadcast_if_small
 from lumenseek.operators.store import VERSION, Store
 
 log = logging.getLogger(__name__)
@@ -90,9 +92,11 @@ def greedy_groups(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
     return [*groups, current] if current else groups
 
 
-def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedders.Embedder, *, group_chunks: int = GROUP_CHUNKS, quiet: bool = True) -> IndexStats:
+def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedders.Embedder, *, read: Callable[[DataFrame], DataFrame] | None = None, group_chunks: int = GROUP_CHUNKS, quiet: bool = True) -> IndexStats:
     """Embed what the store lacks of ``files`` (path, blob_sha, raw_sha, content) and return the counts.
 
+    With ``read``, files need no content: it adds the column to the rows (path, blob_sha, raw_sha) that are to be embedded, so nothing else is read.
+
     Files whose path holds no text are left out. Contents without chunks become entries with 0 chunks; unreadable ones (null content) and modified
     files that changed since the listing are skipped. Each group of about ``group_chunks`` chunks is committed as soon as it is embedded, so an interrupted run
     goes on where it stopped. With nothing to embed, no content is read.
@@ -107,17 +111,20 @@ def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedde
     if stats.blobs_already_cached < stats.blobs_unique:
         staged = f"{store.location}/staging/{uuid.uuid4().hex}"
         try:
-            _embed(spark, listed, wanted, store, embedder, staged, group_chunks, quiet, stats)
+            _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, quiet, stats)
         finally:
             store.files.delete(staged)
     stats.elapsed_ms = int((time.monotonic() - began) * 1000)
     return stats
 
 
-def _embed(spark, listed, wanted, store, embedder, staged, group_chunks, quiet, stats) -> None:
-    read = unchanged(listed.select("path", "blob_sha", "content").join(wanted, ["path", "blob_sha"]).dropDuplicates(["blob_sha"]))
+def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, quiet, stats) -> None:
+    if read is not None:
+        found = read(wanted)
+    else:  # contents are wide: they are only shuffled if there is too much to do to send its list to every task
+        found = listed.select("path", "blob_sha", "content").join(broadcast_if_small(wanted), ["path", "blob_sha"]).dropDuplicates(["blob_sha"])
     # a snapshot of what to embed: files may change while groups are embedded
-    read.select("blob_sha", "content").write.parquet(f"{staged}/contents")
+    unchanged(found).select("blob_sha", "content").write.parquet(f"{staged}/contents")
     contents = spark.read.parquet(f"{staged}/contents")
     chunking.with_chunks(contents).write.parquet(f"{staged}/chunks")
     chunks = spark.read.parquet(f"{staged}/chunks")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenseek.functions import chunking, formatting, paths, vectors
+from lumenseek.operators.joins import broadcast_if_small
 from lumenseek.operators.store import Store
 
 HIT_COLUMNS = ["path", "start_line", "end_line", "score", "blob_sha", "chunk_idx"]
@@ -30,8 +31,9 @@ def query_text(words: Sequence[str]) -> str:
 
 def candidates(vector_rows: DataFrame, files: DataFrame, prefix: str | None = None) -> DataFrame:
     """Vectors of blobs that some current path (below the prefix) holds."""
-    current = files.where(paths.under_prefix(F.col("path"), prefix)).select("blob_sha")
-    return vector_rows.join(current, "blob_sha", "left_semi")
+    current = files.where(paths.under_prefix(F.col("path"), prefix)).select("blob_sha").distinct()
+    # the vectors are wide: they are only shuffled if there are too many current blobs to send to every task
+    return vector_rows.join(broadcast_if_small(current), "blob_sha", "left_semi")
 
 
 def scored(rows: DataFrame, query: Column) -> DataFrame:
@@ -73,8 +75,8 @@ def scan_top_k(rows: DataFrame, query: Sequence[float], k: int) -> DataFrame:
 
 def fan_out(winners: DataFrame, files: DataFrame, prefix: str | None = None) -> DataFrame:
     """A hit per winner and path below the prefix that holds its blob; k bounds the winners, not the hits."""
-    named = files.where(paths.under_prefix(F.col("path"), prefix)).select("path", "blob_sha").distinct()
-    hits = winners.join(named, "blob_sha")
+    named = files.where(paths.under_prefix(F.col("path"), prefix)).select("path", "blob_sha")
+    hits = named.join(F.broadcast(winners), "blob_sha").distinct()  # the winners are k rows at most
     return hits.select(*HIT_COLUMNS).orderBy(F.desc("score"), "blob_sha", "chunk_idx", "path")
 
 

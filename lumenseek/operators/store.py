@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.functions import codec, hashing
+from lumenseek.operators.joins import broadcast_if_small
 
 VERSION = 1
 VECTORS = "blob_sha string, chunk_idx int, start_line int, end_line int, embedding array<float>"
@@ -182,7 +183,8 @@ class Store:
             blobs = blobs.join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi")
         bad = self._invalid(blobs, rows)
         good = blobs.join(bad, "blob_sha", "left_anti").select("blob_sha", "seq")
-        return rows.join(good, ["blob_sha", "seq"], "left_semi").drop("seq")
+        # the vectors are wide: they are only shuffled if there are too many blobs to send to every task
+        return rows.join(broadcast_if_small(good), ["blob_sha", "seq"], "left_semi").drop("seq")
 
     def _invalid(self, blobs: DataFrame, rows: DataFrame) -> DataFrame:
         """Ids whose header or rows do not fit: version, dim, the count of rows, or a vector's length."""

@@ -12,8 +12,10 @@ import subprocess
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, StructField, StructType
 from lumenseek.functions.paths import textual_path
 
 SCHEMA = "path string, blob_sha string, raw_sha boolean, is_modified boolean"
@@ -99,3 +101,22 @@ class GitFiles(DataSource):
 def read(spark: SparkSession, path: str, *, content: bool = False, **options: str) -> DataFrame:
     spark.dataSource.register(GitFiles)
     return spark.read.format("gitfiles").options(path=path, content=str(content).lower(), **options).load()
+
+
+def contents(rows: DataFrame, root: str) -> DataFrame:
+    """``rows`` (with a path relative to ``root``) with the files' bytes; null for what cannot be read."""
+
+    def load(path: str) -> bytes | None:
+        try:
+            return Path(root, path).read_bytes()
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = pa.array([load(p) for p in part.column("path").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "content"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("content", BinaryType())]))
