@@ -70,7 +70,7 @@ def build(names: list[str], texts: list[str | None], window: int = WINDOW, gram:
         if len(pairs):
             unique, first = np.unique(pairs["hash"], return_index=True)
             windows[length] = unique, np.append(first, len(pairs)), np.ascontiguousarray(pairs["item"])
-    return Index(np.unique(hashes[places]), windows, names)
+    return Index(words.distinct(hashes[places]), windows, names)
 
 
 def _row_windows(valid: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def hits(column: pa.Array, index: Index, window: int = WINDOW, gram: int = GRAM)
         width = window - gram + 1
         places = winnow(hashes, _row_windows(valid, rows, width), width)
         shared, _ = _among(index.fingerprints, hashes[places])
-        around = np.unique((places[shared][:, None] - np.arange(width)).ravel())
+        around = words.distinct((places[shared][:, None] - np.arange(width)).ravel())
         around = around[around >= 0]
         whole = around + window <= np.repeat(found.bounds[1:], found.counts)[around]
         around = around[whole]

@@ -27,12 +27,13 @@ SHINGLE = 5
 #: Similarity as a percentage, so that comparisons are exact.
 PERCENT = 75
 #: The order is by how many sets share a shingle, told approximately: by the top HASH_BITS of its hash, and sets are told
-#: apart by TAG_BITS of their digest (so copies count once). At most MOST_RANKED shingles, those of most sets, are placed after
-#: all others. Any order gives the same result; a better one makes fewer pairs.
-HASH_BITS, TAG_BITS = 30, 6
-CHUNK = 4_000_000
-RANGE_BYTES = 16 << 20
-MOST_RANKED = 8_000_000
+#: apart by TAG_BITS of their digest (so copies count once). Two bitmaps of 2**MAP_BITS places say which shingles are shared at all,
+#: and which by many; they are filled up to MOST_MARKED. Any order gives the same result; a better one makes fewer pairs.
+HASH_BITS, TAG_BITS, MAP_BITS = 32, 4, 28
+LEVELS, MANY = (2, 3, 4, 6, 8, 12, 16), 8
+MOST_MARKED = 1 << (MAP_BITS - 2)
+CHUNK = 2_000_000
+RANGE_BYTES = 4 << 20
 MIN_HASHES = 3
 #: Rows up to which a table of ids is broadcast, some 10 to 40 bytes each; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -48,7 +49,7 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     sets = []
     for a, b in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist()):
         if b - a >= SHINGLE:
-            sets.append(np.unique(hashes[a : b - SHINGLE + 1]))
+            sets.append(words.distinct(hashes[a : b - SHINGLE + 1]))
         elif b > a:
             short = words.Words(found.hashes[a:b], np.array([0, b - a]))
             sets.append(words.mix(words.grams(short, b - a)[0][:1] + np.uint64(b - a)))
@@ -109,29 +110,44 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)[steps != 65535]
 
 
-def shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hash tops of shingles that several sets share, and the level of each: the logarithm of how many sets, up to 2**TAG_BITS.
+class Marks(NamedTuple):
+    """Bitmaps by the top MAP_BITS of a shingle's hash: shared by several sets, and by many."""
+
+    some: np.ndarray
+    many: np.ndarray
+
+    def levels(self, s: np.ndarray) -> np.ndarray:
+        """0, 1 or 2 for each shingle."""
+        place = s >> np.uint64(64 - MAP_BITS)
+        at, bit = (place >> np.uint64(3)).astype(np.int64), (place & np.uint64(7)).astype(np.uint8)
+        return (self.some[at] >> bit & 1) + (self.many[at] >> bit & 1)
+
+
+def shared_shingles(docs: DataFrame) -> Marks:
+    """Which shingles several sets share.
 
     Tasks sort the hashes they see and deal them to ranges in packed form; the number of ranges follows the size of the input,
-    so that each is counted in bounded memory. The driver gets ``MOST_RANKED`` at most.
+    so that each is counted in bounded memory and fills its own part of the bitmaps. The driver gets the bitmaps alone, 32 MB each at any size of input.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ranges = max(8, min(-(-size // RANGE_BYTES), 100_000))
-    edges = np.array([i * (1 << (HASH_BITS + TAG_BITS)) // ranges for i in range(ranges + 1)], np.uint64)
+    ranges = 1 << max(4, min(16, (-(-size // RANGE_BYTES) - 1).bit_length()))
+    width = HASH_BITS + TAG_BITS - (ranges.bit_length() - 1)
+    edges = np.arange(ranges + 1, dtype=np.uint64) << np.uint64(width)
+    part = (1 << MAP_BITS) // ranges  # places of a range
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def put() -> pa.RecordBatch:
-            values = np.unique(np.concatenate(held))
+            values = words.distinct(np.concatenate(held))
             at = np.searchsorted(values, edges)
             full = np.flatnonzero(np.diff(at))
             packed = [pack_sorted(values[at[i] : at[i + 1]] - edges[i]) for i in full]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packed, pa.binary())], ["range", "data"])
 
         for batch in batches:
-            for part in common.slices(batch, "text", 1_000_000):
-                for s in shingle_sets(part.column("text")):
+            for slice_ in common.slices(batch, "text", 1_000_000):
+                for s in shingle_sets(slice_.column("text")):
                     if len(s) > 1:
                         tag = np.uint64(digest(s)[0] & ((1 << TAG_BITS) - 1))
                         held.append((s >> np.uint64(64 - HASH_BITS)) << np.uint64(TAG_BITS) | tag)
@@ -143,36 +159,39 @@ def shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield put()
 
     def count(table: pa.Table) -> pa.Table:
-        base = edges[table.column("range")[0].as_py()]
-        values = np.unique(np.concatenate([unpack_sorted(d.as_buffer()) for c in table.column("data").chunks for d in c])) + base
-        first = np.flatnonzero(np.diff(values >> np.uint64(TAG_BITS), prepend=np.uint64(1 << 63)))
+        number = table.column("range")[0].as_py()
+        values = words.distinct(np.concatenate([unpack_sorted(d.as_buffer()) for c in table.column("data").chunks for d in c]))
+        tops = values >> np.uint64(TAG_BITS)
+        first = np.flatnonzero(np.diff(tops, prepend=np.uint64(1 << 63)))
         sets = np.diff(np.append(first, len(values)))
-        level = np.frexp(sets.astype(np.float64))[1] - 1
-        tops = (values[first] >> np.uint64(TAG_BITS)).astype("<u4")
-        found = [(k, tops[level == k]) for k in range(1, TAG_BITS + 1)]
-        return pa.table([pa.array([k for k, _ in found], pa.int32()), pa.array([len(t) for _, t in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary())], ["level", "n", "data"])
+        places = (tops[first] >> np.uint64(HASH_BITS - MAP_BITS)).astype(np.int64)
+        rows = []
+        for least in LEVELS:
+            hit = np.zeros(part, bool)
+            hit[places[sets >= least]] = True
+            if least == MANY or hit.any():
+                rows.append((number, least, int(hit.sum()), np.packbits(hit, bitorder="little").tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["range", "least", "n", "data"])
 
     dealt = docs.select("text").mapInArrow(deal, "range bigint, data binary")
-    counted = common.materialize(dealt.groupBy("range").applyInArrow(count, "level int, n bigint, data binary"), "shared")
-    kept, least = 0, 1
-    for row in counted.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
-        if kept + row["n"] > MOST_RANKED:
-            least = row["level"] + 1
-            break
-        kept += row["n"]
-    rows = counted.where(F.col("level") >= least).collect()
-    tops = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["data"], "<u4") for r in rows)])
-    levels = np.concatenate([np.zeros(0, np.uint8), *(np.full(r["n"], r["level"], np.uint8) for r in rows)])
-    order = np.argsort(tops)
-    return tops[order], levels[order]
-
-
-def signatures(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
+    counted = common.materialize(dealt.groupBy("range").applyInArrow(count, "range bigint, least int, n bigint, data binary"), "shared")
+    totals = {r["least"]: r["n"] for r in counted.groupBy("least").agg(F.sum("n").alias("n")).collect()}
+    some = next((k for k in sorted(totals) if totals[k] <= MOST_MARKED), MANY)
+    maps = []
+    for least in (some, max(MANY, some)):
+        whole = np.zeros((ranges, part // 8), np.uint8)
+        for row in counted.where(F.col("least") == least).select("range", "data").collect():
+            whole[row["range"]] = np.frombuffer(row["data"], np.uint8)
+        maps.append(whole.ravel())
+    return Marks(*maps)
+
+
+def signatures(docs: DataFrame, marks: Marks, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key (hash of the text), node (digest of the set), n (its size), prefix (first shingles in the global order), gid (prefix and size), keys (min-hashes), shared (mean level of its shingles) and bits (bitmap) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, levels = shared.value
+        marks = shared.value
         for batch in batches:
             for part in common.slices(batch, "text", 1_000_000):
                 sets = shingle_sets(part.column("text"))
@@ -190,14 +209,10 @@ def signatures(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: i
                     nodes.append(digest(s))
                     keys.append(_signed(np.array([words.mix(s ^ seed).min() for seed in _SEEDS[:MIN_HASHES]])))
                     bits.append(bitmap(s))
-                    shares.append(0.0)
-                    if len(tops):
-                        top = (s >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(tops, top), len(tops) - 1)
-                        level = np.where(tops[at] == top, levels[at], 0)
-                        if level.any():
-                            shares[-1] = float(level.mean())
-                            s = s[np.argsort(level, kind="stable")]
+                    level = marks.levels(s)
+                    shares.append(float(level.mean()))
+                    if level.any():
+                        s = s[np.argsort(level, kind="stable")]
                     # a set of one shingle is similar to its equals only
                     s = s[: probe_length(n, percent)] if n > 1 else s[:0]
                     prefixes.append(_signed(s))

@@ -128,3 +128,11 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         factor = factor * _Q % (1 << 64)
     ends = np.repeat(words.bounds[1:], words.counts)
     return mix(out), np.arange(n) + k <= ends
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by one sort (``np.unique`` hashes, which is far slower on values that hardly repeat)."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]

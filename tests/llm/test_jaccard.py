@@ -79,13 +79,13 @@ def test_one_document_of_each_group_stays(spark):
     assert jaccard.keep_one(empty(spark)).count() == 0 and jaccard.join(empty(spark)).count() == 0
 
 
-def test_many_ranked_shingles_change_nothing(spark, monkeypatch):
+def test_order_and_shuffles_change_nothing(spark, monkeypatch):
     rng = random.Random(6)
     texts = family(rng, [f"w{i}" for i in range(80)], 60, 5) + [f"z{i} and other words of mine" for i in range(20)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     for most in (0, 7):
-        monkeypatch.setattr(jaccard, "MOST_RANKED", most)
+        monkeypatch.setattr(jaccard, "MOST_MARKED", most)
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
         assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=repr) == brute(rows)
 
@@ -120,3 +120,21 @@ def test_components(spark, edges):
 
 def test_query_equals_sql(spark, sf_dir):
     assert_same(spark, connect(sf_dir), jaccard.op9_jaccard_join, jaccard.ORACLE_SQL, sf_dir)
+
+
+def test_packed_values_come_back():
+    rng = np.random.default_rng(4)
+    for top in (10, 65535, 65536, 10**6, 2**36):
+        values = np.unique(rng.integers(0, top, 500)).astype(np.uint64)
+        assert (jaccard.unpack_sorted(jaccard.pack_sorted(values)) == values).all()
+    edge = np.array([0, 65535, 131070, 131071, 400000], np.uint64)
+    assert (jaccard.unpack_sorted(jaccard.pack_sorted(edge)) == edge).all() and len(jaccard.unpack_sorted(b"")) == 0
+
+
+def test_marks_know_shared_shingles(spark):
+    texts = [f"these five words are shared {i} but not these ones {i} {i}x" for i in range(20)] + ["alone among all of the texts"] * 3
+    marks = jaccard.shared_shingles(spark.createDataFrame([(t,) for t in texts], "text string"))
+    sets = jaccard.shingle_sets(jaccard.pa.array(texts))
+    shared = set.intersection(*(set(s.tolist()) for s in sets[:20]))
+    assert len(shared) == 1 and marks.levels(np.array(sorted(shared), np.uint64)).tolist() == [2]
+    assert not marks.levels(sets[-1]).any()
