@@ -29,7 +29,7 @@ PERCENT = 75
 #: The order is by how many sets share a shingle, told approximately: by the top HASH_BITS of its hash, and sets are told
 #: apart by TAG_BITS of their digest (so copies count once). Two bitmaps of 2**MAP_BITS places say which shingles are shared at all,
 #: and which by many; they are filled up to MOST_MARKED. Any order gives the same result; a better one makes fewer pairs.
-HASH_BITS, TAG_BITS, MAP_BITS = 32, 4, 28
+HASH_BITS, TAG_BITS, MAP_BITS = 32, 4, 27
 LEVELS, MANY = (2, 3, 4, 6, 8, 12, 16), 8
 MOST_MARKED = 1 << (MAP_BITS - 2)
 CHUNK = 2_000_000
@@ -127,7 +127,7 @@ def shared_shingles(docs: DataFrame) -> Marks:
     """Which shingles several sets share.
 
     Tasks sort the hashes they see and deal them to ranges in packed form; the number of ranges follows the size of the input,
-    so that each is counted in bounded memory and fills its own part of the bitmaps. The driver gets the bitmaps alone, 32 MB each at any size of input.
+    so that each is counted in bounded memory and fills its own part of the bitmaps. The driver gets the bitmaps alone, 16 MB each at any size of input.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     ranges = 1 << max(4, min(16, (-(-size // RANGE_BYTES) - 1).bit_length()))
