@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -89,3 +90,11 @@ def filter_rows(docs: DataFrame, keep, column: str = "text", limit: int = 2_000_
                 yield part.filter(pa.array(keep(part.column(place)), pa.bool_())).rename_columns(names)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers idle between stages while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -29,7 +29,7 @@ PERCENT = 75
 #: The order is by how many sets share a shingle, told approximately: by the top HASH_BITS of its hash, and sets are told
 #: apart by TAG_BITS of their digest (so copies count once). Two bitmaps of 2**MAP_BITS places say which shingles are shared at all,
 #: and which by many; they are filled up to MOST_MARKED. Any order gives the same result; a better one makes fewer pairs.
-HASH_BITS, TAG_BITS, MAP_BITS = 32, 4, 27
+HASH_BITS, TAG_BITS, MAP_BITS = 32, 4, 26
 LEVELS, MANY = (2, 3, 4, 6, 8, 12, 16), 8
 MOST_MARKED = 1 << (MAP_BITS - 2)
 CHUNK = 2_000_000
@@ -38,6 +38,8 @@ MIN_HASHES = 3
 #: Rows up to which a table of ids is broadcast, some 10 to 40 bytes each; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 LEAST_BITS = 64
+#: Text that a worker turns into shingles at once.
+SLICE_BYTES = 400_000
 
 _SEEDS = [np.uint64(x) for x in (0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142, 0x9E3779B185EBCA87, 0x27D4EB2F165667C5)]
 
@@ -127,7 +129,7 @@ def shared_shingles(docs: DataFrame) -> Marks:
     """Which shingles several sets share.
 
     Tasks sort the hashes they see and deal them to ranges in packed form; the number of ranges follows the size of the input,
-    so that each is counted in bounded memory and fills its own part of the bitmaps. The driver gets the bitmaps alone, 16 MB each at any size of input.
+    so that each is counted in bounded memory and fills its own part of the bitmaps. The driver gets the bitmaps alone, 8 MB each at any size of input.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     ranges = 1 << max(4, min(16, (-(-size // RANGE_BYTES) - 1).bit_length()))
@@ -146,7 +148,7 @@ def shared_shingles(docs: DataFrame) -> Marks:
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packed, pa.binary())], ["range", "data"])
 
         for batch in batches:
-            for slice_ in common.slices(batch, "text", 1_000_000):
+            for slice_ in common.slices(batch, "text", SLICE_BYTES):
                 for s in shingle_sets(slice_.column("text")):
                     if len(s) > 1:
                         tag = np.uint64(digest(s)[0] & ((1 << TAG_BITS) - 1))
@@ -157,6 +159,8 @@ def shared_shingles(docs: DataFrame) -> Marks:
                     held, n = [], 0
         if held:
             yield put()
+        held.clear()
+        common.release()
 
     def count(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
@@ -193,7 +197,7 @@ def signatures(docs: DataFrame, marks: Marks, percent: int = PERCENT) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
-            for part in common.slices(batch, "text", 1_000_000):
+            for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(part.column("text"))
                 nodes, prefixes, groups, keys, shares, bits = [], [], [], [], [], []
                 for s in sets:
@@ -222,6 +226,7 @@ def signatures(docs: DataFrame, marks: Marks, percent: int = PERCENT) -> DataFra
                     [part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(groups, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shares, pa.float64()), pa.array(bits, pa.binary())],
                     ["doc_id", "text_key", "node", "n", "prefix", "gid", "keys", "shared", "bits"],
                 )
+        common.release()
 
     return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_key bigint, node binary, n bigint, prefix array<bigint>, gid bigint, keys array<bigint>, shared double, bits binary")
 
@@ -258,9 +263,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "x", 1_000_000):
+            for part in common.slices(batch, "x", SLICE_BYTES):
                 xs, ys = shingle_sets(part.column("x")), shingle_sets(part.column("y"))
                 yield part.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(xs, ys)], pa.bool_()))
+        common.release()
 
     return common.materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
 

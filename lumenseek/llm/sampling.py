@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenseek.llm import common
+
 #: Rows whose crc32 of doc_id as text leaves remainder 0 here are held out.
 FOLDS = 5
 
@@ -48,7 +50,10 @@ def learnt(sample: DataFrame, learn: Callable[[list[str], list[int]], bytes], mo
                 if size <= most_bytes:
                     texts.append(text or "")
                     labels.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array([learn(texts, labels)], pa.binary())], ["model"])
+        model = learn(texts, labels)
+        texts.clear()
+        common.release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     # an empty sample has no task, so learn from nothing on the driver then
     found = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text", "label").mapInArrow(run, "model binary").collect()

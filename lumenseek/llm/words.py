@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Odd multipliers, by which hashes modulo 2**64 are made.
 _P = 0x9E3779B97F4A7C15
 _Q = 0xC2B2AE3D27D4EB4F
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def byte_table(separators) -> np.ndarray:
