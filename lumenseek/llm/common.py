@@ -88,6 +88,7 @@ def filter_rows(docs: DataFrame, keep, column: str = "text", limit: int = 2_000_
             plain = batch.rename_columns([f"c{i}" for i in range(len(names))])
             for part in slices(plain, f"c{place}", limit):
                 yield part.filter(pa.array(keep(part.column(place)), pa.bool_())).rename_columns(names)
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -160,6 +160,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
                 redacted = [redact(t, f) if f else t for t, f in zip(texts, found)]
                 told = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in f] for f in found], span)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], told, pa.array(redacted, pa.string())], [*kept, "secret_spans", "redacted_text"])
+        common.release()
 
     types = "secret_spans array<struct<start:bigint,end:bigint,kind:string>>, redacted_text string"
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(types).fields]))

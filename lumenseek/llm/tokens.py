@@ -42,7 +42,8 @@ class _Slots(dict):
 class Encoder:
     """``ids(texts)`` gives the ids of all texts in one flat array and the count of each text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
+        self.most = CACHE_PIECES if most is None else most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,12 +75,12 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(total)]
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
-        if kept + len(new) > CACHE_PIECES or max(map(len, new), default=0) > CACHE_CHARS:
+        if kept + len(new) > self.most or max(map(len, new), default=0) > CACHE_CHARS:
             # no room, or long pieces: forget the pieces of this call, whose slots are the last ones
             for piece in new:
                 del self.slots[piece]
             self.used = used
-            short = [p for p in new if len(p) <= CACHE_CHARS][: max(0, CACHE_PIECES - kept)]
+            short = [p for p in new if len(p) <= CACHE_CHARS][: max(0, self.most - kept)]
             self.slots.new = []
             for piece in short:
                 self.slots[piece]
@@ -155,10 +156,10 @@ def _cutter(spec: dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python process and path."""
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """One encoder a Python process and path; ``most``: pieces that it caches, if it is made now."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, most)
     return _ENCODERS[path]
 
 
