@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
 
         held, n = [], 0
         for batch in batches:
-            for piece in common.slices(batch, "text", 1_000_000):
+            for piece in common.slices(batch, "text", 4_000_000):
                 ids, counts = tokens.with_end(*encoder.ids(common.texts_of(piece.column("text"))), end_id)
                 held.append((piece.column("doc_id").to_pylist(), ids, counts))
                 n += len(ids)
