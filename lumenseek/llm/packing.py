@@ -21,8 +21,6 @@ from lumenseek.llm import common, tokens
 
 SEQUENCE_TOKENS = 4096
 CHUNK_TOKENS = 1_000_000
-#: Cached words: packing leaves more memory to what runs beside it than the token files do.
-CACHE_PIECES = 200_000
 LINEAR_COST = 1.0
 QUADRATIC_COST = 1.0 / 2048
 #: Sequence ids: the task's number in the high bits, a running number in the low ones.
@@ -73,10 +71,10 @@ def assign(lengths: np.ndarray, capacity: int = SEQUENCE_TOKENS, linear: float =
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = tokens.DOCUMENT_END, chunk_tokens: int = CHUNK_TOKENS, linear: float = LINEAR_COST, quadratic: float = QUADRATIC_COST, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = tokens.DOCUMENT_END, chunk_tokens: int = CHUNK_TOKENS, linear: float = LINEAR_COST, quadratic: float = QUADRATIC_COST, with_ids: bool = False, cached_words: int = tokens.CACHE_PIECES) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence; with ``with_ids`` also its ids.
 
-    docs: columns doc_id and text, others are ignored. A null or empty text is one end id. Repeated rows are
+    docs: columns doc_id and text, others are ignored; ``cached_words`` trades a worker's memory (some 150 bytes a word) for time. A null or empty text is one end id. Repeated rows are
     packed as often as they occur, a null doc_id stays null; an empty table gives no rows. Only the last
     sequence of a chunk is not full; a reader pads it to ``sequence_tokens`` (no padding if its length is a power of two).
     """
@@ -99,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, *, sequence_tokens: int = SEQUENCE_TOK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << TASK_SHIFT
-        encoder = tokens.encoder(tokenizer, CACHE_PIECES)
+        encoder = tokens.encoder(tokenizer, cached_words)
         held, size = [], 0
         for batch in batches:
             for part in common.slices(batch, "text", 1_000_000):
