@@ -33,6 +33,8 @@ END = b"S8BEND01"
 HEADER_WORDS = 7
 NULL_ID = 1 << 63
 SEGMENT_IDS = 500_000
+#: Words that a worker keeps encoded; sorting the texts takes memory beside it.
+CACHED_WORDS = 600_000
 FILE_BYTES = 48 << 20
 
 
@@ -156,7 +158,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, CACHED_WORDS)
 
         def put() -> pa.RecordBatch:
             ids = np.concatenate([h[1] for h in held])
