@@ -1,7 +1,7 @@
 """Secret scan: fixed key patterns, and a randomness test battery for the strings that no pattern knows.
 
-Every string of ``MIN_LENGTH`` or more key characters is a candidate. Its encoding is the smallest known
-alphabet that holds it. Three tests ask whether it could be uniformly random over that alphabet:
+Every string of ``MIN_LENGTH`` or more key characters is a candidate; ``=`` is one only as padding at the end, elsewhere it
+parts a name from its value. Its encoding is the smallest known alphabet that holds it. Three tests ask whether it could be uniformly random over that alphabet:
 chi-squared on the character counts, Wald-Wolfowitz runs above and below the middle of the alphabet, and the
 lag-1 serial correlation. A second p-value asks whether plain words or digits could look as uniform
 by chance (chi-squared shifted by what their uneven characters add, which grows with the length). The
@@ -104,9 +104,26 @@ def battery(candidate: str) -> Battery | None:
     return Battery(name, p_uniform, min(1.0, p_runs), min(1.0, p_serial), p_text, n * math.log2(k))
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the strings to test: runs of key characters, cut at each ``=`` that is not padding at their end."""
+    for m in CANDIDATE.finditer(text):
+        run, at = m[0], m.start()
+        body = run.rstrip("=")
+        if "=" not in body:
+            yield at, m.end()
+            continue
+        for part in body.split("="):
+            end = at + len(part)
+            if end == m.start() + len(body):
+                end = m.end()
+            if end - at >= MIN_LENGTH:
+                yield at, end
+            at = end + 1
+
+
 def random_strings(text: str, rate: float = FALSE_DISCOVERY_RATE, least_p: float = RANDOM_LEAST_P) -> list[tuple[int, int]]:
     """(start, end) of the candidates in ``text`` that are random beyond what words explain, by position."""
-    tested = [(m.start(), m.end(), b) for m in CANDIDATE.finditer(text) if (b := battery(m[0]))]
+    tested = [(s, e, b) for s, e in candidates(text) if (b := battery(text[s:e]))]
     if not tested:
         return []
     mean_bits = sum(b.bits for _, _, b in tested) / len(tested)

@@ -37,6 +37,23 @@ def test_battery_finds_random_strings_and_leaves_words():
     assert secrets.random_strings("0" * 40) == [] and secrets.random_strings("abcabc" * 10) == [] and secrets.random_strings("=" * 30) == []
 
 
+def test_name_value_secrets_are_found_and_redacted():
+    rng = random.Random(11)
+    value = lambda more="": "".join(rng.choices(string.ascii_letters + string.digits + more, k=40))
+    for name in ("AWS_SECRET_ACCESS_KEY", "sessionid", "x", "a=b", ""):
+        hits = 0
+        for more in ("", "+/", "-_") * 10:
+            key = value(more)
+            for end in ("", "=="):
+                text = f"export {name}={key}{end}\nGET /x?{name}={key}{end}&y=1"
+                found = [text[s:e] for s, e, kind in secrets.spans(text) if kind == "random"]
+                hits += found == [key + end] * 2 and key not in secrets.redact(text, secrets.spans(text))
+        assert hits > 50, (name, hits)
+    first, second = value(), value()
+    assert [(s, e) for s, e in secrets.candidates(f"{first}={second}== k={first[:19]}=z")] == [(0, 40), (41, 83)]
+    assert secrets.random_strings("the_name_of_a_setting=the_value_of_a_setting") == []
+
+
 def test_battery_values():
     b = secrets.battery("0123456789abcdef" * 4)
     assert b.encoding == "hex" and b.p_uniform > 0.99 and b.p_serial < 1 and secrets.battery("a") is None and secrets.battery("a=b" * 9) is None
