@@ -389,14 +389,20 @@ def _decode(items: list[tuple[int, int, Image, np.ndarray, np.ndarray]]) -> Iter
         yield grid[: -(-image.height * v // (8 * high)), : -(-image.width * h // (8 * wide))]
 
 
-def difference_hash(pixels: np.ndarray) -> str:
-    """64 bits in hex: which of 8 x 9 mean tones is brighter than its left neighbour."""
-    rows, columns = pixels.shape
+def difference_hash(*images: np.ndarray) -> str:
+    """64 bits in hex: which of 8 x 9 mean tones is brighter than its left neighbour. Several images stand below each other, left-aligned on black."""
+    rows, columns = sum(len(p) for p in images), max(p.shape[1] for p in images)
     edges = [np.minimum(np.arange(n) * size // n, size - 1) for n, size in ((8, rows), (9, columns))]
-    sums = np.zeros((rows + 1, columns + 1), np.int64)
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.int64), axis=1, out=sums[1:, 1:])
     to = [np.maximum(np.append(e[1:], size), e + 1) for e, size in zip(edges, (rows, columns))]
-    total = sums[np.ix_(to[0], to[1])] - sums[np.ix_(edges[0], to[1])] - sums[np.ix_(to[0], edges[1])] + sums[np.ix_(edges[0], edges[1])]
+    sums = np.zeros((8, columns + 1), np.int64)
+    top = 0
+    for pixels in images:
+        for band, a, b in zip(sums, edges[0] - top, to[0] - top):
+            if a < len(pixels) and b > 0:
+                band[1 : pixels.shape[1] + 1] += pixels[max(a, 0) : b].sum(axis=0, dtype=np.int64)
+        top += len(pixels)
+    np.cumsum(sums, axis=1, out=sums)
+    total = sums[:, to[1]] - sums[:, edges[1]]
     mean = total / np.outer(to[0] - edges[0], to[1] - edges[1])
     return np.packbits(mean[:, 1:] > mean[:, :-1]).tobytes().hex()
 
@@ -416,7 +422,8 @@ def add_media(docs: DataFrame) -> DataFrame:
 def features(rows: DataFrame) -> DataFrame:
     """Dimensions, thumbnail hash and stored bytes of media columns (doc_id and media; others are ignored), from the media alone.
 
-    One row per row. A null media, or one that is not a run of baseline images, has null features and an error that says why. ``n_bytes`` is null if the media
+    One row per row. The images of a media count as one, below each other: the width is that of the widest, the height that of all together,
+    and the hash is over all their pixels. A null media, or one that is not a run of baseline images, has null features and an error that says why. ``n_bytes`` is null if the media
     was not written by ``add_media``; then the payload is the thumbnails' pixels.
     """
     schema = "doc_id bigint, width bigint, height bigint, n_images bigint, thumbnail_hash string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, error string"
@@ -430,8 +437,8 @@ def features(rows: DataFrame) -> DataFrame:
         payload = b"".join(p.tobytes() for _, p in found)
         sizes = [i.n_bytes for i, _ in found]
         n = None if None in sizes else sum(sizes)
-        first, pixels = found[0]
-        return (first.width, first.height, len(found), difference_hash(pixels), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest, None)
+        width, height = max(i.width for i, _ in found), sum(i.height for i, _ in found)
+        return (width, height, len(found), difference_hash(*(p for _, p in found)), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest, None)
 
     def read(media: list[bytes]) -> list:
         try:

@@ -38,6 +38,27 @@ def test_payload_of_several_images():
     assert sum(i.n_bytes for i, _ in found[0]) == len(data)
 
 
+def test_feature_covers_all_images(spark):
+    start = "some text of the document " * (jpeg.MOST_ROWS * jpeg.WIDTH // 26 + 1)
+    line = "".join(chr(33 + i // 3) for i in range(jpeg.WIDTH))
+    docs = [(1, start + line * 4000), (2, start + line[::-1] * 4000), (3, start + line * 4000), (4, start + line * 12000), (5, "short")]
+    rows = {r["doc_id"]: r for r in jpeg.features(jpeg.add_media(spark.createDataFrame(docs, "doc_id bigint, text string"))).collect()}
+    for doc_id, text in docs:
+        assert (rows[doc_id]["width"], rows[doc_id]["height"]) == (8 * jpeg.WIDTH, jpeg.padded_size(len(text)) // jpeg.WIDTH * 8)
+        whole = np.frombuffer(text.ljust(jpeg.padded_size(len(text))).encode(), np.uint8).reshape(-1, jpeg.WIDTH)
+        assert rows[doc_id]["thumbnail_hash"] == jpeg.difference_hash(whole)
+    assert [rows[i]["n_images"] for i in (1, 4, 5)] == [2, 3, 1]
+    assert rows[1]["thumbnail_hash"] == rows[3]["thumbnail_hash"] != rows[2]["thumbnail_hash"] and rows[1]["thumbnail_hash"] != rows[4]["thumbnail_hash"]
+
+
+def test_hash_of_images_equals_that_of_their_stack():
+    rng = np.random.default_rng(3)
+    for heights, widths in (((1, 2), (9, 9)), ((5, 1, 30), (40, 40, 40)), ((7, 20), (12, 31))):
+        images = [rng.integers(0, 256, s, dtype=np.uint8) for s in zip(heights, widths)]
+        stack = np.concatenate([np.pad(p, ((0, 0), (0, max(widths) - p.shape[1]))) for p in images])
+        assert jpeg.difference_hash(*images) == jpeg.difference_hash(stack)
+
+
 def colour_image(levels, quantiser, restart=0):
     """A 4:2:0 colour image with AC coefficients, coded bit by bit: one luminance DC level for each block of the MCUs in scan order."""
     counts, symbols = (0, 0, 0, 0, 12, *[0] * 11), bytes(range(12))
