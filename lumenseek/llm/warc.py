@@ -84,16 +84,21 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+#: The version line, and what ends a header or, before that, shows that it has no end.
+_BEGIN = re.compile(rb"WARC/1\.[01](?=\r?\n)")
+_STOP = re.compile(rb"(\r\n\r\n)|\nWARC/1\.[01]\r?\n")
+
+
 def _parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; a failed check raises ValueError."""
-    head = bytes(data[at : at + 65536])
-    if not re.match(rb"WARC/1\.[01]\r?\n", head):
+    version = _BEGIN.match(data, at)
+    if not version:
         raise ValueError("no version line")
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
+    stop = _STOP.search(data, version.end())
+    if not stop or not stop[1]:
         raise ValueError("header has no end")
     headers = {}
-    for line in head[:stop].split(b"\r\n")[1:]:
+    for line in bytes(data[at : stop.start()]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
@@ -101,7 +106,7 @@ def _parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     length = headers.get("content-length", "")
     if not length.isdigit() or not length.isascii():
         raise ValueError("bad content length")
-    begin = at + stop + 4
+    begin = stop.end()
     end = begin + int(length)
     block = bytes(data[begin:end])
     if len(block) < int(length) or bytes(data[end : end + 4]) != b"\r\n\r\n":

@@ -71,6 +71,23 @@ def test_round_trip_and_revisits(spark):
     assert bytes(found[9, n]["payload"]).decode() == LONG and found[1, n]["url"] == "http://a/%0D%0AX: y"
 
 
+def test_urls_longer_than_64_kb(spark):
+    long = "data:text/html," + "y" * 70_000
+    rows = [(1, long, LONG), (9, long + "\n" * 40_000, LONG), (3, "u", LONG), (4, long, "short"), (5, "u", "short")]
+    path = common.scratch_path(spark, "warc-long-url")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    found = {r["page_id"]: r for r in warc.read(spark, path, with_payload=True).collect()}
+    assert warc.gaps(spark, path).count() == 0 and {i: found[i]["url"] for i in found} == {i: u.replace("\n", "%0A") for i, u, _ in rows}
+    assert found[1]["refers_to"] == found[3]["refers_to"] == 9 and bytes(found[9]["payload"]).decode() == LONG
+
+
+def test_headers_without_end_stop_at_the_next_version_line():
+    record = built(1)[0]
+    cut = b"WARC/1.1\r\nWARC-Target-URI: " + b"z" * 100_000 + b"\r\n"
+    ids, gaps = split(cut * 50 + record)
+    assert ids == ["0"] and [(g.start, g.end, g.reason) for g in gaps] == [(0, 50 * len(cut), "header has no end")]
+
+
 def test_files_are_gzip_and_survive_damage(spark, tmp_path):
     path = str(tmp_path / "w")
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(40)], "page_id bigint, url string, html string").coalesce(1)
