@@ -4,7 +4,9 @@ Every DOM node has a density: characters per tag, weighed by how few of its char
 its children's densities is largest for the node that holds an article's paragraphs. That node is the
 article (or the article or main element around it). The least density on its path up to the body, which itself is diluted by all else, is the threshold: what
 stands beside that path and is at least so dense belongs to the article too. Elements that by their name,
-role or class are no article text (menus, adverts, forms, reader comments and so on) are left out of the tree from the start.
+role or class are no article text (menus, adverts, forms, reader comments and so on) are left out of the tree from the start. A class or id
+alone does not leave out what holds an article or main element, and one that says more than such a name (has-sidebar, widget-container)
+does not leave out most of the page's plain text, be it in one element or in all that have the word; there the densities decide.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,34 +57,49 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class _Drop(NamedTuple):
+    always: bool
+    words: frozenset[str] = frozenset()  # of class and id, that mark it as no article text
+    exact: bool = False  # a class or the id consists of such words alone
+
+
 @lru_cache(4096)
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _dropped(tag: str, attributes: str, in_article: bool) -> _Drop:
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return _Drop(True)
+    marks, exact = set(), False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "role" and value.lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return _Drop(True)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", *ARTICLE) and any(w.lower() in DROPPED_NAMES for w in _NAME_WORDS.findall(value)):
-            return True
+            return _Drop(True)
+        if name in ("class", "id") and tag not in ("html", "body", *ARTICLE):
+            for token in value.split():
+                words = {w.lower() for w in _NAME_WORDS.findall(token)}
+                marks |= words & DROPPED_NAMES
+                exact |= bool(words) and words <= DROPPED_NAMES
         if name in ("class", "id") and tag == "article" and any(w.lower() in ("comment", "comments", "ad", "advert", "promo", "related") for w in _NAME_WORDS.findall(value)):
-            return True
-    return False
+            return _Drop(True)
+    return _Drop(False, frozenset(marks), exact)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags", "density", "children_density", "link", "dropped")
+    __slots__ = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags", "density", "children_density", "link", "dropped", "why", "never", "plain", "holds")
 
-    def __init__(self, tag: str, parent: int, link: bool, dropped: bool) -> None:
-        self.tag, self.parent, self.link, self.dropped = tag, parent, link, dropped
+    def __init__(self, tag: str, parent: int, link: bool, dropped: bool, why: _Drop = _Drop(False), never: bool = False) -> None:
+        self.tag, self.parent, self.link, self.dropped, self.why, self.never = tag, parent, link, dropped, why, never
         self.end = self.chars = self.tags = self.link_chars = self.link_tags = 0
+        # characters outside links, and if there is an article or main element, both without what is dropped whatever its names are spared
+        self.plain, self.holds = 0, False
         self.density = self.children_density = 0.0
 
 
-def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
-    """Nodes in page order (0 is the root; ``end`` closes a node's subtree) and the text blocks with the node each began in."""
+def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[_Node], list[tuple[int, str]]]:
+    """Nodes in page order (0 is the root; ``end`` closes a node's subtree) and the text blocks with the node each began in.
+
+    spared: nodes that their class or id does not drop. The nodes' numbers do not depend on it.
+    """
     nodes = [_Node("#root", -1, False, False)]
     stack = [0]
     blocks: list[tuple[int, str]] = []
@@ -99,14 +118,18 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
     def say(text: str) -> None:
         nonlocal owner
         node = nodes[stack[-1]]
-        if node.dropped:
+        if node.never:
             return
         if "&" in text:
             text = entities.unescape(text)
+        n = len(text.strip())
+        if not node.link:
+            node.plain += n
+        if node.dropped:
+            return
         if not held:
             owner = stack[-1]
         held.append(text)
-        n = len(text.strip())
         node.chars += n
         if node.link:
             node.link_chars += n
@@ -120,6 +143,9 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             put()
         if node.tag in ARTICLE:
             article_depth -= 1
+        if node.parent >= 0 and not node.never and (node.holds or not node.why.exact):
+            nodes[node.parent].plain += node.plain
+            nodes[node.parent].holds |= node.holds or node.tag in ARTICLE
         if node.parent >= 0 and not node.dropped:
             up = nodes[node.parent]
             up.chars += node.chars
@@ -187,8 +213,9 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             continue
         if tag in BLOCK:
             put()
-        dropped = up.dropped or _dropped(tag, attributes, article_depth > 0)
-        nodes.append(_Node(tag, stack[-1], up.link or tag == "a", dropped))
+        why = _dropped(tag, attributes, article_depth > 0)
+        dropped = up.dropped or why.always or bool(why.words) and len(nodes) not in spared
+        nodes.append(_Node(tag, stack[-1], up.link or tag == "a", dropped, why, up.never or why.always))
         stack.append(len(nodes) - 1)
         article_depth += tag in ARTICLE
         if attributes.endswith("/") and tag in ("svg", "path"):
@@ -204,6 +231,23 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
+def _spared(nodes: list[_Node]) -> frozenset[int]:
+    """The nodes that their class or id must not drop, as they hold an article or main element or most of the page's plain text."""
+    named = [i for i, n in enumerate(nodes) if n.why.words and not n.never]
+    most = nodes[0].plain / 2
+    spared = {i for i in named if nodes[i].holds or not nodes[i].why.exact and nodes[i].plain > most}
+    rest = [i for i in named if i not in spared and not nodes[i].why.exact]
+    # wrappers of parts: a word whose elements have most of the text together tells nothing on this page
+    totals: Counter[str] = Counter()
+    until: dict[str, int] = {}
+    for i in rest:
+        for word in nodes[i].why.words:
+            if until.get(word, 0) <= i:
+                totals[word] += nodes[i].plain
+                until[word] = nodes[i].end
+    return frozenset(spared.union(i for i in rest if all(totals[word] > most for word in nodes[i].why.words)))
+
+
 def _density(node: _Node, body: _Node) -> float:
     if not node.chars:
         return 0.0
@@ -219,6 +263,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes, blocks = parse(page)
+    if spared := _spared(nodes):
+        nodes, blocks = parse(page, spared)
     if not blocks:
         return ""
     body = next((i for i, n in enumerate(nodes) if n.tag == "body"), 0)

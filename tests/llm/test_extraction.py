@@ -50,6 +50,30 @@ def test_awkward_rows(spark):
     assert extraction.extract(empty(spark).selectExpr("doc_id AS page_id", "lang AS url", "text AS html")).count() == 0
 
 
+def test_names_do_not_drop_what_holds_the_article():
+    story = "".join(f"<p>This is sentence number {i} of the story, which goes on for a while.</p>" for i in range(9))
+    text = "\n\n".join(f"This is sentence number {i} of the story, which goes on for a while." for i in range(9))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>entry {i}</a>" for i in range(20)) + "</ul>"
+    side = f"<div class='sidebar'>{menu}<p>About us, in some words</p></div><div class='footer-widget'><p>Imprint</p></div>"
+    for name in ("content has-sidebar", "elementor-widget-container", "sidebar", "page-with-comments"):
+        for inner in (f"<article>{story}</article>", f"<main><div>{story}</div></main>"):
+            assert extraction.main_text(f"<body><div class='{name}'>{inner}{side}</div>{side}") == text, name
+    for name in ("content has-sidebar", "elementor-widget-container", "no-sidebar ad-free"):
+        assert extraction.main_text(f"<body><div class='{name}'><div>{story}</div>{side}</div>{side}") == text, name
+        assert extraction.main_text(f"<body><div id=page class='{name}'>{story}</div><div class=comments><p>{'I like it. ' * 200}</p></div>") == text, name
+    parts = story.split("</p>")
+    widgets = "".join(f"<div class='elementor-element elementor-widget elementor-widget-text'><div class='elementor-widget-container'>{''.join(parts[i : i + 3])}</div></div>" for i in (0, 3, 6))
+    assert extraction.main_text(f"<body><div class=row>{widgets}</div>{side}") == text
+
+
+def test_names_still_drop_the_rest():
+    story = "".join(f"<p>This is sentence number {i} of the story, which goes on for a while.</p>" for i in range(9))
+    for extra in ("<div class=comments><p>first!</p><article class=comment><p>second!</p></article></div>", "<div class='comment-list'><p>first!</p></div>", "<div class='cookie-notice'><p>We use cookies, as you like them</p></div>"):
+        for page in (f"<article>{story}{extra}</article>", f"<div class=has-sidebar><div>{story}{extra}</div></div>"):
+            found = extraction.main_text(f"<body>{page}")
+            assert found.startswith("This is sentence number 0") and found.count("\n\n") == 8, (page[-200:], found[-200:])
+
+
 def test_density_picks_the_article_without_names():
     menu = "<div>" + "".join(f"<p><a href=/{i}>entry {i}</a></p>" for i in range(60)) + "</div>"
     body = "<div>" + "".join(f"<p>This is sentence number {i} of the story, which goes on for a while.</p>" for i in range(8)) + "</div>"
