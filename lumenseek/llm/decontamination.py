@@ -75,6 +75,8 @@ def build(names: list[str], texts: list[str | None], window: int = WINDOW, gram:
 
 def _row_windows(valid: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
     """valid, but False too where the gram ``width - 1`` places before belongs to another row."""
+    if len(valid) < width:
+        return np.zeros(len(valid), bool)
     out = valid.copy()
     if width > 1:
         out[: width - 1] = False

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, documents, empty
 
@@ -53,6 +54,19 @@ def test_every_long_span_is_found(spark):
     assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == {n: n if n >= 10 else 0 for n in range(1, 40)}
 
 
+def test_slices_and_benchmarks_of_few_words(spark):
+    long = [f"w{i}" for i in range(14)]
+    index = decontamination.build(["1"], [" ".join(long)])
+    for n in range(13):
+        counts, spans, items = decontamination.hits(pa.array([" ".join(long[:n])]), index)
+        assert (counts.tolist(), spans, items) == ([n], [(0, 0, n)] if n >= 10 else [], {0: {0}} if n >= 10 else {})
+        counts, spans, items = decontamination.hits(pa.array([" ".join(long)]), decontamination.build(["1"], [" ".join(long[:n])]))
+        assert (counts.tolist(), spans, items) == ([14], [(0, 0, n)] if n else [], {0: {0}} if n else {})
+    docs = spark.createDataFrame([(1, "just these four words")], "doc_id bigint, text string")
+    found = decontamination.contamination(docs, spark.createDataFrame([(1, " ".join(long))], "item_id bigint, text string")).collect()
+    assert [(r["n_words"], r["n_hit"], r["contaminated"]) for r in found] == [(4, 0, False)]
+
+
 def test_empty_tables_and_clashes(spark):
     docs = documents(spark, AWKWARD)
     nothing = spark.createDataFrame([], "item_id bigint, text string")
