@@ -39,15 +39,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 def learnt(sample: DataFrame, learn: Callable[[list[str], list[int]], bytes], most_bytes: int) -> bytes:
     """What ``learn`` makes, in one task, of the sample's texts and labels in an order that no run changes.
 
-    The sample is bounded in rows; of its texts, whole ones are used until they make ``most_bytes`` together, so the task's memory is bounded too.
+    The sample is bounded in rows; of its texts, whole ones are used as far as they fit into ``most_bytes`` together, so the task's memory is bounded too.
+    A text that does not fit takes no room from those after it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels, size = [], [], 0
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                size += len(text or "")
-                if size <= most_bytes:
+                if size + len(text or "") <= most_bytes:
+                    size += len(text or "")
                     texts.append(text or "")
                     labels.append(label)
         model = learn(texts, labels)

@@ -191,7 +191,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; all rows if the model had nothing to learn from."""
+    if not model.bias and not model.table.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return common.filter_rows(docs, lambda column: sigmoid(logits(column, shared.value)) < threshold, limit=500_000)
 

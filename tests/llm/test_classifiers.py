@@ -47,6 +47,22 @@ def test_training_rows_leave_out_the_held_out(spark):
     assert 40 < sampling.training_rows(docs, labels, "quality", 80).count() < 130
 
 
+def test_nothing_to_learn_from_drops_nothing(spark):
+    docs = documents(spark, AWKWARD)
+    schema = "doc_id bigint, toxic int"
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for rows in ([], [(i, None) for i in range(20)], [(i, 1) for i in held], [(10**6, 1), (10**6 + 1, 0)]):
+        model = toxicity.train(docs, spark.createDataFrame(rows, schema))
+        kept = toxicity.keep_clean(docs, model)
+        assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_a_text_too_long_to_learn_from_does_not_shut_out_others(spark):
+    sample = spark.createDataFrame([(i, "x" * (1000 if i % 7 == 0 else 10), i % 2) for i in range(100)], "doc_id bigint, text string, label int")
+    found = sampling.learnt(sample, lambda texts, labels: f"{len(texts)} {max(map(len, texts), default=0)}".encode(), 900)
+    assert found == b"85 10"
+
+
 def test_scores_equal_plain_dot_product():
     rng = np.random.default_rng(2)
     weights = rng.normal(size=(1 << quality.BITS) + 1).astype(np.float32)
