@@ -5,17 +5,18 @@ blocks of 1,024, each starting at a word of its own whose index the segment list
 decoded alone and all words of one selector at once. Values of 2**60 and more are escapes: a
 zero stands in the words and the segment lists position and value.
 
-A file is a run of segments. Each has, in little-endian 64-bit words: magic, number of the file's
-part in doc_id order, documents, ids, blocks, words, escapes; the documents' doc_ids, their token
+A file is a run of segments. Each has, in little-endian 64-bit words: magic, number of the part that it belongs to,
+in doc_id order, ids of the part before it, documents, ids, blocks, words, escapes; the documents' doc_ids, their token
 counts (top bit: doc_id is null), the first word of each block, the escapes' positions and values,
-the words, and the CRC-32 of all that; then the end mark. Spark's text writer puts the segments out, with the end
-mark as its line separator, so the files can lie in any store that Spark writes to.
+the words, and the CRC-32 of all that; then the end mark. A part is what one task writes, in one or more files. Spark's text
+writer puts the segments out, with the end mark as its line separator, so the files can lie in any store that Spark writes to.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,15 @@ SELECTORS = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10,
 BLOCK = 1024
 MAGIC = b"S8BSEG01"
 END = b"S8BEND01"
-HEADER_WORDS = 7
+HEADER_WORDS = 8
 NULL_ID = 1 << 63
 SEGMENT_IDS = 500_000
 #: Words that a worker keeps encoded; sorting the texts takes memory beside it.
-CACHED_WORDS = 600_000
-FILE_BYTES = 48 << 20
+CACHED_WORDS = 500_000
+#: Text that a task writes, about, up to so many tasks; beyond, each takes more. Segments (some 1 MB each) a file.
+PART_BYTES = 16 << 20
+MOST_PARTS = 100_000
+FILE_SEGMENTS = 48
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -114,47 +118,70 @@ def decode(words: np.ndarray, escapes: np.ndarray = (), escaped: np.ndarray = ()
     return out
 
 
-def segment(part: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of one segment, without the end mark."""
+def segment(part: int, before: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of one segment, without the end mark. ``before``: ids of the part in its earlier segments."""
     words, blocks, escapes, escaped = encode(ids)
     lengths = np.asarray(counts, np.uint64) | np.array([NULL_ID if d is None else 0 for d in doc_ids], np.uint64)
-    head = np.array([part, len(doc_ids), len(ids), len(blocks) - 1, len(words), len(escapes)], np.uint64)
+    head = np.array([part, before, len(doc_ids), len(ids), len(blocks) - 1, len(words), len(escapes)], np.uint64)
     body = b"".join(np.ascontiguousarray(x).astype("<u8").tobytes() for x in (head, np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64), lengths, blocks, escapes, escaped, words))
     return MAGIC + body + np.array([zlib.crc32(body)], "<u8").tobytes()
 
 
-def read_segments(data: bytes | memoryview) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
-    """(part, doc_ids, token counts, ids) of each segment of a file; damage raises ValueError."""
+class Segment(NamedTuple):
+    part: int
+    before: int  # ids of the part in earlier segments
+    doc_ids: list[int | None]
+    counts: np.ndarray
+    blocks: np.ndarray  # first word of each block, and their end
+    escapes: np.ndarray
+    escaped: np.ndarray
+    words: np.ndarray
+
+    def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        """The ids from ``start`` up to ``end``: only the blocks that hold them are decoded."""
+        end = int(self.counts.sum()) if end is None else end
+        if start >= end:
+            return np.zeros(0, np.uint64)
+        first, last = start // BLOCK, -(-end // BLOCK)
+        a, b = np.searchsorted(self.escapes, [first * BLOCK, last * BLOCK])
+        found = decode(self.words[int(self.blocks[first]) : int(self.blocks[last])], self.escapes[a:b].astype(np.int64) - first * BLOCK, self.escaped[a:b])
+        if len(found) < end - first * BLOCK:
+            raise ValueError(f"blocks {first} to {last} hold {len(found)} ids only")
+        return found[start - first * BLOCK : end - first * BLOCK]
+
+
+def read_segments(data: bytes | memoryview) -> Iterator[Segment]:
+    """The segments of a file, checked but not decoded yet; damage raises ValueError."""
     at, data = 0, memoryview(data)
     while at < len(data):
         if bytes(data[at : at + 8]) != MAGIC:
             raise ValueError(f"no segment at byte {at}")
-        part, docs, n, blocks, n_words, n_escapes = (int(x) for x in np.frombuffer(data, "<u8", HEADER_WORDS - 1, at + 8))
+        part, before, docs, n, blocks, n_words, n_escapes = (int(x) for x in np.frombuffer(data, "<u8", HEADER_WORDS - 1, at + 8))
         size = 8 * (HEADER_WORDS - 1 + 2 * docs + blocks + 1 + 2 * n_escapes + n_words)
         body = data[at + 8 : at + 8 + size]
         if len(body) < size or zlib.crc32(body) != np.frombuffer(data, "<u8", 1, at + 8 + size)[0]:
             raise ValueError(f"damaged segment at byte {at}")
-        fields = np.split(np.frombuffer(body, "<u8"), np.cumsum([HEADER_WORDS - 1, docs, docs, blocks + 1, n_escapes, n_escapes]))
-        lengths = fields[2]
+        _, names, lengths, offsets, escapes, escaped, words = np.split(np.frombuffer(body, "<u8"), np.cumsum([HEADER_WORDS - 1, docs, docs, blocks + 1, n_escapes, n_escapes]))
         null = lengths >> np.uint64(63) != 0
-        doc_ids = [None if z else d for d, z in zip(fields[1].astype(np.uint64).view(np.int64).tolist(), null.tolist())]
-        ids = decode(fields[6], fields[4], fields[5])
-        if len(ids) != n:
-            raise ValueError(f"segment at byte {at} has {len(ids)} ids, not {n}")
-        yield part, doc_ids, (lengths & np.uint64(NULL_ID - 1)).astype(np.int64), ids
+        doc_ids = [None if z else d for d, z in zip(names.astype(np.uint64).view(np.int64).tolist(), null.tolist())]
+        counts = (lengths & np.uint64(NULL_ID - 1)).astype(np.int64)
+        if int(counts.sum()) != n:
+            raise ValueError(f"segment at byte {at} counts {int(counts.sum())} ids, not {n}")
+        yield Segment(part, before, doc_ids, counts, offsets, escapes, escaped, words)
         at += 8 + size + 8 + len(END)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DOCUMENT_END) -> None:
     """Write the ids of all documents, in ascending doc_id order (nulls first; ties by text), to files below ``path``.
 
-    docs: columns doc_id and text, others are ignored. A null or empty text is the end id alone. Files hold about
-    ``FILE_BYTES`` of text each: the number of range partitions follows the size that Spark knows of the input.
+    docs: columns doc_id and text, others are ignored. A null or empty text is the end id alone; repeated rows are written each; an empty
+    table gives no segments. The number of range partitions follows the size that Spark knows of the input; a task holds one segment at a time,
+    and files hold ``FILE_SEGMENTS`` of them at most, so both stay small however much a task has to write.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // (FILE_BYTES // 3)), 100_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -162,10 +189,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
 
         def put() -> pa.RecordBatch:
             ids = np.concatenate([h[1] for h in held])
-            data = segment(part, [d for h in held for d in h[0]], np.concatenate([h[2] for h in held]), ids)
+            data = segment(part, before, [d for h in held for d in h[0]], np.concatenate([h[2] for h in held]), ids)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
-        held, n = [], 0
+        held, n, before = [], 0, 0
         for batch in batches:
             for piece in common.slices(batch, "text", 1_000_000):
                 ids, counts = tokens.with_end(*encoder.ids(common.texts_of(piece.column("text"))), end_id)
@@ -173,37 +200,59 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
                 n += len(ids)
                 if n >= SEGMENT_IDS:
                     yield put()
-                    held, n = [], 0
+                    held, n, before = [], 0, before + n
         if held:
             yield put()
+        held.clear()
+        common.release()
 
     segments = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "segment binary")
     # the cast keeps the bytes as they are, and so does the text writer
-    segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END.decode("ascii")).text(path)
+    segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END.decode("ascii")).option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """part, doc_id, n_before (ids before it in its part), n_tokens and ids_crc32 of every document in the files."""
+    """part, doc_id, n_before (ids before it in its part), n_tokens and ids_crc32 of every document in the files.
+
+    One row per document written, with repeats and null doc_ids; files without segments give no rows; damage fails. A file is held whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                before = 0
-                for part, doc_ids, counts, ids in read_segments(content.as_buffer()):
-                    starts = np.cumsum(counts) - counts
-                    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in tokens.pieces_of(ids, counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(doc_ids), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts + before, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["part", "doc_id", "n_before", "n_tokens", "ids_crc32"])
-                    before += len(ids)
+                for found in read_segments(content.as_buffer()):
+                    starts = np.cumsum(found.counts) - found.counts
+                    data = memoryview(found.ids().astype("<u4").tobytes())
+                    crcs = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), found.counts.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([found.part] * len(crcs), pa.int64()), pa.array(found.doc_ids, pa.int64()), pa.array(starts + found.before, pa.int64()), pa.array(found.counts, pa.int64()), pa.array(crcs, pa.int64())], ["part", "doc_id", "n_before", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, "part bigint, doc_id bigint, n_before bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the documents asked for, a row for each time that they were written. Only the blocks that hold them are decoded."""
+    wanted = frozenset(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for found in read_segments(content.as_buffer()):
+                    starts = np.cumsum(found.counts) - found.counts
+                    for i, doc_id in enumerate(found.doc_ids):
+                        if doc_id in wanted:
+                            ids = found.ids(int(starts[i]), int(starts[i] + found.counts[i]))
+                            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select("content").mapInArrow(run, "doc_id bigint, ids array<bigint>")
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 from the files below ``path``.
 
-    One row per document, repeated rows included; no files give no rows. A part is one file,
-    so the parts' totals are as few as the files and their running sum is taken over those alone.
+    One row per document, repeated rows included; no files give no rows. The parts' totals
+    are ``MOST_PARTS`` at most and their running sum is taken over those alone.
     """
     rows = common.materialize(read(spark, path), "token-index")
     totals = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}

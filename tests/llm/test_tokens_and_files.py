@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from lumenseek.llm import common, packing, simple8b, tokens
 BYTES, WORDS = tokens.tokenizer_path("byte_bpe_50k.json"), tokens.tokenizer_path("word_bpe_49k.json")
 
 
+@functools.cache
 def whole(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -35,15 +37,46 @@ def test_documents_have_the_ids_of_whole_texts(spark, path, sf_dir):
         assert e.ids == got.tolist()
 
 
-def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
-    encoder = tokens.Encoder(BYTES)
-    plain = whole(BYTES)
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=60, deadline=None)
+@given(words=st.lists(st.text(st.sampled_from("abZéßÿñ×÷µªΣİ1_#.,'’"), min_size=1, max_size=9), max_size=30), most=st.integers(2, 40))
+def test_words_with_marks_have_the_ids_of_whole_texts(path, words, most):
+    encoder = FEW.setdefault(path, tokens.Encoder(path))
+    encoder.most = most
+    texts = [" ".join(words), "\n".join(words)]
+    ids, counts = encoder.ids(texts)
+    assert [x.tolist() for x in tokens.pieces_of(ids, counts)] == [e.ids for e in whole(path).encode_batch(texts, add_special_tokens=False)]
+
+
+FEW: dict[str, tokens.Encoder] = {}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_cache_is_bounded_and_keeps_what_comes_again(path):
+    encoder = tokens.Encoder(path, 60)
+    plain = whole(path)
     for k in range(10):
         texts = [" ".join(f"w{k * 7 + i}" for i in range(30)), "x" * 100 + f" {k}", "common words here"]
         ids, counts = encoder.ids(texts)
         assert [x.tolist() for x in tokens.pieces_of(ids, counts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-        assert len(encoder.slots) <= 50 and not any(len(p) > tokens.CACHE_CHARS for p in encoder.slots)
+        assert len(encoder.slots) <= 60 and not any(len(p) > tokens.CACHE_CHARS for p in encoder.slots)
+    assert "common" in encoder.slots
+
+
+def test_each_piece_is_encoded_once_a_call_however_long_another_is():
+    encoder = tokens.Encoder(BYTES)
+    asked, plain, joined = [], encoder._plain, encoder.words.ids
+    encoder._plain = lambda pieces: asked.extend(pieces) or plain(pieces)
+    encoder.words.ids = lambda pieces: asked.extend(pieces) or joined(pieces)
+    encoder.ids(["some words, x1 " + "y" * 200 + " some words, x1"])
+    assert sorted(asked) == sorted(["some", " words", ",", " x1", " " + "y" * 200, " some"])
+    asked.clear()
+    encoder.ids([" some words. x1"])
+    assert asked == ["."]
+
+
+def test_an_encoder_takes_the_bound_of_its_last_caller():
+    assert tokens.encoder(BYTES, 10).most == 10 and tokens.encoder(BYTES).most == tokens.CACHE_PIECES
 
 
 @settings(max_examples=80, deadline=None)
@@ -66,14 +99,36 @@ def test_blocks_decode_alone_and_words_are_full():
 
 
 def test_segments_tell_damage():
-    data = simple8b.segment(3, [5, None, 9], np.array([2, 0, 1]), np.array([7, 2, 2], np.uint64)) + simple8b.END
-    ((part, ids, counts, values),) = simple8b.read_segments(data)
-    assert (part, ids, counts.tolist(), values.tolist()) == (3, [5, None, 9], [2, 0, 1], [7, 2, 2])
+    data = simple8b.segment(3, 40, [5, None, 9], np.array([2, 0, 1]), np.array([7, 2, 2], np.uint64)) + simple8b.END
+    (found,) = simple8b.read_segments(data)
+    assert (found.part, found.before, found.doc_ids, found.counts.tolist(), found.ids().tolist()) == (3, 40, [5, None, 9], [2, 0, 1], [7, 2, 2])
     for bad in (data[:40], b"x" + data, data[:70] + bytes([data[70] ^ 1]) + data[71:]):
         with pytest.raises(ValueError):
             list(simple8b.read_segments(bad))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 5000), st.integers(0, 5000), st.integers(0, 2**32))
+def test_any_ids_of_a_segment_are_read_from_their_blocks_alone(a, b, seed):
+    v = np.random.default_rng(seed).integers(0, 1 << 20, 5000).astype(np.uint64)
+    v[::701] += np.uint64(1 << 62)
+    (found,) = simple8b.read_segments(simple8b.segment(0, 0, [1, 2], np.array([2000, 3000]), v) + simple8b.END)
+    assert (found.ids(a, b) == v[a:b]).all() and (found.ids() == v).all()
+
+
+def test_small_files_in_several_segments(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(simple8b, "SEGMENT_IDS", 5_000)
+    monkeypatch.setattr(simple8b, "FILE_SEGMENTS", 3)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = common.scratch_path(spark, "small-files")
+    simple8b.write(docs, path, BYTES)
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted(tuple(r) for r in simple8b.index(spark, path).collect()) == expected_files(rows, BYTES)
+    some = {d: t for d, t in rows if d % 50 == 3}
+    found = {r["doc_id"]: r["ids"] for r in simple8b.ids_of(spark, path, list(some)).collect()}
+    assert found == {d: [*whole(BYTES).encode(t or "", add_special_tokens=False).ids, 2] for d, t in some.items()}
+
+
 def expected_files(rows, path):
     """doc_id, start, n_tokens, crc by encoding every text whole, in doc_id order."""
     plain, at, out = whole(path), 0, []
