@@ -1,11 +1,13 @@
 """Main text of HTML pages by composite text density.
 
-Every DOM node has a density: characters per tag, weighed by how few of its characters and tags belong to links. The sum of
-its children's densities is largest for the node that holds an article's paragraphs. That node is the
-article (or the article or main element around it). The least density on its path up to the body, which itself is diluted by all else, is the threshold: what
-stands beside that path and is at least so dense belongs to the article too. Elements that by their name,
-role or class are no article text (menus, adverts, forms, reader comments and so on) are left out of the tree from the start. A class or id
-alone does not leave out what holds an article or main element, and one that says more than such a name (has-sidebar, widget-container)
+Every DOM node has a density: characters per tag, weighed by how few of its characters and tags belong to links; nodes of links alone have none. The sum of
+its children's densities is largest for the node that holds an article's paragraphs; it is sought among the elements that hold others, as a
+paragraph alone is no article. That node is the article, or the article or main element around it, whose authors say what belongs to it: then nothing is added. Else the least
+density on its path up to the body, which itself is diluted by all else, is the threshold: what stands beside that path and is at least so dense belongs to the article too.
+
+Elements that by their tag, role or attributes are no article text (menus, adverts, forms and so on) are left out of the tree from the start, and so
+are those whose class or id names such a part. Words that are said of other things too count as the last one of a name only, generic words such as box aside: share-price is a price, share-box is not. A class or id
+alone does not leave out what holds an article or main element, and one that says more than such a name (widget-container)
 does not leave out most of the page's plain text, be it in one element or in all that have the word; there the densities decide.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -52,9 +54,24 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Words in a class or id that say nothing about what an element holds, and first words of those that describe the page instead.
+GENERIC_NAMES = frozenset("area bar block body bottom box btn bottoms button buttons col column container content element entries feed group holder icons inner item items left line link links list main outer panel post posts right row section sections slot space top unit view wrap wrapper zone".split())
+STATE_NAMES = frozenset("has is no non not with without".split())
+#: Names of an article's own heading, which is part of it.
+HEADING_NAMES = frozenset(("header", "masthead"))
+ARTICLE_NAMES = frozenset("article entry post story recipe chapter title content".split())
+#: Names that are also said of what an article tells; they count only where they are a name's last telling word.
+WEAK_NAMES = frozenset("banner consent cookie cookies header masthead menu notice notices promoted related respond share sharing social".split())
+#: Elements that do not hold a whole article: single blocks of text.
+TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address caption figcaption legend summary option tr td th hr".split())
+
+_TAG_PATTERN = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]LIMIT"|'[^']LIMIT')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"""
+_TAG = re.compile(_TAG_PATTERN.replace("LIMIT", "*+"), re.S)
+#: After a quote that no other one ends, values are read up to this length only, as each search for their ends goes through the page.
+_TAG_SHORT = re.compile(_TAG_PATTERN.replace("LIMIT", "{0,2000}+"), re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CACHED_CHARS = 256
 
 
 class _Drop(NamedTuple):
@@ -63,27 +80,52 @@ class _Drop(NamedTuple):
     exact: bool = False  # a class or the id consists of such words alone
 
 
-@lru_cache(4096)
+def _named(token: str, in_article: bool) -> frozenset[str]:
+    """The words of a class or id that mark what has it as no article text."""
+    words = [w.lower() for w in _NAME_WORDS.findall(token)]
+    if not words or words[0] in STATE_NAMES or any(w in STATE_NAMES for w in words[1:-1]):
+        return frozenset()
+    found = DROPPED_NAMES.intersection(words)
+    if found - WEAK_NAMES:
+        return found
+    last = next((w for w in reversed(words) if w not in GENERIC_NAMES), words[-1])
+    if last not in found or last in HEADING_NAMES and (in_article or not ARTICLE_NAMES.isdisjoint(words)):
+        return frozenset()
+    return found
+
+
 def _dropped(tag: str, attributes: str, in_article: bool) -> _Drop:
+    return (_kept_drops if len(attributes) <= _CACHED_CHARS else _drop)(tag, attributes, in_article)
+
+
+def _drop(tag: str, attributes: str, in_article: bool) -> _Drop:
     if tag in DROPPED or tag == "header" and not in_article:
         return _Drop(True)
-    marks, exact = set(), False
+    marks, exact, seen = set(), False, set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name in seen:
+            continue
+        seen.add(name)
         if name == "role" and value.lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return _Drop(True)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return _Drop(True)
-        if name in ("class", "id") and tag not in ("html", "body", *ARTICLE):
+        if name not in ("class", "id"):
+            continue
+        if tag not in ("html", "body", *ARTICLE):
             for token in value.split():
-                words = {w.lower() for w in _NAME_WORDS.findall(token)}
-                marks |= words & DROPPED_NAMES
-                exact |= bool(words) and words <= DROPPED_NAMES
-        if name in ("class", "id") and tag == "article" and any(w.lower() in ("comment", "comments", "ad", "advert", "promo", "related") for w in _NAME_WORDS.findall(value)):
+                words = _named(token, in_article)
+                marks |= words
+                exact |= bool(words) and len(words) == len({w.lower() for w in _NAME_WORDS.findall(token)})
+        if tag == "article" and any(w.lower() in ("comment", "comments", "ad", "advert", "promo", "related") for w in _NAME_WORDS.findall(value)):
             return _Drop(True)
     return _Drop(False, frozenset(marks), exact)
 
 
+_kept_drops = lru_cache(4096)(_drop)
+
+
 class _Node:
     __slots__ = ("tag", "parent", "end", "chars", "tags", "link_chars", "link_tags", "density", "children_density", "link", "dropped", "why", "never", "plain", "holds")
 
@@ -102,10 +144,12 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[_Node],
     """
     nodes = [_Node("#root", -1, False, False)]
     stack = [0]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag in the stack
+    open_blocks: list[int] = []  # places of the open block elements
     blocks: list[tuple[int, str]] = []
     held: list[str] = []
     owner = 0
-    at, size, article_depth = 0, len(page), 0
+    at, size, article_depth, pattern = 0, len(page), 0, _TAG
 
     def put() -> None:
         nonlocal held
@@ -139,7 +183,10 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[_Node],
         i = stack.pop()
         node = nodes[i]
         node.end = len(nodes)
+        if i:
+            places[node.tag].pop()
         if node.tag in BLOCK:
+            open_blocks.pop()
             put()
         if node.tag in ARTICLE:
             article_depth -= 1
@@ -153,15 +200,14 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[_Node],
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close_to(names, bounds) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in names:
-                while len(stack) > k:
-                    close()
-                return
-            if tag in bounds:
-                return
+        k = last(names)
+        if k and k > last(bounds):
+            while len(stack) > k:
+                close()
 
     while at < size:
         lt = page.find("<", at)
@@ -170,31 +216,30 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[_Node],
             break
         if lt > at:
             say(page[at:lt])
-        m = _TAG.match(page, lt)
+        m = pattern.match(page, lt)
         if not m:
             say("<")
             at = lt + 1
             continue
         at = m.end()
         tag = m[2] or m[5]
+        if m[5]:
+            pattern = _TAG_SHORT
         if not tag:
             continue
         tag, attributes = tag.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
             if tag not in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        while len(stack) > k:
-                            close()
-                        break
-                    if nodes[stack[k]].tag in BLOCK:
-                        break
+                k = places[tag][-1] if places.get(tag) else 0
+                if k and (not open_blocks or k > open_blocks[-1]):
+                    while len(stack) > k:
+                        close()
             elif tag == "p":
                 close_to({"p"}, ENDS_PARAGRAPH - {"p"})
             elif tag not in ("html", "body"):
                 close_to({tag}, ())
             continue
-        if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in BLOCK:
             if tag in ENDS_PARAGRAPH:
@@ -216,6 +261,9 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[_Node],
         why = _dropped(tag, attributes, article_depth > 0)
         dropped = up.dropped or why.always or bool(why.words) and len(nodes) not in spared
         nodes.append(_Node(tag, stack[-1], up.link or tag == "a", dropped, why, up.never or why.always))
+        places[tag].append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
         stack.append(len(nodes) - 1)
         article_depth += tag in ARTICLE
         if attributes.endswith("/") and tag in ("svg", "path"):
@@ -253,7 +301,7 @@ def _density(node: _Node, body: _Node) -> float:
         return 0.0
     chars, tags = node.chars, max(1, node.tags)
     plain = max(1, chars - node.link_chars)
-    linked = math.log(chars / max(1, node.link_chars) * tags / max(1, node.link_tags) + math.e)
+    linked = math.log(max(1.0, chars / max(1, node.link_chars) * tags / max(1, node.link_tags)) + (math.e - 1 if plain > 1 else 0))
     base = math.log(chars / plain * node.link_chars + body.link_chars / max(1, body.chars) * chars + math.e)
     return chars / tags * linked / math.log(base + math.e - 1)
 
@@ -269,23 +317,26 @@ def main_text(page: str | None) -> str:
         return ""
     body = next((i for i, n in enumerate(nodes) if n.tag == "body"), 0)
     for node in nodes:
-        if not node.dropped and (node.tag in BLOCK or node.parent < 0):
+        if not node.dropped:
             node.density = _density(node, nodes[body])
             if node.parent >= 0:
                 nodes[node.parent].children_density += node.density
     inside = range(body, nodes[body].end)
-    best = max((i for i in inside if not nodes[i].dropped and nodes[i].tag in BLOCK or not i), key=lambda i: nodes[i].children_density, default=body)
+    best = max((i for i in inside if not nodes[i].dropped and nodes[i].tag in BLOCK and nodes[i].tag not in TEXT_BLOCK or not i), key=lambda i: nodes[i].children_density, default=body)
     path = [best]
     while path[-1] != body and nodes[path[-1]].parent >= 0:
         path.append(nodes[path[-1]].parent)
     best = next((i for i in path if nodes[i].tag in ARTICLE), best)
     path = path[path.index(best) :]
     threshold = min(nodes[i].density for i in path if i != body or best == body)
-    taken = [(best, nodes[best].end)]
-    on_path = set(path)
+    taken = bytearray(len(nodes))
+    taken[best : nodes[best].end] = b"\1" * (nodes[best].end - best)
     if nodes[best].tag not in ARTICLE:
-        taken += [(i, n.end) for i, n in enumerate(nodes) if n.parent in on_path and i not in on_path and n.parent != best and not n.dropped and n.density >= threshold > 0]
-    return "\n\n".join(text for owner, text in blocks if any(a <= owner < b for a, b in taken))
+        on_path = set(path)
+        for i, n in enumerate(nodes):
+            if n.parent in on_path and i not in on_path and n.parent != best and not n.dropped and n.density >= threshold > 0:
+                taken[i : n.end] = b"\1" * (n.end - i)
+    return "\n\n".join(text for owner, text in blocks if taken[owner])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,13 @@
 import html
+import math
+import random
 import re
+import time
+from xml.etree import ElementTree
 
 from helpers import empty
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lumenseek.llm import common, extraction
 
@@ -74,6 +80,96 @@ def test_names_still_drop_the_rest():
             assert found.startswith("This is sentence number 0") and found.count("\n\n") == 8, (page[-200:], found[-200:])
 
 
+STORY = "".join(f"<p>This is sentence number {i} of the story, which goes on for a while.</p>" for i in range(9))
+STORY_TEXT = "\n\n".join(f"This is sentence number {i} of the story, which goes on for a while." for i in range(9))
+
+
+def test_attributes_are_read_by_their_names():
+    kept = {
+        '<p title="the hidden truth">Kept one.</p>': "Kept one.",
+        '<p data-hidden="false">Kept two.</p>': "Kept two.",
+        '<p data-id="sidebar">Kept three.</p>': "Kept three.",
+        '<p>See <a href="/x?id=comments">the comments</a> there.</p>': "See the comments there.",
+        '<div class="article-header"><h1>A title</h1></div>': "A title",
+        '<p class="share-price">It fell to 3.</p>': "It fell to 3.",
+        "<p data-x='class=ad' lang=en>Kept four.</p>": "Kept four.",
+        '<p class="cookie-recipe" aria-hidden="false">Two eggs.</p>': "Two eggs.",
+    }
+    for piece, text in kept.items():
+        for page in (f"<article>{piece}{STORY}</article>", f"<body><div>{piece}{STORY}</div></body>"):
+            assert extraction.main_text(page) == f"{text}\n\n{STORY_TEXT}", piece
+    for piece in ("<p hidden>x</p>", "<p HIDDEN=''>x</p>", "<div class='ad-text'>x</div>", "<p class='share-buttons'>x</p>", "<div id=comment-text>x</div>", "<p style='color:red;display: none'>x</p>", "<p aria-hidden=true>x</p>", "<div class=notice>x</div>"):
+        assert extraction.main_text(f"<article>{piece}{STORY}</article>") == STORY_TEXT, piece
+
+
+def plain_density(page):
+    """The article by the densities, computed node by node on a parsed tree of well-formed pages without class or id; sums are taken anew for each node."""
+    root = ElementTree.fromstring(page)
+
+    def counts(e, linked=False):
+        linked = linked or e.tag == "a"
+        own = [e.text or "", *(c.tail or "" for c in e)]
+        chars = sum(len(t.strip()) for t in own)
+        told = [chars, len(e), chars if linked else 0, sum(c.tag == "a" for c in e)]
+        for c in e:
+            told = [x + y for x, y in zip(told, counts(c, linked))]
+        return told
+
+    body = root.find("body")
+    body_chars, _, body_links, _ = counts(body)
+
+    def density(e, linked):
+        chars, tags, link_chars, link_tags = counts(e, linked)
+        if not chars:
+            return 0.0
+        plain = max(1, chars - link_chars)
+        shown = math.log(max(1.0, chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)) + (math.e - 1 if plain > 1 else 0))
+        return chars / max(1, tags) * shown / math.log(math.log(chars / plain * link_chars + body_links / max(1, body_chars) * chars + math.e) + math.e - 1)
+
+    up = {c: e for e in root.iter() for c in e}
+
+    def linked(e):
+        return e is not None and (e.tag == "a" or linked(up.get(e)))
+
+    best = max((e for e in body.iter() if e.tag in ("body", "div", "section", "ul")), key=lambda e: sum(density(c, linked(c)) for c in e))
+    path = [best]
+    while path[-1] is not body:
+        path.append(up[path[-1]])
+    least = min(density(e, linked(e)) for e in path if e is not body or best is body)
+    taken = [best, *(c for e in path[1:] for c in e if c not in path and density(c, linked(c)) >= least)]
+    return "\n\n".join(" ".join("".join(p.itertext()).split()) for p in body.iter("p") if any(p in set(t.iter()) for t in taken))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32))
+def test_pages_without_article_elements_equal_a_plain_computation(seed):
+    rng = random.Random(seed)
+
+    def words(n):
+        return " ".join("word%d" % rng.randrange(1000) for _ in range(n))
+
+    def p():
+        inner = "".join(rng.choice([words(rng.randint(1, 12)), f"<b>{words(2)}</b>", f"<a>{words(2)}</a>", f"<i>{words(1)}<a>{words(1)}</a></i>"]) + " " for _ in range(rng.randint(1, 8)))
+        return f"<p>{inner}</p>"
+
+    def div(depth):
+        parts = [p() if depth == 0 or rng.random() < 0.5 else div(depth - 1) for _ in range(rng.randint(1, 6))]
+        tag = rng.choice(["div", "section"])
+        return f"<{tag}>{''.join(parts)}</{tag}>"
+
+    page = f"<html><body>{''.join(div(rng.randint(0, 3)) for _ in range(rng.randint(1, 4)))}</body></html>"
+    assert extraction.main_text(page) == plain_density(page)
+
+
+def test_long_broken_pages_end_soon():
+    began = time.process_time()
+    for page in ("<span>" * 60_000 + "x" + "</b>" * 60_000, "<b><div>" + "<span>" * 60_000 + "</b>" * 60_000, "<p>" + "<button>" * 30_000 + "</p>" * 30_000, '<a ">' * 100_000, "<a '>x" * 60_000, "<div class='x'>" * 40_000 + "</i>" * 40_000, "<p>x</p>" * 60_000, "<article><p>" + "<![x" * 100_000, "<li>" * 60_000 + "</dd>" * 60_000):
+        extraction.main_text(page)
+    assert time.process_time() - began < 60
+    long = "<article>" + "<p>a paragraph of several words</p>" * 100_000 + "</article>"
+    assert extraction.main_text(long).count("\n\n") == 99_999
+
+
 def test_density_picks_the_article_without_names():
     menu = "<div>" + "".join(f"<p><a href=/{i}>entry {i}</a></p>" for i in range(60)) + "</div>"
     body = "<div>" + "".join(f"<p>This is sentence number {i} of the story, which goes on for a while.</p>" for i in range(8)) + "</div>"
