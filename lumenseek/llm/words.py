@@ -1,7 +1,8 @@
 """Words of whole Arrow text columns as 64-bit hashes, computed on the UTF-8 bytes without a Python loop.
 
-A word is a run of bytes that a 256-entry table marks; the table also folds A-Z. The hash of any byte
-range is a difference of prefix sums of byte * P**position, so all words of a column cost a few vector operations.
+A word is a run of bytes that a 256-entry table marks; the table also folds A-Z. A word's hash is the sum of a mixed value
+of each byte and its place, mixed again; unlike a polynomial in the places it has no words of a known pattern that
+collide. All words of a column cost a few vector operations.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 #: Odd multipliers, by which hashes modulo 2**64 are made.
 _P = 0x9E3779B97F4A7C15
 _Q = 0xC2B2AE3D27D4EB4F
+#: Second, independent hashes start from here.
+CHECK = 0x5851F42D4C957F2D
 _BLOCK = 1 << 18
 
 
@@ -34,6 +37,9 @@ BLACK = byte_table([0x20, *range(0x09, 0x0E)])
 class Words(NamedTuple):
     hashes: np.ndarray  # uint64, of all words of all rows
     bounds: np.ndarray  # words of row i are bounds[i]:bounds[i + 1]
+    folded: np.ndarray | None = None  # the bytes, and where each word starts and ends in them
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -81,20 +87,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def range_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range (starts ascending), the same for equal bytes wherever they stand."""
+def range_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each byte range (starts ascending, none empty), the same for equal bytes wherever they stand; another seed gives independent hashes."""
     out = np.zeros(len(starts), np.uint64)
+    lengths = ends - starts
+    before = np.concatenate(([0], np.cumsum(lengths)))
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
-        a, b = int(starts[at]), int(ends[at:to].max())
-        up, down = powers(b - a)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(folded[a:b].astype(np.uint64) * up[: b - a], out=sums[1:])
-        s, e = starts[at:to] - a, ends[at:to] - a
-        out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_Q)
+        to = max(at + 1, int(np.searchsorted(before, before[at] + _BLOCK, "right")) - 1)
+        firsts = before[at:to] - before[at]
+        place = np.arange(int(before[to] - before[at])) - np.repeat(firsts, lengths[at:to])
+        values = folded[np.repeat(starts[at:to], lengths[at:to]) + place].astype(np.uint64)
+        values |= place.astype(np.uint64) << np.uint64(8)
+        out[at:to] = np.add.reduceat(_spread(values ^ np.uint64(seed)), firsts)
         at = to
-    return mix(out)
+    return mix(out + lengths.astype(np.uint64) * np.uint64(_Q))
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """As ``mix``, in place; ends with a high bits' fold, so that sums of a few values are spread too."""
+    h *= np.uint64(_P)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def split(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +131,8 @@ def split(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def of(column: pa.Array, table: np.ndarray = ALNUM) -> Words:
     folded, starts, ends, bounds = split(column, table)
-    return Words(range_hashes(folded.astype(np.uint8), starts, ends), bounds)
+    folded = folded.astype(np.uint8)
+    return Words(range_hashes(folded, starts, ends), bounds, folded, starts, ends)
 
 
 def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

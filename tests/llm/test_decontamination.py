@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from helpers import AWKWARD, documents, empty
 
-from lumenseek.llm import decontamination
+from lumenseek.llm import common, decontamination
 
 
 def words(text):
@@ -46,6 +46,51 @@ def test_equals_brute_force(spark, seed, block_bytes):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(docs, items)
 
 
+def test_many_blocks_take_one_scan_and_go_out_one_by_one(spark, monkeypatch):
+    docs, items, _, b = tables(spark, 4)
+    docs = [(i, t) for i, t in docs if i is not None and i < 100]
+    path = common.scratch_path(spark, "docs")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(path)
+    size = sum(len((t or "").encode()) for _, t in items) // 7
+    assert decontamination.block_count(b, size) == 8
+    sent, rows = [], []
+    monkeypatch.setattr(decontamination, "block", lambda *a, f=decontamination.block: sent.append(f(*a)) or sent[-1])
+    monkeypatch.setattr(decontamination, "_search", lambda d, *a, f=decontamination._search, **k: rows.append(d.count()) or f(d, *a, **k))
+    found = decontamination.contamination(spark.read.parquet(path), b, block_bytes=size)
+    assert sorted((tuple(r)[:6] for r in found.collect()), key=repr) == brute(docs, items)
+    # the blocks share the items, and meet rows that the one scan of the documents let through
+    assert len(sent) == 8 and sum(len(index.names) for index in sent) == len(items)
+    assert len(set(rows)) == 1 and rows[0] < len(docs)
+    assert path.rsplit("/", 1)[1] not in found._jdf.queryExecution().executedPlan().toString()
+    clean = {r[0] for r in brute(docs, items) if not r[5]}
+    assert {r["doc_id"] for r in decontamination.keep_clean(spark.read.parquet(path), b, block_bytes=size).collect()} == clean
+
+
+def test_words_of_a_pattern_are_told_apart(spark):
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    first, second = ("".join("ab"[bit ^ k] for bit in morse) for k in (0, 1))
+    around = "one two three four five six seven eight nine"
+    assert decontamination.hits(pa.array([f"{second} {around}"]), decontamination.build(["1"], [f"{first} {around}"]))[1] == []
+    assert decontamination.hits(pa.array([f"{first} {around}"]), decontamination.build(["1"], [f"{first} {around}"]))[1] == [(0, 0, 10)]
+
+
+def test_windows_of_equal_hashes_are_told_apart_by_the_second(monkeypatch):
+    texts = [" ".join(f"w{i + 100 * k}" for i in range(10)) for k in range(4)]
+    monkeypatch.setattr(decontamination.words, "range_hashes", lambda folded, s, e, seed=0, f=decontamination.words.range_hashes: f(folded, s, e, seed) * (seed != 0))
+    index = decontamination.build(["0", "1", "2"], texts[:3])
+    counts, spans, items = decontamination.hits(pa.array(texts), index)
+    assert items == {0: {0}, 1: {1}, 2: {2}} and [s[0] for s in spans] == [0, 1, 2]
+
+
+def test_a_text_of_several_megabytes(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    long = " ".join(f"w{i}" for i in range(900_000)) + f" {passage}"
+    docs = spark.createDataFrame([(1, long), (2, long[:5_000_000])], "doc_id bigint, text string")
+    found = decontamination.contamination(docs, spark.createDataFrame([(1, passage)], "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["n_words"] > 600_000) for r in found) == [(1, 12, True), (2, 0, True)]
+
+
 def test_every_long_span_is_found(spark):
     rng = random.Random(9)
     passage = [f"w{rng.randrange(10**6)}" for _ in range(60)]
