@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Arrow batches between Spark and Python: Spark's own limit of 64 MB is held several times over in an executor.
@@ -55,6 +56,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes that Spark estimates for ``df``; where it knows nothing (tables made of local rows or RDDs), the bytes of ``column`` are summed up."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a text column; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

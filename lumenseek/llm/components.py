@@ -1,7 +1,9 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
-Every step is one aggregation and one join on the edges, whose result is written to the shared folder; nothing is
-collected. The steps end when a round changes no edge, after a number of rounds that grows with the logarithm of the largest component.
+Every step is one aggregation and one join on the edges, whose result is written to the shared folder; no edge is
+collected. Nodes with many edges are told first and their least neighbours are broadcast, so that a hub's edges stay spread over all tasks;
+as their degrees add up to the edges' ends, they are ``MOST_HUBS`` at most at any size. The steps end when a round changes no edge,
+after a number of rounds that grows with the logarithm of the largest component.
 """
 
 from __future__ import annotations
@@ -16,16 +18,31 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Nodes of so many edges are hubs, or of more if there could be more than MOST_HUBS of those.
+HUB_EDGES = 100
+MOST_HUBS = 50_000
+#: So few rows are no burden to one task.
+FEW_EDGES = 2_000
+
+
+def _with_least(rows: DataFrame, ends: int) -> DataFrame:
+    """u, v and m of the rows (u, v): the least v of all rows with that u. ``ends``: as many rows as there are at most."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if ends <= FEW_EDGES:
+        return rows.join(least, "u").select("u", "v", "m")
+    hubs = common.materialize(least.where(F.col("n") > max(HUB_EDGES, ends // MOST_HUBS)).select("u", "m"), "hubs")
+    others = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return rows.join(F.broadcast(hubs), "u").select("u", "v", "m").union(others.join(others.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    told = _with_least(edges, n)
+    return told.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(told.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = _state(current)
     while state[0]:
-        current = common.materialize(_small_star(_large_star(current)), "edges")
+        large = common.materialize(_large_star(current, state[0]), "edges")
+        current = common.materialize(_small_star(large, state[0]), "edges")
         following = _state(current)
         if following == state:
             break

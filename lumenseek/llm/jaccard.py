@@ -3,7 +3,7 @@
 A document's set is its distinct 5-word shingles. Equal sets are one node. The shingles stand in one global order, those
 that many documents share last; two sets of Jaccard similarity t or more then share a shingle in their prefixes. Nodes with
 the same prefix and size form a group, group pairs that share a prefix shingle are filtered by size and position, and
-what is left is expanded to its members, filtered by parity bitmaps and verified on the whole texts.
+what is left is expanded to its members, filtered by parity bitmaps and verified on the 64-bit hashes of all shingles of the whole texts.
 
 Only connectivity is asked for, so members of one component need no further comparison. Before the grouped join, nodes with an equal
 min-hash or group are compared with one leader each, the one whose shingles are shared most: in a family of edited copies
@@ -34,9 +34,15 @@ LEVELS, MANY = (2, 3, 4, 6, 8, 12, 16), 8
 MOST_MARKED = 1 << (MAP_BITS - 2)
 CHUNK = 2_000_000
 RANGE_BYTES = 4 << 20
+#: Ranges are 2**MOST_RANGE_BITS at most; larger ones are counted in several passes of PASS_BYTES each.
+MOST_RANGE_BITS = 18
+PASS_BYTES = 8 << 20
 MIN_HASHES = 3
-#: Rows up to which a table of ids is broadcast, some 10 to 40 bytes each; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table of ids is broadcast; beyond, Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
+#: Pairs of one node that a task verifies in a row, and groups that share a shingle and meet in one task.
+PAIRS_AT_ONCE = 500
+GROUPS_AT_ONCE = 500
 LEAST_BITS = 64
 #: Text that a worker turns into shingles at once.
 SLICE_BYTES = 400_000
@@ -89,6 +95,15 @@ def probe_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def size_bands(percent: int = PERCENT, most: int = 1 << 40) -> list[int]:
+    """Least sizes of bands: of two sets of the similarity, the larger one is in the smaller one's band or the next. Bands widen by a quarter at least."""
+    edges = [1, 2]
+    while edges[-1] <= most:
+        last = edges[-1] - 1
+        edges.append(max(last + 1, last * 100 // percent, last * 5 // 4) + 1)
+    return edges
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, np.uint64).view(np.int64)
 
@@ -128,11 +143,11 @@ class Marks(NamedTuple):
 def shared_shingles(docs: DataFrame) -> Marks:
     """Which shingles several sets share.
 
-    Tasks sort the hashes they see and deal them to ranges in packed form; the number of ranges follows the size of the input,
-    so that each is counted in bounded memory and fills its own part of the bitmaps. The driver gets the bitmaps alone, 8 MB each at any size of input.
+    Tasks sort the hashes they see and deal them to ranges in packed form; the number of ranges follows the size of the input, and a range is
+    counted pass by pass, so its memory is little more than its packed bytes. Each fills its own part of the bitmaps. The driver gets the bitmaps alone, 8 MB each at any size of input.
     """
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ranges = 1 << max(4, min(16, (-(-size // RANGE_BYTES) - 1).bit_length()))
+    size = common.input_bytes(docs)
+    ranges = 1 << max(4, min(MOST_RANGE_BITS, (-(-size // RANGE_BYTES) - 1).bit_length()))
     width = HASH_BITS + TAG_BITS - (ranges.bit_length() - 1)
     edges = np.arange(ranges + 1, dtype=np.uint64) << np.uint64(width)
     part = (1 << MAP_BITS) // ranges  # places of a range
@@ -164,17 +179,23 @@ def shared_shingles(docs: DataFrame) -> Marks:
 
     def count(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
-        values = words.distinct(np.concatenate([unpack_sorted(d.as_buffer()) for c in table.column("data").chunks for d in c]))
-        tops = values >> np.uint64(TAG_BITS)
-        first = np.flatnonzero(np.diff(tops, prepend=np.uint64(1 << 63)))
-        sets = np.diff(np.append(first, len(values)))
-        places = (tops[first] >> np.uint64(HASH_BITS - MAP_BITS)).astype(np.int64)
-        rows = []
-        for least in LEVELS:
-            hit = np.zeros(part, bool)
-            hit[places[sets >= least]] = True
-            if least == MANY or hit.any():
-                rows.append((number, least, int(hit.sum()), np.packbits(hit, bitorder="little").tobytes()))
+        packed = [d.as_buffer() for c in table.column("data").chunks for d in c]
+        passes = -(-sum(d.size for d in packed) // PASS_BYTES) or 1
+        hits = {least: np.zeros(part, bool) for least in LEVELS}
+        for k in range(passes):
+            # a place is one pass's alone
+            low, high = (np.uint64((part * j // passes) << (width - part.bit_length() + 1)) for j in (k, k + 1))
+            found = (unpack_sorted(d) for d in packed)
+            values = words.distinct(np.concatenate([v[slice(*np.searchsorted(v, [low, high]))] if passes > 1 else v for v in found]))
+            if not len(values):
+                continue
+            tops = values >> np.uint64(TAG_BITS)
+            first = np.flatnonzero(np.diff(tops, prepend=np.uint64(1 << 63)))
+            sets = np.diff(np.append(first, len(values)))
+            places = (tops[first] >> np.uint64(HASH_BITS - MAP_BITS)).astype(np.int64)
+            for least, hit in hits.items():
+                hit[places[sets >= least]] = True
+        rows = [(number, least, int(hit.sum()), np.packbits(hit, bitorder="little").tobytes()) for least, hit in hits.items() if least == MANY or hit.any()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["range", "least", "n", "data"])
 
     dealt = docs.select("text").mapInArrow(deal, "range bigint, data binary")
@@ -232,8 +253,9 @@ def signatures(docs: DataFrame, marks: Marks, percent: int = PERCENT) -> DataFra
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it is a checked few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, marked for broadcast if its rows, of ids and digests, are checked to take ``BROADCAST_BYTES`` at most."""
+    most = BROADCAST_BYTES // (24 + sum(40 if f.dataType.typeName() == "binary" else 8 for f in df.schema.fields))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _doc_key() -> F.Column:
@@ -258,17 +280,33 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
     asked = common.materialize(asked, "asked")
     keyed = docs.select(_doc_key(), F.xxhash64("text").alias("text_key"), "text")
     texts = common.materialize(keyed.join(_sized(asked), ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    first, second = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    both = pairs.join(first, "a").join(second, "b")
+    # the pairs of one b are dealt to parts, and its text meets each part once; a task reads it before the texts that it is compared with
+    sizes = pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / PAIRS_AT_ONCE).cast("int").alias("last"))
+    parts = sizes.select("b", F.explode(F.sequence(F.lit(0), "last")).alias("part"), (F.col("last") + 1).alias("parts"))
+    parts = common.materialize(parts, "parts")
+    many = _sized(parts.where("part = 0 AND parts > 1").select("b", "parts"))
+    dealt = pairs.join(many, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+    others = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
+    leaders = parts.join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("binary").alias("a"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, y = None, None
         for batch in batches:
-            for part in common.slices(batch, "x", SLICE_BYTES):
-                xs, ys = shingle_sets(part.column("x")), shingle_sets(part.column("y"))
-                yield part.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(xs, ys)], pa.bool_()))
+            for part in common.slices(batch, "text", SLICE_BYTES):
+                sets = shingle_sets(part.column("text"))
+                keys = list(zip(*(part.column(c).to_pylist() for c in ("b", "part", "a"))))
+                kept = []
+                for (b, number, a), x in zip(keys, sets):
+                    if a is None:
+                        at, y = (b, number), x
+                    elif (b, number) == at and similar(x, y, percent):
+                        kept.append((a, b))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*kept)], ["a", "b"])
         common.release()
 
-    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
+    rows = others.union(leaders).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    return common.materialize(rows.mapInArrow(run, "a binary, b binary"), "links")
 
 
 def leader_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -296,10 +334,19 @@ def group_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = common.materialize(groups, "groups")
     still = groups.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
     groups = common.materialize(groups.join(still, "token", "left_semi").withColumn("room", room), "open-groups")
-    small, large = (groups.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "room", "lo", "hi"))) for side in ("a", "b"))
+    # sizes in the ratio of the similarity lie in the same band or in neighbouring ones, so groups of a shingle meet band by band; the large meets of a hot one are dealt to parts
+    edges = F.array(*(F.lit(e) for e in size_bands(percent)))
+    groups = groups.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("n"))))
+    crowds = groups.groupBy("token", "band").agg(F.count("*").alias("size")).where(F.col("size") > GROUPS_AT_ONCE)
+    crowds = _sized(common.materialize(crowds.select("token", "band", F.ceil(F.col("size") / GROUPS_AT_ONCE).cast("int").alias("parts")), "crowds"))
+    columns = ("gid", "n", "room", "lo", "hi")
+    small = groups.select("token", *(F.col(c).alias(f"{c}_a") for c in columns), F.explode(F.array("band", F.col("band") + 1)).alias("band")).join(crowds, ["token", "band"], "left")
+    small = small.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    large = groups.select("token", "band", *(F.col(c).alias(f"{c}_b") for c in columns)).join(crowds, ["token", "band"], "left")
+    large = large.withColumn("part", F.coalesce(F.pmod(F.xxhash64("gid_b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     ordered = F.expr("n_a < n_b OR (n_a = n_b AND gid_a < gid_b)")
     apart = F.expr("NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)")
-    found = small.join(large, "token").where(ordered & apart & F.expr("n_a <= room_b AND n_b <= room_a") & (100 * F.col("n_a") >= percent * F.col("n_b"))).select("gid_a", "gid_b").distinct()
+    found = small.join(large, ["token", "band", "part"]).where(ordered & apart & F.expr("n_a <= room_b AND n_b <= room_a") & (100 * F.col("n_a") >= percent * F.col("n_b"))).select("gid_a", "gid_b").distinct()
     within = signed.where("n > 1").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"))
     members = signed.where("n > 1").select("gid", "node", "comp").distinct()
     first, second = (members.select(F.col("gid").alias(f"gid_{s}"), F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in ("a", "b"))
@@ -314,7 +361,9 @@ class Classes(NamedTuple):
 
 
 def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
-    """Sets, nodes and components of ``docs`` (columns doc_id and text)."""
+    """Sets, nodes and components of ``docs`` (columns doc_id and text). ``percent``: more than 50, as sets of one and two shingles are not compared."""
+    if not 50 < percent <= 100:
+        raise ValueError(f"the similarity must be over 50 % and at most 100 %, not {percent} %")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = common.materialize(signatures(rows, shared_shingles(rows), percent), "signatures")
     linked = signed.where("n > 0")

@@ -178,7 +178,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = common.input_bytes(rows)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import assert_same, connect
 
+from lumenseek.llm import components as components_module
 from lumenseek.llm import jaccard
 from lumenseek.llm.components import components
 
@@ -86,10 +87,49 @@ def test_order_and_shuffles_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     for most in (0, 7):
         monkeypatch.setattr(jaccard, "MOST_MARKED", most)
-        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
         assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=repr) == brute(rows)
 
 
+def test_split_groups_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    texts = family(rng, base, 60, 5) + [" ".join(base[:20] + [f"x{k}y{i}" for i in range(rng.randrange(1, 30))]) for k in range(60)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute(rows)
+    for name, value in (("PAIRS_AT_ONCE", 3), ("GROUPS_AT_ONCE", 2), ("PASS_BYTES", 4000), ("MOST_RANGE_BITS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(components_module, "HUB_EDGES", 3)
+    monkeypatch.setattr(components_module, "FEW_EDGES", 0)
+    assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=repr) == expected
+    # without the leaders' round the grouped prefix join alone finds every link
+    monkeypatch.setattr(jaccard, "leader_pairs", lambda signed, percent: signed.selectExpr("node AS a", "node AS b").limit(0))
+    assert sorted((tuple(r) for r in jaccard.join(docs).collect()), key=repr) == expected
+
+
+@given(st.integers(51, 100), st.integers(1, 10**6), st.integers(0, 10**6))
+def test_similar_sizes_are_in_neighbouring_bands(percent, a, more):
+    edges = jaccard.size_bands(percent)
+    b = min(a + more, a * 100 // percent)
+    band = lambda n: sum(e <= n for e in edges)
+    assert band(a) <= band(b) <= band(a) + 1
+
+
+def test_low_similarities_are_refused(spark):
+    with pytest.raises(ValueError):
+        jaccard.join(empty(spark), percent=50)
+
+
+def test_words_of_a_pattern_and_long_texts(spark):
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(k, " ".join("".join("ab"[bit ^ k] for bit in morse) + x for x in "cdefg")) for k in (0, 1)]
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows += [(5, long), (4, long + " and more words at the end"), (6, "start " + long[:100_000])]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 1, 4: 4, 5: 4, 6: 6}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.integers(0, 60))
 def test_bitmaps_never_rule_out_similar_sets(common, extra, drop):
@@ -106,12 +146,14 @@ def test_bitmaps_rule_out_others():
     assert not any(jaccard.may_be_similar(500, maps[i], 500, maps[j]) for i in range(20) for j in range(i))
 
 
-@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 50)], [(9, 3), (3, 7), (8, 7), (20, 21)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 50)], [(9, 3), (3, 7), (8, 7), (20, 21)], [(100, i) for i in range(100)] + [(150, i) for i in range(140, 255) if i != 150] + [(100, 254)]])
+def test_components(spark, edges, monkeypatch):
+    monkeypatch.setattr(components_module, "HUB_EDGES", 20)
+    monkeypatch.setattr(components_module, "FEW_EDGES", 30)
     df = spark.createDataFrame([(bytearray([a]), bytearray([b])) for a, b in edges], "a binary, b binary")
     found = {bytes(r["node"])[0]: bytes(r["component"])[0] for r in components(df).collect()}
     least = {x: x for e in edges if e[0] != e[1] for x in e}
-    for _ in range(60):
+    for _ in range(80):
         for a, b in edges:
             if a != b:
                 least[a] = least[b] = min(least[a], least[b])
