@@ -4,10 +4,11 @@ Every string of ``MIN_LENGTH`` or more key characters is a candidate; ``=`` is o
 parts a name from its value. Its encoding is the smallest known alphabet that holds it. Three tests ask whether it could be uniformly random over that alphabet:
 chi-squared on the character counts, Wald-Wolfowitz runs above and below the middle of the alphabet, and the
 lag-1 serial correlation. A second p-value asks whether plain words or digits could look as uniform
-by chance (chi-squared shifted by what their uneven characters add, which grows with the length). The
-candidates of a text are then held to a false discovery rate by weighted Benjamini-Hochberg, with
-weights in proportion to the bits that a candidate's length and alphabet can carry. A candidate is a
-secret if it is discovered there and the battery does not rule randomness out.
+by chance (chi-squared shifted by what their uneven characters add, which grows with the length). A candidate's
+p-value is the larger of that one and a penalty that grows as the three tests' Bonferroni p-value falls, and
+reaches the rate itself at ``RANDOM_LEAST_P``; being no less than the p-value of words it keeps the rate.
+The candidates of a text are held to a false discovery rate by weighted Benjamini-Hochberg on these p-values of the whole battery,
+with weights in proportion to the bits that a candidate's length and alphabet can carry. What is discovered there is a secret.
 """
 
 from __future__ import annotations
@@ -127,9 +128,15 @@ def random_strings(text: str, rate: float = FALSE_DISCOVERY_RATE, least_p: float
     if not tested:
         return []
     mean_bits = sum(b.bits for _, _, b in tested) / len(tested)
-    ranked = sorted(tested, key=lambda x: (x[2].p_text / (x[2].bits / mean_bits), x[0]))
-    last = max((i for i, (_, _, b) in enumerate(ranked, 1) if b.p_text / (b.bits / mean_bits) <= rate * i / len(ranked)), default=0)
-    return sorted((s, e) for s, e, b in ranked[:last] if 3 * min(b.p_uniform, b.p_runs, b.p_serial) > least_p)
+    ranked = sorted((combined(b, rate, least_p) / (b.bits / mean_bits), s, e) for s, e, b in tested)
+    last = max((i for i, (p, _, _) in enumerate(ranked, 1) if p <= rate * i / len(ranked)), default=0)
+    return sorted((s, e) for _, s, e in ranked[:last])
+
+
+def combined(b: Battery, rate: float = FALSE_DISCOVERY_RATE, least_p: float = RANDOM_LEAST_P) -> float:
+    """The p-value of the whole battery against words: at least ``p_text``, and more the less random the string is in any of the tests."""
+    p_random = min(1.0, 3 * min(b.p_uniform, b.p_runs, b.p_serial))
+    return min(1.0, max(b.p_text, rate * (least_p / p_random) ** 2)) if p_random > least_p * 1e-3 else 1.0
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -184,7 +191,10 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the spans of each document (columns doc_id and text; others are ignored)."""
+    """Counts and digests of the spans of each document (columns doc_id and text; others are ignored).
+
+    A null text counts as empty and has no spans; repeated rows are answered each; an empty table gives no rows.
+    """
 
     def joined(found: list[tuple[int, int, str]]) -> str:
         return ",".join(f"{k}:{s}:{e}" for s, e, k in found)

@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import pytest
 from helpers import AWKWARD, documents, empty
 
 from lumenseek.llm import common, secrets
@@ -61,6 +62,36 @@ def test_battery_values():
     assert 0 <= secrets.battery("A" * 30).p_text <= 1
 
 
+def planted(rng, n, length, alphabet):
+    """Texts of words, names and paths with one random string each, and where it stands."""
+    names = ["getDefaultConfigurationManager", "the_quick_brown_fox_jumps_over", "usr/share/doc/packages/readme", "2024-01-02-2024-01-03-2024", "abcdefghijklmnopqrstuvwxyz", "x" * 30, "ab" * 15, "0123456789" * 3]
+    for _ in range(n):
+        parts = [rng.choice(names) if rng.random() < 0.1 else "".join(rng.choices(["the", "er", "in", "ou", "tion"], k=rng.randint(1, 8))) for _ in range(200)]
+        at, key = rng.randrange(200), "".join(rng.choices(alphabet, k=length))
+        text = " ".join([*parts[:at], key, *parts[at:]])
+        yield text, (len(" ".join(parts[:at])) + (at > 0), key)
+
+
+def test_the_false_discovery_rate_holds_over_the_whole_battery():
+    rng = random.Random(12)
+    for length, alphabet, least in ((24, string.ascii_letters + string.digits, 0.15), (32, string.ascii_letters + string.digits + "+/", 0.7), (48, string.ascii_letters + string.digits + "-_", 0.95)):
+        right = wrong = 0
+        for text, (at, key) in planted(rng, 200, length, alphabet):
+            found = secrets.random_strings(text)
+            right += (at, at + len(key)) in found
+            wrong += sum((s, e) != (at, at + len(key)) for s, e in found)
+        assert right >= least * 200 and wrong <= 0.02 * (right + wrong), (length, right, wrong)
+
+
+def test_every_test_of_the_battery_counts_in_the_ranking():
+    even = secrets.Battery("base62", 0.5, 0.5, 0.5, 1e-4, 150.0)
+    assert secrets.combined(even) == 1e-4
+    for name in ("p_uniform", "p_runs", "p_serial"):
+        ps = [secrets.combined(even._replace(**{name: p})) for p in (0.5, 1e-2, 1e-3, 1e-4, 1e-9, 0.0)]
+        assert ps == sorted(ps) and ps[0] == 1e-4 and ps[2] > 1e-4 and ps[-1] == 1.0
+        assert secrets.combined(even._replace(**{name: secrets.RANDOM_LEAST_P / 3})) == pytest.approx(secrets.FALSE_DISCOVERY_RATE)
+
+
 def test_redaction_merges_overlaps():
     text = "x password=" + "0123456789abcdef" * 2 + " y"
     assert secrets.redact(text, secrets.spans(text)) == "x <SECRET> y"
