@@ -93,7 +93,10 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: i
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES, bits: int = BITS) -> np.ndarray:
-    """The weights, learnt in one task from about ``rows`` labelled documents outside the held-out fold, of ``most_bytes`` of text in all."""
+    """The weights, learnt in one task from about ``rows`` labelled documents outside the held-out fold, of ``most_bytes`` of text in all.
+
+    Null labels are none and null texts are empty; without usable rows all scores are the same.
+    """
 
     def learn(texts: list[str], ys: list[int]) -> bytes:
         examples = []

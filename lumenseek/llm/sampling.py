@@ -47,8 +47,9 @@ def learnt(sample: DataFrame, learn: Callable[[list[str], list[int]], bytes], mo
         texts, labels, size = [], [], 0
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                if size + len(text or "") <= most_bytes:
-                    size += len(text or "")
+                n = len((text or "").encode())
+                if size + n <= most_bytes:
+                    size += n
                     texts.append(text or "")
                     labels.append(label)
         model = learn(texts, labels)

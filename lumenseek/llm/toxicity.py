@@ -158,7 +158,10 @@ def fit(found: Bags, size: int, epochs: int = EPOCHS, kept: int = KEPT_EPOCHS, r
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES, bits: int = BITS) -> Model:
-    """The model, learnt in one task from about ``rows`` labelled documents outside the held-out fold, of ``most_bytes`` of text in all."""
+    """The model, learnt in one task from about ``rows`` labelled documents outside the held-out fold, of ``most_bytes`` of text in all.
+
+    Null labels are none and null texts are empty; without usable rows all scores are the same.
+    """
 
     def learn(texts: list[str], ys: list[int]) -> bytes:
         model = fit(bags(texts, ys, bits), 1 << bits)
@@ -191,7 +194,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``; all rows if the model had nothing to learn from."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; all rows if the model had nothing to learn from.
+
+    Null and empty texts have the bias's score, repeated rows stay or go together, and an empty table stays empty.
+    """
     if not model.bias and not model.table.any():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

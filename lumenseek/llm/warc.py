@@ -194,7 +194,7 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = LEAST_REVISIT_BYTES
     """Write a record per row of ``pages`` (page_id, url, html; other columns are ignored) to files below ``path``.
 
     Of equal payloads of ``least_bytes`` or more the one with the largest page_id is a response and the others are revisits
-    of it; smaller payloads, null and empty ones included, are all responses. Files hold at most ``ROWS_PER_FILE`` rows of about ``ROW_BYTES``.
+    of it; smaller payloads, null and empty ones included, are all responses. A null page_id is told by no header; an empty table gives no records. Files hold at most ``ROWS_PER_FILE`` rows of about ``ROW_BYTES``.
     """
     rows = with_digests(pages)
     revisits = common.materialize(plan_revisits(rows, least_bytes), "revisits").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", F.lit(True).alias("is_revisit"))
@@ -227,6 +227,7 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataF
     """One row per valid record of the files below ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, for a revisit as its headers tell them. Damaged parts are skipped; see ``gaps``.
+    Records without a page id have a null one, repeated records are told each, and files without records give no rows. A file is held whole.
     """
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
 
@@ -263,7 +264,7 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataF
 
 
 def gaps(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, end and reason of every quarantined run of bytes in the files below ``path``."""
+    """file, start, end and reason of every quarantined run of bytes in the files below ``path``; no rows if all is sound or there is no file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
