@@ -40,10 +40,21 @@ def cut_bytes(text: Column, most: int = MOST_CHUNK_BYTES) -> Column:
     return F.coalesce(*(F.try_validate_utf8(F.substring(content, 1, most - k).cast("string")) for k in range(4)))
 
 
+def last_window(n: Column) -> Column:
+    """Number, from 0, of the last window of n lines."""
+    return F.greatest(F.lit(0), F.ceil((n - WINDOW_LINES) / STEP_LINES)).cast("int")
+
+
+def chunk_count(content: Column) -> Column:
+    """How many rows ``with_chunks`` makes of a content."""
+    n = F.size(lines(content.cast("binary").cast("string")))
+    return F.when(is_chunkable(content), last_window(n) + 1).otherwise(0).cast("bigint")
+
+
 def windows(line_array: Column) -> Column:
     """Array of (start_line, end_line, text) of all windows; lines count from 1, ends are inclusive."""
     n = F.size(line_array)
-    count = F.greatest(F.lit(0), F.ceil((n - WINDOW_LINES) / STEP_LINES)).cast("int")
+    count = last_window(n)
 
     def window(k: Column) -> Column:
         first = k * STEP_LINES

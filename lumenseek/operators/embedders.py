@@ -102,25 +102,36 @@ def normalized(matrix: np.ndarray) -> np.ndarray:
     return (matrix / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
+class _Heads(dict):
+    """Word -> the first 16 bits of its MD5."""
+
+    def __missing__(self, word: str) -> int:
+        head = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+        return head
+
+
+#: Words that this process knows, forgotten when they are many.
+_HEADS, _KEPT_HEADS = _Heads(), 500_000
+_ASCII_WORD = re.compile("[a-z0-9]+")
+
+
 class HashEmbedder:
     """Counts of ASCII words, lower-cased, in ``dim`` buckets by the first 16 bits of their MD5; unit length."""
 
     batch_size = 256
+    by_length = False
 
     def __init__(self, dim: int = 64) -> None:
         self.dim, self.model = dim, f"hash-{dim}"
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        known: dict[str, int] = {}
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            lowered = text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
-            for word in re.findall("[a-z0-9]+", lowered):
-                bucket = known.get(word)
-                if bucket is None:
-                    bucket = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % self.dim
-                out[row, bucket] += 1
-        return normalized(out)
+        found = [_ASCII_WORD.findall(text.lower() if text.isascii() else text.translate(_ASCII_LOWER)) for text in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        if len(_HEADS) > _KEPT_HEADS:
+            _HEADS.clear()
+        heads = np.fromiter((_HEADS[word] for words in found for word in words), np.int64, int(counts.sum()))
+        places = np.repeat(np.arange(len(found)), counts) * self.dim + heads % self.dim
+        return normalized(np.bincount(places, minlength=len(found) * self.dim).reshape(len(found), self.dim))
 
     def column(self, text: Column) -> Column:
         """The same vector as a column expression, for SQL users and small dimensions."""
@@ -245,7 +256,8 @@ def build(name: str, backend: str = "auto", **options) -> Embedder:
 def embed_column(df: DataFrame, embedder: Embedder, text: str = "text", into: str = "embedding") -> DataFrame:
     """``df`` with a vector for each row's text (null: empty).
 
-    Within each partition texts are sorted by length, so that batches of a model hold texts of like length; a vector of another length than ``dim`` fails.
+    Within each partition texts are sorted by length, so that batches of a model hold texts of like length, unless the embedder says that it gains nothing
+    (``by_length`` is false); a vector of another length than ``dim`` fails.
     """
     kept = [c for c in df.columns if c != into]
     schema = df.select(*kept).schema.add(into, ArrayType(FloatType()))
@@ -261,5 +273,7 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "text", into: st
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel())).cast(arrow_type)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, into])
 
-    ordered = df.select(*kept).sortWithinPartitions(F.octet_length(F.col(text).cast("string")))
+    ordered = df.select(*kept)
+    if getattr(embedder, "by_length", True):
+        ordered = ordered.sortWithinPartitions(F.octet_length(F.col(text).cast("string")))
     return ordered.mapInArrow(run, schema)

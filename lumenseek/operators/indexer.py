@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lumenseek.functions import chunking, formatting, hashing, paths
 from lumenseek.operators import embedders
@@ -20,6 +21,8 @@ from lumenseek.operators.store import VERSION, Store
 log = logging.getLogger(__name__)
 #: Chunks that are embedded between two commits. The larger, the fewer snapshots; what a crash loses is one group.
 GROUP_CHUNKS = 1_000_000
+#: Leading digits of an id that make a range of the greedy cut: 65,536 ranges.
+RANGE_DIGITS = 4
 
 
 @dataclass
@@ -64,32 +67,45 @@ def unchanged(read: DataFrame) -> DataFrame:
 
 
 def checkpoint_groups(sizes: DataFrame, most: int) -> DataFrame:
-    """blob_sha, n and group: runs of blobs in id order of about ``most`` chunks, a blob never split, in built-in functions.
+    """blob_sha, n and group: the greedy cut in id order. A group ends before a blob that would take it over ``most`` chunks, and once it has ``most``;
+    a blob is never split, and one without chunks goes with its neighbours. n: null counts as 0.
 
-    Ids are hashes, so they are dealt to ranges first and only the ranges' totals are summed in one place.
+    Ids are hashes, so they are dealt to ranges of like size. The cut of one blob depends on all before it; so the sizes alone, as one array a range,
+    pass through one task in id order, which finds each cut by bisection; ids and everything else stay spread over the cluster.
     """
-    ranged = sizes.withColumn("__range", F.substring("blob_sha", 1, 3))
-    totals = ranged.groupBy("__range").agg(F.sum("n").alias("t"))
-    before = totals.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("__range").orderBy("blob_sha").rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(before.select("__range", "base")), "__range")  # at most 4,096 rows
-    at = F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    return joined.select("blob_sha", "n", F.floor(at / most).cast("bigint").alias("group"))
-
-
-def greedy_groups(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
-    """The exact greedy cut of a small list in id order: a group ends before a blob that would exceed ``most``, and once it has ``most``."""
-    groups, current, n = [], [], 0
-    for sha, size in sorted(sizes):
-        if current and n and n + size > most:
-            groups.append(current)
-            current, n = [], 0
-        current.append(sha)
-        n += size
-        if n >= most:
-            groups.append(current)
-            current, n = [], 0
-    return [*groups, current] if current else groups
+    ranged = sizes.select("blob_sha", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).groupBy(F.substring("blob_sha", 1, RANGE_DIGITS).alias("range"))
+    arrays = ranged.agg(F.array_sort(F.collect_list(F.struct("blob_sha", "n"))).alias("blobs"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, 0
+        for batch in batches:
+            firsts, cuts = [], []
+            for ns in batch.column("ns"):
+                found, held = greedy_cuts(np.asarray(ns.values.to_numpy(zero_copy_only=False), np.int64), held, most)
+                firsts.append(number)
+                cuts.append(found)
+                number += len(found)
+            yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(firsts, pa.int64()), pa.array(cuts, pa.list_(pa.int64()))], ["range", "first", "cuts"])
+
+    told = arrays.select("range", F.transform("blobs", lambda x: x["n"]).alias("ns")).repartition(1).sortWithinPartitions("range")
+    found = told.mapInArrow(cut, "range string, first bigint, cuts array<bigint>")
+    each = arrays.join(found, "range").select("first", "cuts", F.posexplode("blobs").alias("place", "blob"))
+    return each.select("blob.blob_sha", "blob.n", (F.col("first") + F.size(F.filter("cuts", lambda c: c <= F.col("place")))).alias("group"))
+
+
+def greedy_cuts(sizes: np.ndarray, held: int, most: int) -> tuple[list[int], int]:
+    """Places before which a new group begins, ``held`` chunks being in the open group already, and the chunks in the group that stays open."""
+    sums, cuts, at, done = np.cumsum(sizes), [], 0, 0
+    while at < len(sizes):
+        # the first blob that fills the open group
+        j = at + int(np.searchsorted(sums[at:], most - held + done))
+        if j == len(sizes):
+            return cuts, held + int(sums[-1]) - done
+        before = held + (int(sums[j - 1]) if j else 0) - done
+        at = j if before > 0 and before + int(sizes[j]) > most else j + 1
+        cuts.append(at)
+        held, done = 0, int(sums[at - 1]) if at else 0
+    return cuts, held
 
 
 def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedders.Embedder, *, read: Callable[[DataFrame], DataFrame] | None = None, group_chunks: int = GROUP_CHUNKS, quiet: bool = True) -> IndexStats:
@@ -126,10 +142,8 @@ def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, q
     # a snapshot of what to embed: files may change while groups are embedded
     unchanged(found).select("blob_sha", "content").write.parquet(f"{staged}/contents")
     contents = spark.read.parquet(f"{staged}/contents")
-    chunking.with_chunks(contents).write.parquet(f"{staged}/chunks")
-    chunks = spark.read.parquet(f"{staged}/chunks")
-    sizes = contents.select("blob_sha").join(chunks.groupBy("blob_sha").agg(F.count("*").alias("n")), "blob_sha", "left").select("blob_sha", F.coalesce("n", F.lit(0)).alias("n"))
-    checkpoint_groups(sizes, group_chunks).write.partitionBy("group").parquet(f"{staged}/groups")
+    counted = contents.select("blob_sha", chunking.chunk_count(F.col("content")).alias("n"))
+    checkpoint_groups(counted, group_chunks).write.partitionBy("group").parquet(f"{staged}/groups")
     if not store.files.exists(f"{staged}/groups"):
         return
     grouped = spark.read.schema("blob_sha string, n bigint, group bigint").parquet(f"{staged}/groups")
@@ -137,10 +151,14 @@ def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, q
     stats.blobs_skipped = stats.blobs_unique - stats.blobs_already_cached - totals["blobs"]
     if not quiet:
         log.warning(formatting.progress(totals["chunks"] or 0, totals["blobs"], stats.blobs_already_cached, stats.blobs_unique))
+    # chunks lie by group, so each group reads its own only
+    placed = contents.join(broadcast_if_small(grouped.where("n > 0").select("blob_sha", "group")), "blob_sha")
+    chunking.with_chunks(placed).repartitionByRange("group", "blob_sha").write.partitionBy("group").parquet(f"{staged}/chunks")
+    chunks = spark.read.schema("blob_sha string, chunk_idx int, start_line int, end_line int, text string, group bigint").parquet(f"{staged}/chunks") if totals["chunks"] else None
     for row in grouped.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("blobs")).orderBy("group").collect():
         part = grouped.where(F.col("group") == row["group"])
         entries = part.select("blob_sha", F.lit(VERSION).alias("version"), F.lit(store.dim).alias("dim"), F.col("n").cast("int").alias("n_chunks"))
-        rows = chunks.join(part.select("blob_sha"), "blob_sha", "left_semi")
+        rows = chunks.where(F.col("group") == row["group"]).drop("group") if row["n"] else None
         vectors = embedders.embed_column(rows, embedder) if row["n"] else None
         store.commit(vectors, entries)
         stats.chunks_embedded += row["n"]

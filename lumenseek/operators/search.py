@@ -31,7 +31,7 @@ def query_text(words: Sequence[str]) -> str:
 
 def candidates(vector_rows: DataFrame, files: DataFrame, prefix: str | None = None) -> DataFrame:
     """Vectors of blobs that some current path (below the prefix) holds."""
-    current = files.where(paths.under_prefix(F.col("path"), prefix)).select("blob_sha").distinct()
+    current = files.where(paths.under_prefix(F.col("path"), prefix)).select("blob_sha")
     # the vectors are wide: they are only shuffled if there are too many current blobs to send to every task
     return vector_rows.join(broadcast_if_small(current), "blob_sha", "left_semi")
 
@@ -140,8 +140,9 @@ def show_lines(hits: DataFrame, files: DataFrame) -> DataFrame:
 def search_store(spark: SparkSession, store: Store, files: DataFrame, query: Sequence[float], k: int = 10, prefix: str | None = None) -> DataFrame:
     """Search the current files' vectors; damaged entries are dropped from the store and left out."""
     listed = files.where(paths.is_textual(F.col("path")))
-    store.heal(listed.select("blob_sha"))
-    return search(store.vectors(listed.select("blob_sha")), listed, query, k, prefix)
+    shas = listed.select("blob_sha")
+    # the entries are checked in one pass over the vectors; after that the scan reads what is sound
+    return search(store.sound_vectors(shas), listed, query, k, prefix)
 
 
 def render(hits: DataFrame, *, as_json: bool = False, show: DataFrame | None = None) -> str:

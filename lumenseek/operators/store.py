@@ -186,6 +186,22 @@ class Store:
         # the vectors are wide: they are only shuffled if there are too many blobs to send to every task
         return rows.join(broadcast_if_small(good), ["blob_sha", "seq"], "left_semi").drop("seq")
 
+    def sound_vectors(self, wanted: DataFrame) -> DataFrame:
+        """``vectors`` of ``wanted`` after ``heal``, with a single check of the entries: the damaged ones are tombstoned and left out."""
+        head = self.head()
+        blobs, rows = self.blobs(head).join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi"), self._rows("vectors", head)
+        bad = self._invalid(blobs, rows).distinct().cache()
+        try:
+            damaged = bad.count()
+            if damaged:
+                self.commit(deletes=bad)
+                head = self.head()
+                blobs = self.blobs(head).join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi")
+                rows = self._rows("vectors", head)
+        finally:
+            bad.unpersist()
+        return rows.join(broadcast_if_small(blobs.select("blob_sha", "seq")), ["blob_sha", "seq"], "left_semi").drop("seq")
+
     def _invalid(self, blobs: DataFrame, rows: DataFrame) -> DataFrame:
         """Ids whose header or rows do not fit: version, dim, the count of rows, or a vector's length."""
         counted = rows.groupBy("blob_sha", "seq").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != self.dim).alias("n_bad"), F.count_distinct("chunk_idx").alias("n_idx"))

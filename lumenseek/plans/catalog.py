@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.functions import chunking, formatting, hashing, paths, vectors
-from lumenseek.operators import embedders, indexer, search, stats
+from lumenseek.operators import embedders, indexer, search, shared, stats
+from lumenseek.operators import store as stores
 from lumenseek.operators.store import Store
 from lumenseek.sources import tables
 
@@ -234,7 +234,7 @@ def hits_json(spark, sf_dir):
 def hits_text(spark, sf_dir):
     rows, files = _embeddings(spark, sf_dir)
     hits = search.search(rows, files, _query_vector(spark, sf_dir), 10)
-    return hits.select("path", F.substring_index(formatting.hit_text(), "  ", -1).alias("place"))
+    return hits.select("path", formatting.hit_text().alias("hit"))
 
 
 def store_stats(spark, sf_dir):
@@ -256,19 +256,58 @@ def compare_runs(spark, sf_dir):
     return found.select(F.round("mean", 5).alias("mean"), F.round("worst", 5).alias("worst"), "n")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark, rows: DataFrame, n_chunks=None) -> Store:
+    """A fresh store of vector rows, one chunk a blob, whose entries tell ``n_chunks``."""
+    store = Store(spark, _scratch(spark, "store"), f"vectors-{DIM}", DIM)
+    entries = rows.select("blob_sha", F.lit(stores.VERSION).alias("version"), F.lit(DIM).alias("dim"), (F.lit(1) if n_chunks is None else n_chunks).cast("int").alias("n_chunks"))
+    store.commit(rows, entries)
+    return store
+
+
 def merge_stores(spark, sf_dir):
-    """Union of two stores' rows that overlap in every sixth blob."""
+    """Union of two stores that overlap in every sixth blob."""
+    rows, _ = _embeddings(spark, sf_dir)
+    mine, theirs = _stored(spark, rows.where("vec_id % 2 = 0")), _stored(spark, rows.where("vec_id % 3 = 0"))
+    stores.merge(spark, mine.location, theirs.location)
+    return mine.vectors().select("blob_sha", F.col("chunk_idx").cast("bigint").alias("chunk_idx"))
+
+
+def store_heal(spark, sf_dir):
+    """What a search may read of a store in which every seventh entry tells more chunks than it has, and how many entries healing drops."""
+    rows, _ = _embeddings(spark, sf_dir)
+    store = _stored(spark, rows, F.when(F.col("vec_id") % 7 == 0, 2).otherwise(1))
+    sound = store.sound_vectors(rows.select("blob_sha"))
+    dropped = rows.count() - store.known().count()
+    return sound.select("blob_sha", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.lit(dropped).cast("bigint").alias("dropped"))
+
+
+def store_gc(spark, sf_dir):
+    """What is live after every fifth blob was removed, every tenth came back and the history was collapsed, and how many snapshots hold it."""
+    rows, _ = _embeddings(spark, sf_dir)
+    store = _stored(spark, rows)
+    store.remove(rows.where("vec_id % 5 = 0").select("blob_sha"))
+    again = rows.where("vec_id % 10 = 0")
+    store.commit(again, again.select("blob_sha", F.lit(stores.VERSION).alias("version"), F.lit(DIM).alias("dim"), F.lit(1).alias("n_chunks")))
+    store.gc(vacuum=True)
+    return store.vectors().select("blob_sha", F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"), F.lit(len(store.head().snaps)).cast("bigint").alias("snapshots"))
+
+
+def store_payloads(spark, sf_dir):
+    """The binary payloads of the even blobs: their bytes, and the header's magic, version, dim and count."""
     rows, _ = _embeddings(spark, sf_dir)
-    key = rows.select("blob_sha", "chunk_idx", "vec_id")
-    return key.where("vec_id % 2 = 0").unionByName(key.where("vec_id % 3 = 0")).dropDuplicates(["blob_sha", "chunk_idx"]).select("blob_sha", F.col("chunk_idx").cast("bigint").alias("chunk_idx"))
+    found = _stored(spark, rows).payloads(rows.where("vec_id % 2 = 0").select("blob_sha"))
+    return found.select("blob_sha", F.octet_length("payload").cast("bigint").alias("n_bytes"), F.lower(F.hex(F.substring("payload", 1, 12))).alias("header"))
 
 
 def incremental_index(spark, sf_dir):
     """Index documents with even ids, then all, in a fresh store; the counts of both runs."""
     files = _docs(spark, sf_dir)
     even = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint") % 2 == 0
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenseek-")
-    store = Store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", f"hash-{DIM}", DIM)
+    store = Store(spark, _scratch(spark, "store"), f"hash-{DIM}", DIM)
     model = embedders.HashEmbedder(DIM)
     runs = [indexer.index(spark, files.where(even), store, model), indexer.index(spark, files, store, model)]
     entries = store.blobs().count()
@@ -276,7 +315,7 @@ def incremental_index(spark, sf_dir):
     return spark.createDataFrame(rows, "run bigint, files_total bigint, blobs_unique bigint, blobs_already_cached bigint, blobs_embedded bigint, blobs_skipped bigint, chunks_embedded bigint, entries bigint")
 
 
-_QUERIES = [scan_textual_files, git_blob_sha, distinct_blobs, canonical_path, paths_per_blob, modified_files, chunk_ranges, chunk_texts, chunk_stats, index_todo, index_cached, index_stats, checkpoint_groups, l2_norms, l2_normalize, hash_embed, topk_inner_product, topk_scan, topk_prefix_filter, topk_fanout_paths, topk_batch, search_documents, show_lines, hits_json, hits_text, store_stats, corpus_extract, compare_runs, merge_stores, incremental_index]
+_QUERIES = [scan_textual_files, git_blob_sha, distinct_blobs, canonical_path, paths_per_blob, modified_files, chunk_ranges, chunk_texts, chunk_stats, index_todo, index_cached, index_stats, checkpoint_groups, l2_norms, l2_normalize, hash_embed, topk_inner_product, topk_scan, topk_prefix_filter, topk_fanout_paths, topk_batch, search_documents, show_lines, hits_json, hits_text, store_stats, corpus_extract, compare_runs, merge_stores, store_heal, store_gc, store_payloads, incremental_index]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -325,8 +364,13 @@ def oracle_sql() -> dict[str, str]:
               (SELECT count(*) FROM known) AS blobs_already_cached,
               (SELECT count(DISTINCT blob_sha) FROM docs WHERE blob_sha NOT IN (SELECT blob_sha FROM known)) AS blobs_embedded,
               (SELECT count(*) FROM windows WHERE blob_sha NOT IN (SELECT blob_sha FROM known)) AS chunks_embedded""",
-        "checkpoint_groups": f"""WITH {_SQL_DOC_CHUNKS}, sizes AS (SELECT blob_sha, count(*) AS n FROM windows GROUP BY blob_sha)
-            SELECT blob_sha, n, CAST(floor(coalesce(sum(n) OVER (ORDER BY blob_sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 64) AS BIGINT) AS "group" FROM sizes""",
+        "checkpoint_groups": f"""WITH RECURSIVE {_SQL_DOC_CHUNKS}, sizes AS (SELECT blob_sha, count(*) AS n, row_number() OVER (ORDER BY blob_sha) AS i FROM windows GROUP BY blob_sha),
+            walk AS (
+              SELECT i, blob_sha, n, n AS held, CAST(0 AS BIGINT) AS g FROM sizes WHERE i = 1
+              UNION ALL SELECT s.i, s.blob_sha, s.n, CASE WHEN w.held >= 64 OR w.held > 0 AND w.held + s.n > 64 THEN s.n ELSE w.held + s.n END,
+                CASE WHEN w.held >= 64 OR w.held > 0 AND w.held + s.n > 64 THEN w.g + 1 ELSE w.g END
+              FROM walk w JOIN sizes s ON s.i = w.i + 1)
+            SELECT blob_sha, n, g AS "group" FROM walk""",
         "l2_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings",
         "l2_normalize": """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label) AS v FROM embeddings),
             n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM s)
@@ -347,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
         "show_lines": f"""WITH {_SQL_DOC_CHUNKS}, {_SQL_CUT}, {_SQL_HASHED}
             SELECT path, start_line, array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10)) AS shown FROM winners JOIN docs USING (blob_sha)""",
         "hits_json": hits + """ SELECT path, '{"path":"' || path || '","start_line":1,"end_line":20,"score":' || CAST(round(score * 1000) AS BIGINT) || ',"blob_sha":"' || blob_sha || '","chunk_idx":0}' AS hit FROM w JOIN paths USING (blob_sha)""",
-        "hits_text": hits + " SELECT path, path || ':1-20' AS place FROM w JOIN paths USING (blob_sha)",
+        "hits_text": hits + " SELECT path, printf('%.4f  %s:%d-%d', score, path, 1, 20) AS hit FROM w JOIN paths USING (blob_sha)",
         "store_stats": f"""WITH {_SQL_FILES}, blobs AS (SELECT blob_sha, any_value(text) AS text FROM files GROUP BY blob_sha), {_SQL_LINES}, {_SQL_KNOWN},
             cached AS (SELECT blob_sha, count(*) AS n FROM windows WHERE blob_sha IN (SELECT blob_sha FROM known) GROUP BY blob_sha),
             cur AS (SELECT path, blob_sha FROM files WHERE starts_with(path, '{PREFIX}') AND {textual}),
@@ -358,6 +402,10 @@ def oracle_sql() -> dict[str, str]:
         "compare_runs": """WITH c AS (SELECT list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * (1 + label / 100.0) AS c FROM embeddings)
             SELECT round(avg(c), 5) AS mean, round(min(c), 5) AS worst, count(*) AS n FROM c""",
         "merge_stores": "SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, CAST(0 AS BIGINT) AS chunk_idx FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0",
+        "store_heal": "SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, CAST(0 AS BIGINT) AS chunk_idx, (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0) AS dropped FROM embeddings WHERE vec_id % 7 <> 0",
+        "store_gc": """SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm, CAST(1 AS BIGINT) AS snapshots
+            FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 10 = 0""",
+        "store_payloads": "SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, CAST(12 + 8 + 4 * len(embedding) AS BIGINT) AS n_bytes, '56475250' || '0100' || '4000' || '01000000' AS header FROM embeddings WHERE vec_id % 2 = 0",
         "incremental_index": f"""WITH {_SQL_DOC_CHUNKS}, {_SQL_KNOWN}, ev AS (SELECT * FROM docs WHERE doc_id % 2 = 0)
             SELECT CAST(0 AS BIGINT) AS run, (SELECT count(*) FROM ev) AS files_total, (SELECT count(*) FROM known) AS blobs_unique, CAST(0 AS BIGINT) AS blobs_already_cached, (SELECT count(*) FROM known) AS blobs_embedded, CAST(0 AS BIGINT) AS blobs_skipped,
               (SELECT count(*) FROM windows WHERE blob_sha IN (SELECT blob_sha FROM known)) AS chunks_embedded, (SELECT count(DISTINCT blob_sha) FROM docs) AS entries

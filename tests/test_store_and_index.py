@@ -3,8 +3,10 @@
 import subprocess
 import threading
 
+import numpy as np
 import pytest
-
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lumenseek import cli
 from lumenseek.functions import codec
@@ -221,21 +223,38 @@ def test_payload_export(spark, store):
     assert found["1"][:2] == (2, [(1, 1)]) and found["1"][2].tolist() == [[1.0, 0.0]] and found["2"][1] == []
 
 
-def test_greedy_groups():
-    assert indexer.greedy_groups([("a", 3), ("b", 3), ("c", 0), ("d", 9), ("e", 1)], 5) == [["a"], ["b", "c"], ["d"], ["e"]]
-    assert indexer.greedy_groups([], 5) == []
-
-
-def test_groups_cover_all_blobs_in_order(spark):
+def greedy(sizes, most):
+    """The groups' numbers, blob by blob: a group ends before a blob that would take it over ``most``, and once it has ``most``."""
+    out, number, held = [], 0, 0
+    for sha, n in sorted(sizes):
+        if held and held + n > most:
+            number, held = number + 1, 0
+        out.append((sha, n, number))
+        held += n
+        if held >= most:
+            number, held = number + 1, 0
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=12), max_size=6), st.integers(1, 12))
+def test_cuts_go_on_from_range_to_range(ranges, most):
+    number, held, found = 0, 0, []
+    for sizes in ranges:
+        cuts, held = indexer.greedy_cuts(np.array(sizes, np.int64), held, most)
+        found += [number + sum(c <= i for c in cuts) for i in range(len(sizes))]
+        number += len(cuts)
+    flat = [(f"{i:03d}", n) for i, n in enumerate(n for r in ranges for n in r)]
+    assert found == [g for _, _, g in greedy(flat, most)]
+
+
+def test_groups_are_the_greedy_ones(spark):
     import hashlib
 
-    sizes = [(hashlib.sha1(str(i).encode()).hexdigest(), i % 7) for i in range(300)]
+    sizes = [(hashlib.sha1(str(i).encode()).hexdigest(), 90 if i % 40 == 3 else i % 7) for i in range(300)]
     rows = indexer.checkpoint_groups(spark.createDataFrame(sizes, "blob_sha string, n bigint"), 50).orderBy("blob_sha").collect()
-    at, expected = 0, []
-    for sha, n in sorted(sizes):
-        expected.append((sha, n, at // 50))
-        at += n
-    assert [tuple(r) for r in rows] == expected
+    assert [tuple(r) for r in rows] == greedy(sizes, 50)
+    assert indexer.checkpoint_groups(spark.createDataFrame([], "blob_sha string, n bigint"), 5).count() == 0
 
 
 def test_directory_and_stream(spark, tmp_path):
