@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenseek.operators import shared
+
 
 #: Arrow batches between Spark and Python: Spark's own limit of 64 MB is held several times over in an executor.
 BATCH_BYTES = 4 << 20
@@ -32,16 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that the cluster shares; removed when the session's JVM ends.
-
-    ``spark.checkpoint.dir`` names the folder. Only where it is unset (single-machine
-    tests) a temporary folder is made and recorded in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lumenseek-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lumenseek/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that the cluster shares; removed when the session's JVM ends, or earlier by ``discard``."""
+    base = shared.folder(spark)
+    path = f"{base}/lumenseek/{tag}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return path
@@ -53,7 +47,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     bounded_batches(spark)
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.scratch = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame, column: str = "text") -> int:

@@ -54,7 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(current)
     while state[0]:
         large = common.materialize(_large_star(current, state[0]), "edges")
+        common.discard(current)
         current = common.materialize(_small_star(large, state[0]), "edges")
+        common.discard(large)
         following = _state(current)
         if following == state:
             break

@@ -277,9 +277,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
     told = pairs.join(next(sides), "a").join(next(sides), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     pairs = common.materialize(told.mapInArrow(plausible, "a binary, b binary"), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_key", "text_key"), "node")
-    asked = common.materialize(asked, "asked")
+    asked_ids = common.materialize(asked, "asked")
     keyed = docs.select(_doc_key(), F.xxhash64("text").alias("text_key"), "text")
-    texts = common.materialize(keyed.join(_sized(asked), ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = common.materialize(keyed.join(_sized(asked_ids), ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     # the pairs of one b are dealt to parts, and its text meets each part once; a task reads it before the texts that it is compared with
     sizes = pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / PAIRS_AT_ONCE).cast("int").alias("last"))
     parts = sizes.select("b", F.explode(F.sequence(F.lit(0), "last")).alias("part"), (F.col("last") + 1).alias("parts"))
@@ -306,7 +306,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
         common.release()
 
     rows = others.union(leaders).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
-    return common.materialize(rows.mapInArrow(run, "a binary, b binary"), "links")
+    links = common.materialize(rows.mapInArrow(run, "a binary, b binary"), "links")
+    common.discard(pairs, asked_ids, texts, parts)
+    return links
 
 
 def leader_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
