@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The wording of the messages below, which other programs read.
 HIT_FIELDS = ("path", "start_line", "end_line", "score", "blob_sha", "chunk_idx")
 
 
