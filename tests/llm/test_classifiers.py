@@ -84,6 +84,68 @@ def test_ftrl_separates_and_stays_sparse():
     assert w[1] > 0 > w[0] and (w == 0).any()
 
 
+def test_ftrl_steps_equal_a_plain_version():
+    rng = np.random.default_rng(3)
+    examples = [(np.sort(rng.choice(20, 5, replace=False)), rng.normal(size=5), int(rng.integers(0, 2))) for _ in range(60)]
+    model, z, n = quality.Ftrl(20), [0.0] * 21, [0.0] * 21
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for at, values, label in examples:
+        model.learn(at, values, label)
+        before = {i: weight(i) for i in at}
+        p = 1 / (1 + np.exp(-sum(before[i] * v for i, v in zip(at, values))))
+        for i, v in zip(at, values):
+            g = (p - label) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * before[i]
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose(model.weights(), [weight(i) for i in range(21)])
+    assert any(w != 0 for w in model.weights())
+
+
+def test_softmax_and_embeddings_follow_the_numeric_gradient():
+    """Training against AdaGrad steps whose gradients are taken by finite differences of the cross entropy."""
+    rng, size = np.random.default_rng(4), 12
+    bags = [(np.sort(rng.choice(size, 4, replace=False)).astype(np.int32), rng.random(4).astype(np.float32)) for _ in range(6)]
+    labels = np.array([0, 1, 1, 0, 1, 0])
+    found = toxicity.fit(toxicity.Bags(np.concatenate([a for a, _ in bags]), np.concatenate([w for _, w in bags]), np.arange(0, 28, 4), labels), size, epochs=2, kept=1)
+    again = np.random.default_rng(11)
+    table = ((again.random((size, toxicity.DIMENSIONS), np.float32) - 0.5) / toxicity.DIMENSIONS).astype(float)
+    out, bias = (again.random((toxicity.DIMENSIONS, 2), np.float32) - 0.5).astype(float), np.zeros(2)
+    seen, seen_out, seen_bias = np.full(size, 1e-4), 1e-2, 1e-2
+
+    def numeric(parameter, loss):
+        grad = np.zeros_like(parameter)
+        for k in np.ndindex(parameter.shape):
+            kept = parameter[k]
+            parameter[k] = kept + 1e-5
+            up = loss()
+            parameter[k] = kept - 1e-5
+            grad[k] = (up - loss()) / 2e-5
+            parameter[k] = kept
+        return grad
+
+    for _ in range(2):
+        for i in again.permutation(6):
+            at, weights = bags[i]
+
+            def loss(at=at, weights=weights, label=labels[i]):
+                z = weights.astype(float) @ table[at] @ out + bias
+                return np.log(np.exp(z).sum()) - z[label]
+
+            rows, outer, shift = numeric(table, loss), numeric(out, loss), numeric(bias, loss)
+            seen += (rows**2).sum(axis=1)
+            seen_out += (outer**2).sum()
+            seen_bias += (shift**2).sum()
+            table -= toxicity.RATE * rows / np.sqrt(seen)[:, None]
+            out -= toxicity.RATE * outer / np.sqrt(seen_out)
+            bias -= 0.1 * toxicity.RATE * shift / np.sqrt(seen_bias)
+    assert np.allclose(found.table, table @ (out[:, 1] - out[:, 0]), rtol=1e-2, atol=1e-3) and np.isclose(found.bias, bias[1] - bias[0], rtol=1e-2, atol=1e-3)
+
+
 def test_subwords_of_a_word_do_not_depend_on_its_place():
     found = toxicity.subwords(pa.array(["Idiot! idiot, b", "x\n\nIDIOT", "", None, "é"]))
     words = [tuple(found.buckets[a:b]) for a, b in zip(found.bounds, found.bounds[1:])]

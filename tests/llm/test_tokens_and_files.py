@@ -165,6 +165,37 @@ def test_assignment_invariants(lengths, capacity):
         assert max(q for *_, q, _ in placed) + 1 == -(-sum(lengths) // capacity)  # as few sequences as the tokens need
 
 
+def plain_assign(lengths, capacity):
+    """Piece after piece, longest first, to the cheapest sequence with room; all sequences are looked at each time."""
+    sequences = [[capacity, 0.0] for _ in range(-(-sum(lengths) // capacity))]
+    out, waiting, full = [], [], 0
+    for d, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((d, k * capacity, capacity, full, 0))
+            sequences[full], full = [0, float("inf")], full + 1
+        if n % capacity:
+            waiting.append((d, n - n % capacity, n % capacity))
+    while waiting:
+        piece = max(waiting, key=lambda w: w[2])
+        waiting.remove(piece)
+        d, start, n = piece
+        fit = [i for i, (room, _) in enumerate(sequences) if room >= n]
+        i = min(fit, key=lambda i: (sequences[i][1], i)) if fit else max(range(len(sequences)), key=lambda i: (sequences[i][0], -i))
+        part = min(n, sequences[i][0])
+        out.append((d, start, part, i, capacity - sequences[i][0]))
+        sequences[i][0] -= part
+        sequences[i][1] += packing.LINEAR_COST * part + packing.QUADRATIC_COST * part * part
+        if part < n:
+            waiting.append((d, start + part, n - part))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 90), max_size=50), st.integers(4, 40))
+def test_assignment_equals_a_plain_version(lengths, capacity):
+    assert packing.assign(np.array(lengths, np.int64), capacity) == plain_assign(lengths, capacity)
+
+
 def check_pieces(pieces, capacity, n_docs):
     """Each id in exactly one piece, and sequences without gaps or overflow."""
     docs, sequences = {}, {}
