@@ -41,7 +41,7 @@ MIN_HASHES = 3
 #: Bytes up to which a table of ids is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_BYTES = 32 << 20
 #: Pairs of one node that a task verifies in a row, and groups that share a shingle and meet in one task.
-PAIRS_AT_ONCE = 500
+PAIRS_AT_ONCE = 100
 GROUPS_AT_ONCE = 500
 LEAST_BITS = 64
 #: Text that a worker turns into shingles at once.
