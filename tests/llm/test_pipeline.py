@@ -3,10 +3,14 @@ import re
 import pytest
 from helpers import AWKWARD, empty
 from oracle import assert_same, connect
+from test_decontamination import brute as shared_passages
+from test_jaccard import brute as similar_documents
+from test_secrets import base_spans
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumenseek.llm import catalog, common, decontamination, jaccard, secrets, toxicity
+from lumenseek.llm import catalog, common, decontamination, jaccard, secrets, tokens, toxicity
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
@@ -58,6 +62,40 @@ def test_awkward_tables_pass_all_stages(spark, sf_dir, rows):
     assert (docs.count() >= len(texts) - 1) if rows else docs.count() == 0
 
 
-def test_run(spark, sf_dir):
-    found = corpus_pipeline.run(spark, sf_dir)
-    assert found.count() > 100 and found.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+def test_run_equals_plain_versions_of_all_stages(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in common.table(spark, sf_dir, "documents").collect()]
+    items = [tuple(r) for r in common.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    model = toxicity.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+    def toxic(text):
+        at, weight = toxicity.bag(text or "")
+        return model.bias + float(model.table[at].astype(float) @ weight) >= 0
+
+    docs = [(i, t) for i, t in docs if not toxic(t)]
+    firsts = {component for _, _, component in similar_documents(docs)}
+    docs = [(i, t) for i, t in docs if i in firsts]
+    hit = {row[0] for row in shared_passages(docs, items) if row[5]}
+    docs = [(i, t) for i, t in docs if i not in hit]
+    cut = {}
+    for i, t in docs:
+        groups = []
+        for start, end in sorted([(start, end) for start, end, _ in base_spans(t)] + secrets.random_strings(t)):
+            if groups and start < groups[-1][1]:
+                groups[-1][1] = max(end, groups[-1][1])
+            else:
+                groups.append([start, end])
+        for start, end in reversed(groups):
+            t = t[:start] + "<SECRET>" + t[end:]
+        cut[i] = t
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(cut) and len(cut) < 200
+    encoder = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
+    sequences = {}
+    for i, text in cut.items():
+        parts = sorted((r["start"], r["ids"]) for r in rows if r["doc_id"] == i)
+        assert [x for _, ids in parts for x in ids] == [*encoder.encode(text, add_special_tokens=False).ids, 2], i
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 4096
