@@ -146,7 +146,7 @@ def search_store(spark: SparkSession, store: Store, files: DataFrame, query: Seq
 
 
 def render(hits: DataFrame, *, as_json: bool = False, show: DataFrame | None = None) -> str:
-    """The hits for people (one line each, with the file's lines if ``show`` has the files) or as a JSON document. At most k winners' paths reach the driver."""
+    """The hits for people (one line each, with the file's lines if ``show`` has the files) or as a JSON document. All paths of the k winners reach the driver, as all are printed."""
     if as_json:
         return formatting.hits_document(r.asDict() for r in hits.collect())
     out = []

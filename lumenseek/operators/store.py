@@ -94,9 +94,6 @@ class Files:
         if self.exists(name):
             self.fs.delete(self.path(name), True)
 
-    def copy(self, name: str, other: Files, to: str) -> None:
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(name), other.fs, other.path(to), False, True, self.conf)
-
     @contextlib.contextmanager
     def lock(self, name: str) -> Iterator[None]:
         """Held for a manifest's publication on a local disk; other stores rename atomically."""
@@ -307,12 +304,12 @@ def models(spark: SparkSession, location: str) -> list[str]:
 
 
 def _copy_model(spark: SparkSession, source: Store, target: Store) -> None:
-    head = source.head()
-    for snap in head.snaps:
+    """Copy the live snapshots that the target lacks, by tasks; one that was cut short has no success mark and is written again."""
+    for snap in source.head().snaps:
         for kind in snap["kinds"]:
             at = target._data(kind, snap["id"])
-            if not target.files.exists(at):
-                source.files.copy(source._data(kind, snap["id"]), target.files, at)
+            if not target.files.exists(f"{at}/_SUCCESS"):
+                spark.read.schema(KINDS[kind]).parquet(source._data(kind, snap["id"])).write.mode("overwrite").parquet(at)
 
 
 def push(spark: SparkSession, location: str, remote: str, *, force: bool = False) -> list[str]:
