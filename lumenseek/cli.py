@@ -86,10 +86,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             return found if content else found.drop("content")
         return gitfiles.read(spark, root, content=content)
 
-    def refreshed(model, quiet):
+    def refreshed(model, quiet, verbose=args.command in ("search", "index") and args.verbose):
         if args.directory:
-            return indexer.index(spark, files(True), kept, model, quiet=quiet)
-        return indexer.index(spark, files(False), kept, model, read=lambda rows: gitfiles.contents(rows, root), quiet=quiet)
+            return indexer.index(spark, files(True), kept, model, quiet=quiet, verbose=verbose)
+        return indexer.index(spark, files(False), kept, model, read=lambda rows: gitfiles.contents(rows, root), quiet=quiet, verbose=verbose)
 
     def embedder():
         found = embedders.build(args.model, args.backend, directory=args.model_dir, url=args.url, threads=args.workers)

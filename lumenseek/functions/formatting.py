@@ -31,6 +31,22 @@ def progress(chunks: int, new_blobs: int, cached: int, total: int) -> str:
     return f"indexing: cache contains {cached}/{total} blobs ({share}%); embedding {chunks} new chunk{'' if chunks == 1 else 's'} from {new_blobs} blob{'' if new_blobs == 1 else 's'}..."
 
 
+def backend_line(model: str, batch: int) -> str:
+    return f"[embed] {model} \u00b7 batch {batch}"
+
+
+def groups_line(chunks: int, blobs: int, most: int) -> str:
+    return f"[index] embedding {chunks} chunks across {blobs} unique blobs in groups of \u2264{most}..."
+
+
+def group_line(groups: int, chunks: int) -> str:
+    return f"[index] ... group {groups} done ({chunks} chunks total)"
+
+
+def percent_line(done: int, total: int) -> str:
+    return f"indexing: {done}/{total} chunks ({min(100.0, done / total * 100 if total else 100.0):.0f}%)"
+
+
 def stats_line(s: Mapping) -> str:
     return f"files: {s['files_total']} | blobs: {s['blobs_unique']} unique, {s['blobs_already_cached']} cached, {s['blobs_embedded']} embedded, {s['blobs_skipped']} skipped | chunks embedded: {s['chunks_embedded']} | {s['elapsed_ms']}ms"
 

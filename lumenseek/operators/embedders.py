@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import math
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -24,6 +26,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from lumenseek.functions import paths, vectors
 
 
+log = logging.getLogger(__name__)
+
+
 @runtime_checkable
 class Embedder(Protocol):
     """Anything picklable with these members; ``embed`` runs in the executors' Python workers."""
@@ -240,16 +245,26 @@ BACKENDS: dict[str, Callable[..., Embedder]] = {"hash": HashEmbedder, "constant"
 
 
 def build(name: str, backend: str = "auto", **options) -> Embedder:
-    """An embedder by model name. ``auto`` takes the hashed stand-in for ``hash-<dim>``; real models need a backend and its options."""
+    """An embedder by model name. ``auto`` takes the hashed stand-in for ``hash-<dim>``, a local model if its ``directory`` has one, and falls back to the
+    service at ``url``, if there is one, with a message; a backend that is asked for by name has to work.
+    """
     spec = parse_model(name, "mlx" if backend == "mlx" else "cpu")
+    directory, url = options.get("directory"), options.get("url")
     if backend == "mlx":
         raise ValueError("the mlx backend needs Apple hardware, which Spark executors do not offer")
     if spec.short.startswith("hash-"):
         return HashEmbedder(spec.dim)
+    if backend == "http" and not url:
+        raise ValueError("the http backend needs the service's url")
     if backend == "http":
-        return HttpEmbedder(options["url"], spec.short, spec.dim)
-    if backend in ("auto", "onnx", "cpu") and options.get("directory"):
-        return OnnxEmbedder(options["directory"], spec, threads=options.get("threads", 1))
+        return HttpEmbedder(url, spec.short, spec.dim)
+    missing = [f for f in ("model.onnx", "tokenizer.json") if directory and not os.path.exists(f"{directory}/{f}")]
+    if directory and (not missing or backend != "auto"):
+        return OnnxEmbedder(directory, spec, threads=options.get("threads", 1))
+    if backend == "auto" and url:
+        if missing:
+            log.warning("[onnx] unavailable (no %s in %s); falling back to the service", missing[0], directory)
+        return HttpEmbedder(url, spec.short, spec.dim)
     raise ValueError(f"model {name} needs a local model directory or the http backend")
 
 

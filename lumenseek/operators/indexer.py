@@ -108,14 +108,14 @@ def greedy_cuts(sizes: np.ndarray, held: int, most: int) -> tuple[list[int], int
     return cuts, held
 
 
-def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedders.Embedder, *, read: Callable[[DataFrame], DataFrame] | None = None, group_chunks: int = GROUP_CHUNKS, quiet: bool = True) -> IndexStats:
+def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedders.Embedder, *, read: Callable[[DataFrame], DataFrame] | None = None, group_chunks: int = GROUP_CHUNKS, quiet: bool = True, verbose: bool = False) -> IndexStats:
     """Embed what the store lacks of ``files`` (path, blob_sha, raw_sha, content) and return the counts.
 
     With ``read``, files need no content: it adds the column to the rows (path, blob_sha, raw_sha) that are to be embedded, so nothing else is read.
 
     Files whose path holds no text are left out. Contents without chunks become entries with 0 chunks; unreadable ones (null content) and modified
     files that changed since the listing are skipped. Each group of about ``group_chunks`` chunks is committed as soon as it is embedded, so an interrupted run
-    goes on where it stopped. With nothing to embed, no content is read.
+    goes on where it stopped. With nothing to embed, no content is read. Unless ``quiet``, progress is logged: the share done after each group, or, ``verbose``, a line for each.
     """
     began = time.monotonic()
     listed = files.where(paths.is_textual(F.col("path")))
@@ -127,14 +127,14 @@ def index(spark: SparkSession, files: DataFrame, store: Store, embedder: embedde
     if stats.blobs_already_cached < stats.blobs_unique:
         staged = f"{store.location}/staging/{uuid.uuid4().hex}"
         try:
-            _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, quiet, stats)
+            _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, quiet, verbose, stats)
         finally:
             store.files.delete(staged)
     stats.elapsed_ms = int((time.monotonic() - began) * 1000)
     return stats
 
 
-def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, quiet, stats) -> None:
+def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, quiet, verbose, stats) -> None:
     if read is not None:
         found = read(wanted)
     else:  # contents are wide: they are only shuffled if there is too much to do to send its list to every task
@@ -149,13 +149,14 @@ def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, q
     grouped = spark.read.schema("blob_sha string, n bigint, group bigint").parquet(f"{staged}/groups")
     totals = grouped.agg(F.count("*").alias("blobs"), F.sum("n").alias("chunks")).first()
     stats.blobs_skipped = stats.blobs_unique - stats.blobs_already_cached - totals["blobs"]
-    if not quiet:
-        log.warning(formatting.progress(totals["chunks"] or 0, totals["blobs"], stats.blobs_already_cached, stats.blobs_unique))
+    if not quiet and totals["chunks"]:
+        log.warning(formatting.backend_line(embedder.model, embedder.batch_size))
+        log.warning(formatting.groups_line(totals["chunks"], totals["blobs"], group_chunks) if verbose else formatting.progress(totals["chunks"], totals["blobs"], stats.blobs_already_cached, stats.blobs_unique))
     # chunks lie by group, so each group reads its own only
     placed = contents.join(broadcast_if_small(grouped.where("n > 0").select("blob_sha", "group")), "blob_sha")
     chunking.with_chunks(placed).repartitionByRange("group", "blob_sha").write.partitionBy("group").parquet(f"{staged}/chunks")
     chunks = spark.read.schema("blob_sha string, chunk_idx int, start_line int, end_line int, text string, group bigint").parquet(f"{staged}/chunks") if totals["chunks"] else None
-    for row in grouped.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("blobs")).orderBy("group").collect():
+    for done, row in enumerate(grouped.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("blobs")).orderBy("group").collect(), 1):
         part = grouped.where(F.col("group") == row["group"])
         entries = part.select("blob_sha", F.lit(VERSION).alias("version"), F.lit(store.dim).alias("dim"), F.col("n").cast("int").alias("n_chunks"))
         rows = chunks.where(F.col("group") == row["group"]).drop("group") if row["n"] else None
@@ -163,3 +164,5 @@ def _embed(spark, listed, wanted, store, embedder, read, staged, group_chunks, q
         store.commit(vectors, entries)
         stats.chunks_embedded += row["n"]
         stats.blobs_embedded += row["blobs"]
+        if not quiet and totals["chunks"]:
+            log.warning(formatting.group_line(done, stats.chunks_embedded) if verbose else formatting.percent_line(stats.chunks_embedded, totals["chunks"]))

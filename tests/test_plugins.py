@@ -74,6 +74,18 @@ def test_local_model(spark, directory, batch):
         assert np.allclose([r["embedding"] for r in sorted(rows)], unit(expected), atol=1e-6)
 
 
+def test_auto_falls_back_from_a_missing_model_to_the_service(directory, tmp_path, caplog):
+    assert isinstance(embedders.build("minilm", directory=directory, url="http://x"), embedders.OnnxEmbedder)
+    assert not caplog.records
+    (tmp_path / "model.onnx").unlink()
+    assert isinstance(embedders.build("minilm", directory=directory, url="http://x"), embedders.HttpEmbedder)
+    assert "falling back" in caplog.text and isinstance(embedders.build("minilm", url="http://x"), embedders.HttpEmbedder)
+    assert isinstance(embedders.build("minilm", "onnx", directory=directory, url="http://x"), embedders.OnnxEmbedder)
+    for options in ({}, {"directory": directory}, {"backend": "http"}, {"backend": "mlx"}):
+        with pytest.raises(ValueError):
+            embedders.build("minilm", **options)
+
+
 def test_long_texts_are_cut_to_the_most_tokens(directory):
     model = embedders.OnnxEmbedder(directory, embedders.ModelSpec("tiny", "tiny", 3), most_tokens=2)
     assert np.allclose(model.embed(["alpha beta gamma gamma"]), unit([TABLE[[2, 3]].mean(axis=0)]), atol=1e-6)

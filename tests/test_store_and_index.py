@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import col, concat, lit
 
 from lumenseek import cli
 from lumenseek.functions import codec
@@ -216,6 +217,16 @@ def test_push_pull_merge(spark, tmp_path, store):
     assert stores.remote_url(spark, store.location, "origin") == remote
 
 
+def test_progress_is_logged_by_group(spark, store, caplog):
+    files = spark.createDataFrame([(f"f{i}.txt", f"{i:040d}", False, f"content of file number {i}".encode()) for i in range(4)], "path string, blob_sha string, raw_sha boolean, content binary")
+    indexer.index(spark, files, store, ConstantEmbedder(), group_chunks=2, quiet=False, verbose=True)
+    assert [r.message for r in caplog.records] == ["[embed] constant · batch 1", "[index] embedding 4 chunks across 4 unique blobs in groups of ≤2...", "[index] ... group 1 done (2 chunks total)", "[index] ... group 2 done (4 chunks total)"]
+    caplog.clear()
+    more = files.withColumn("blob_sha", concat(lit("a"), col("blob_sha").substr(2, 39)))
+    indexer.index(spark, more, store, ConstantEmbedder(), group_chunks=3, quiet=False)
+    assert [r.message for r in caplog.records][-2:] == ["indexing: 3/4 chunks (75%)", "indexing: 4/4 chunks (100%)"]
+
+
 def test_payload_export(spark, store):
     store.commit(*entry(spark, "1" * 40))
     store.commit(blobs=spark.createDataFrame([("2" * 40, 1, 2, 0)], stores.BLOBS))
