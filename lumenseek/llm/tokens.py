@@ -62,10 +62,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        # the parts' own settings: the whole file, with its vocabulary, would take far more memory as Python objects
+        parts = {name: getattr(self.tokenizer, name) for name in ("pre_tokenizer", "normalizer")}
+        spec = {name: json.loads(part.__getstate__()) if part is not None else None for name, part in parts.items()}
         self.cut = _cutter(spec)
-        self.words = None if self.cut is _cut_whole else _Words(spec)
+        self.words = None if self.cut is _cut_whole else _Words(self.tokenizer, spec)
         self._clear()
 
     def _clear(self) -> None:
@@ -167,21 +168,19 @@ class Encoder:
 
 
 class _Words:
-    """Ids of plain words through a tokenizer of the same model that takes them joined, in the model's own alphabet of bytes."""
+    """Ids of plain words through a tokenizer around the same model that takes them joined, in the model's own alphabet of bytes."""
 
-    def __init__(self, spec: dict) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer, spec: dict) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        split = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
-        plain = spec | {"normalizer": None, "pre_tokenizer": split, "post_processor": None, "added_tokens": []}
-        self.tokenizer = Tokenizer.from_str(json.dumps(plain))
+        self.tokenizer = Tokenizer(tokenizer.model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         self.lower = spec.get("normalizer") is not None
-        suffix = len(spec["model"].get("end_of_word_suffix") or "")
+        ending = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
-            ends_word = suffix and token.endswith(spec["model"]["end_of_word_suffix"])
-            self.lengths[number] = len(token) - (suffix if ends_word else 0)
+            self.lengths[number] = len(token.removesuffix(ending))
         # the alphabet: visible Latin-1 characters stand for themselves, the other bytes for the characters from 256 on
         self.alphabet = np.arange(256, dtype="<u4")
         others = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
