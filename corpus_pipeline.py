@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences, with their token ids; few words are cached, as four stages' leftovers share the memory."""
-    return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), with_ids=True, cached_words=200_000)
+    return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), with_ids=True, cached_words=100_000)
 
 
 STAGES = [
