@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that is
-written as Parquet and read again for the next. All but the last return the columns of documents.
+written as Parquet and read again for the next. All but the last return the columns of documents. A stage first has the
+executors give back the memory that the one before took, as their Python workers need it.
 """
 
 from __future__ import annotations
@@ -16,22 +17,26 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
+    common.shrink_executors(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return jaccard.keep_one(docs.select(*COLUMNS))
+    common.shrink_executors(spark)
+    return jaccard.keep_one(docs.select(*COLUMNS), between=lambda: common.shrink_executors(spark))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
+    common.shrink_executors(spark)
     return decontamination.keep_clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret span replaced; n_chars follows the text."""
+    common.shrink_executors(spark)
     scanned = secrets.scan(docs.select(*COLUMNS))
     changed = F.size("secret_spans") > 0
     return scanned.select(
@@ -45,6 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences, with their token ids; few words are cached, as four stages' leftovers share the memory."""
+    common.shrink_executors(spark)
     return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), with_ids=True, cached_words=100_000)
 
 

@@ -12,7 +12,7 @@ that is the one closest to their origin. This ties large families together with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -362,20 +362,25 @@ class Classes(NamedTuple):
     found: DataFrame  # node, component of every node with a link
 
 
-def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
-    """Sets, nodes and components of ``docs`` (columns doc_id and text). ``percent``: more than 50, as sets of one and two shingles are not compared."""
+def classes(docs: DataFrame, *, percent: int = PERCENT, between: Callable[[], None] = lambda: None) -> Classes:
+    """Sets, nodes and components of ``docs`` (columns doc_id and text). ``percent``: more than 50, as sets of one and two shingles are not compared. ``between`` is called between the steps."""
     if not 50 < percent <= 100:
         raise ValueError(f"the similarity must be over 50 % and at most 100 %, not {percent} %")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = common.materialize(signatures(rows, shared_shingles(rows), percent), "signatures")
+    marks = shared_shingles(rows)
+    between()
+    signed = common.materialize(signatures(rows, marks, percent), "signatures")
     linked = signed.where("n > 0")
     # copies cost nothing more: one document stands for each node
     nodes = linked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(_doc_key(), "text_key", "n", "bits")).alias("one"))
     nodes = common.materialize(nodes.select("node", "least", "copies", "one.doc_key", "one.text_key", "one.n", "one.bits"), "nodes")
+    between()
     known = components(verified(leader_pairs(linked, percent), nodes, rows, percent))
+    between()
     labelled = linked.select("node", "n", "gid", "prefix").join(_sized(known), "node", "left")
     labelled = labelled.withColumn("comp", F.xxhash64(F.coalesce("component", "node")))
     more = verified(group_pairs(labelled, percent), nodes, rows, percent)
+    between()
     return Classes(signed, nodes, components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
 
 
@@ -395,12 +400,13 @@ def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     return signed.select("doc_id", "n", "node").join(_sized(names), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = PERCENT, between: Callable[[], None] = lambda: None) -> DataFrame:
     """The rows of ``docs``, with all their columns, of one document of each component: that with the smallest doc_id.
 
     Of rows that repeat its doc_id and text one stays; a null doc_id counts as the smallest. Texts without words are in no component and all stay.
+    ``between`` is called between the steps, to give memory back where it is short.
     """
-    signed, nodes, found = classes(docs, percent=percent)
+    signed, nodes, found = classes(docs, percent=percent, between=between)
     component = F.coalesce("component", "node")
     chosen = nodes.join(found, "node", "left").groupBy(component.alias("c")).agg(F.min(F.struct("doc_key", "text_key")).alias("one"))
     again = signed.where("n > 0").groupBy(_doc_key(), "text_key").count().where("count > 1").select("doc_key", "text_key", F.lit(True).alias("again"))
