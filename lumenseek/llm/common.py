@@ -109,12 +109,3 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
-
-
-def shrink_executors(spark: SparkSession) -> None:
-    """Give heap that the executors' JVMs no longer use back to the system: a heap once grown stays so until a full collection.
-
-    Each free core collects once, which takes a fraction of a second; data that is cached or broadcast stays.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()

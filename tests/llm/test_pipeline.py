@@ -99,23 +99,3 @@ def test_run_equals_plain_versions_of_all_stages(spark, sf_dir):
     for parts in sequences.values():
         parts.sort()
         assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 4096
-
-
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-def test_a_stage_gives_back_what_the_stage_before_took(spark, name):
-    sf = "/root/testdata/sf0.001"
-    docs = common.table(spark, sf, "documents").limit(50)
-    runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    taken = spark._jvm.java.util.ArrayList()
-    taken.ensureCapacity(250_000_000)
-    before = runtime.totalMemory()
-    taken.trimToSize()
-    dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
-    assert before >= 1000 << 20 and runtime.totalMemory() < before - (300 << 20)
-
-
-def test_the_join_shrinks_between_its_steps_and_keeps_the_same_rows(spark):
-    docs = common.table(spark, "/root/testdata/sf0.001", "documents").select(*COLUMNS)
-    calls = []
-    kept = jaccard.keep_one(docs, between=lambda: calls.append(1))
-    assert len(calls) >= 3 and sorted(kept.collect()) == sorted(jaccard.keep_one(docs).collect())
