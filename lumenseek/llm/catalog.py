@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenseek.llm import decontamination, extraction, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
+from lumenseek.llm import ballkmeans, decontamination, extraction, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
@@ -19,8 +19,9 @@ def queries():
         "op8_simple8b": simple8b.op8_simple8b,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
+        "op13_ball_kmeans": ballkmeans.op13_ball_kmeans,
     }
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_jaccard_join": jaccard.ORACLE_SQL}
+    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_jaccard_join": jaccard.ORACLE_SQL, "op13_ball_kmeans": ballkmeans.ORACLE_SQL}
