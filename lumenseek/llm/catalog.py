@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenseek.llm import ballkmeans, decontamination, extraction, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
+from lumenseek.llm import ballkmeans, decontamination, extraction, fingerprints, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_simple8b": simple8b.op8_simple8b,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
+        "op11_fingerprints": fingerprints.op11_fingerprints,
         "op13_ball_kmeans": ballkmeans.op13_ball_kmeans,
     }
 
