@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenseek.llm import ballkmeans, decontamination, extraction, fingerprints, jaccard, jpeg, packing, quality, secrets, simple8b, toxicity, warc
+from lumenseek.llm import ballkmeans, decontamination, extraction, fingerprints, jaccard, jpeg, packing, phrases, quality, secrets, simple8b, toxicity, warc
 
 
 def queries():
@@ -20,9 +20,10 @@ def queries():
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
         "op11_fingerprints": fingerprints.op11_fingerprints,
+        "op12_phrases": phrases.op12_phrases,
         "op13_ball_kmeans": ballkmeans.op13_ball_kmeans,
     }
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_jaccard_join": jaccard.ORACLE_SQL, "op13_ball_kmeans": ballkmeans.ORACLE_SQL}
+    return {"op3_decontamination": decontamination.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_jaccard_join": jaccard.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL, "op13_ball_kmeans": ballkmeans.ORACLE_SQL}
