@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def git_blob_sha(content: Column) -> Column:
-    """Lower-case hex SHA-1 of a git blob with these bytes."""
+def git_object_sha(content: Column, kind: str) -> Column:
+    """Lower-case hex SHA-1 of a git object of this kind with these bytes."""
     content = content.cast("binary")
     size = F.octet_length(content).cast("string").cast("binary")
-    return F.sha1(F.concat(F.lit("blob ").cast("binary"), size, F.lit(b"\0"), content))
+    return F.sha1(F.concat(F.lit(f"{kind} ").cast("binary"), size, F.lit(b"\0"), content))
+
+
+def git_blob_sha(content: Column) -> Column:
+    """Lower-case hex SHA-1 of a git blob with these bytes."""
+    return git_object_sha(content, "blob")
 
 
 def is_blob_sha(sha: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +19,11 @@ def folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="lumenseek-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, removed when the session's JVM ends."""
+    path = f"{folder(spark)}/lumenseek/{tag}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
