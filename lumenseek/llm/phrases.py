@@ -6,7 +6,8 @@ open at a row is told by the depth at which the row differs from the one before,
 
 - Words that occur less often than phrases must cannot be in one, so they end a suffix, as the end of a piece does.
 - Words are numbered by language, the most frequent first; tasks sort and add up equal suffixes and hand on packed blocks, one for each cell of first words.
-- A first word that is too frequent for a cell is dealt by its second word too, and so on, as far as all words are that frequent. Prefixes
+- A first word that is too frequent for a cell is dealt by its second word too, and so is a pair by its third, and so on, as far as they are that frequent; what
+  the tasks that count the words see often enough in a stretch of text is known by then. Prefixes
   that lie in several cells are counted in each and added up; all others are complete where they are and only those that are frequent enough leave the task.
 - The counts of a phrase's parts are joined afterwards. Words that hold a thousandth of all occurrences, 1,000 at most, are broadcast in these joins, so
   no key gathers many rows.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +42,11 @@ COUNTED, SORTED, SLICE_BYTES = 300_000, 1_000_000, 1_000_000
 #: Word occurrences of a cell; cells are 2**MOST_CELL_BITS at most and grow beyond that.
 CELL_WORDS = 250_000
 MOST_CELL_BITS = 18
+#: Phrases of two to four words that hold such a share of the words of a stretch of text, and so often at least, may be too frequent for a cell.
+#: They decide where suffixes are counted, never what is found.
+OFTEN, OFTEN_LEAST = 1000, 20
+#: The driver gets those that hold such a share of all words.
+HEAVY = 20_000
 #: Languages up to which their totals are broadcast.
 FEW_LANGUAGES = 100_000
 
@@ -57,22 +64,52 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         yield lang, b"\n".join(found).translate(_PLAIN)
 
 
+def often(tokens: list[bytes], counts: Counter) -> Counter:
+    """Phrases of two to four words that are frequent in a stretch of text, whose words ``counts`` has; pieces do not matter here."""
+    least = max(OFTEN_LEAST, len(tokens) // OFTEN)
+    names = [w for w, n in counts.items() if n >= least]
+    out: Counter = Counter()
+    if not names:
+        return out
+    numbers = np.fromiter(map({w: i for i, w in enumerate(names, 1)}.get, tokens, repeat(0)), np.int64, len(tokens))
+    at, spelt = numbers, [b"", *names]
+    for length in range(2, MOST_WORDS_OF_A_PHRASE):
+        head, following = at[: max(0, len(numbers) - length + 1)], numbers[length - 1 :]
+        both = np.flatnonzero((head > 0) & (following > 0))
+        codes, which, n = np.unique(head[both] << 32 | following[both], return_inverse=True, return_counts=True)
+        kept = np.flatnonzero(n >= least)
+        if not len(kept):
+            break
+        spelt = [b"", *(spelt[c >> 32] + b" " + names[(c & 0xFFFFFFFF) - 1] for c in codes[kept].tolist())]
+        out.update(dict(zip(spelt[1:], n[kept].tolist())))
+        place = np.zeros(len(codes), np.int64)
+        place[kept] = np.arange(1, len(kept) + 1)
+        at = np.zeros(len(numbers), np.int64)
+        at[both] = place[which]
+    return out
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word and n of every word, and a row with a null word for each language's total."""
+    """lang, word and n of every word; a row with a null word for each language's total; and rows of several words for some phrases that are very frequent, with a lower bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+        heavy: dict[str, Counter] = {}
 
         def put() -> pa.RecordBatch:
-            rows = [(lang, word.decode(), n) for lang, c in counts.items() for word, n in c.items()] + [(lang, None, c.total()) for lang, c in counts.items()]
+            rows = [(lang, word.decode(), n) for found in (counts, heavy) for lang, c in found.items() for word, n in c.items()] + [(lang, None, c.total()) for lang, c in counts.items()]
             counts.clear()
+            heavy.clear()
             langs, found, n = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
                 for lang, data in by_language(part):
-                    counts.setdefault(lang, Counter()).update(data.split())
+                    tokens = data.split()
+                    mine = Counter(tokens)
+                    counts.setdefault(lang, Counter()).update(mine)
+                    heavy.setdefault(lang, Counter()).update(often(tokens, mine))
                 if sum(map(len, counts.values())) >= COUNTED:
                     yield put()
         if counts:
@@ -83,7 +120,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon(NamedTuple):
-    """The listed words, numbered from 1 by falling frequency; 0 ends a suffix."""
+    """The listed words, numbered from 1 by falling frequency; 0 ends a suffix.
+
+    heavy has, for each length from 2 on, the phrases that are too frequent for a cell, ascending, and their counts. A phrase is the place of its beginning
+    among those of the length before (a word: its number) << 32 | the number of its last word.
+    """
 
     langs: list[str]
     words: list[str]
@@ -91,6 +132,23 @@ class Lexicon(NamedTuple):
     complete: bool  # all words that can be in a phrase are listed
     cell_words: int
     cells: int
+    heavy: list[tuple[np.ndarray, np.ndarray]]
+
+
+def heavy_phrases(rows: list[tuple[str, str, int]], langs: list[str], listed: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``Lexicon.heavy`` of phrases (lang, phrase, n); those whose beginning is not among them are left out."""
+    numbers = {(lang, word): i for i, (lang, word) in enumerate(zip(langs, listed), 1)}
+    known, out = dict(numbers), []
+    for length in range(2, MOST_WORDS_OF_A_PHRASE):
+        codes = {}
+        for lang, phrase, n in rows:
+            head, _, last = phrase.rpartition(" ")
+            if phrase.count(" ") == length - 1 and (lang, head) in known and (lang, last) in numbers:
+                codes[known[lang, head] << 32 | numbers[lang, last]] = lang, phrase, n
+        order = sorted(codes)
+        known = {codes[c][:2]: i for i, c in enumerate(order)}
+        out.append((np.array(order, np.int64), np.array([codes[c][2] for c in order], np.int64)))
+    return out
 
 
 class Numbers(dict):
@@ -144,17 +202,31 @@ def prefixes(columns: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.
         yield length, columns[:length, begins[whole]], np.add.reduceat(counts, begins)[whole]
 
 
-def shared_depth(columns: np.ndarray, frequency: np.ndarray, cell_words: int) -> np.ndarray:
-    """By how many first words each suffix is dealt: all before and including the first that is not too frequent for a cell, or all there are."""
-    hot = frequency[columns] > cell_words
-    hot[:-1] &= columns[1:] > 0  # a suffix that ends there goes no deeper
-    hot[-1] = False
-    return hot.cumprod(0).sum(0) + 1
-
-
-def _frequencies(lexicon: Lexicon, others: int) -> np.ndarray:
-    """By number; others occur no more often than the least of the listed ones, unless they were too long to be listed, so they count as not too frequent."""
-    return np.concatenate(([0], lexicon.counts, np.zeros(others, np.int64)))
+def too_frequent(columns: np.ndarray, lexicon: Lexicon) -> list[np.ndarray]:
+    """For the prefixes of each length from 1 on, up to one less than the columns: how often each occurs if that is too often for a cell, else 0."""
+    counts = np.concatenate(([0], lexicon.counts, [0]))  # other words are not too frequent
+    first = counts[np.minimum(columns[0], len(counts) - 1)]
+    out = [np.where(first > lexicon.cell_words, first, 0)]
+    place = columns[0]
+    for (codes, ns), column in zip(lexicon.heavy, columns[1:-1]):
+        here = np.zeros(len(column), np.int64)
+        if len(codes):
+            wanted = place << 32 | column
+            at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+            found = (codes[at] == wanted) & (out[-1] > 0)
+            here[found] = ns[at[found]]
+            place = at
+        out.append(here)
+    return out
+
+
+def dealt(columns: np.ndarray, codes: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """The cell of each suffix: by its first word, and as long as the words so far are too frequent, by the next one, which chooses one of as many cells as they need."""
+    key = words.mix(codes[columns[0]])
+    for n, column in zip(too_frequent(columns, lexicon), columns[1:]):
+        cells = (n // lexicon.cell_words + 1).astype(np.uint64)
+        key = np.where(n > 0, words.mix(key + np.uint64(1) + words.mix(codes[column]) % cells), key)
+    return (key % np.uint64(lexicon.cells)).astype(np.int64)
 
 
 def blocks(numbers: np.ndarray, lexicon: Lexicon, others: list[str]) -> Iterator[tuple[int, bytes, int, list[str]]]:
@@ -164,11 +236,7 @@ def blocks(numbers: np.ndarray, lexicon: Lexicon, others: list[str]) -> Iterator
         return
     codes = words.mix(np.arange(len(lexicon.words) + 1, dtype=np.uint64) + np.uint64(1))
     codes = np.concatenate((codes, np.array([_code(w) for w in others], np.uint64)))
-    depth = shared_depth(columns, _frequencies(lexicon, len(others)), lexicon.cell_words)
-    key = np.zeros(len(counts), np.uint64)
-    for j, column in enumerate(columns):
-        key = np.where(depth > j, words.mix(key * np.uint64(31) + codes[column]), key)
-    cell = (key % np.uint64(lexicon.cells)).astype(np.int64)
+    cell = dealt(columns, codes, lexicon)
     order = np.argsort(cell, kind="stable")
     firsts = np.flatnonzero(np.diff(cell[order], prepend=-1))
     for a, b in zip(firsts, [*firsts[1:], len(order)]):
@@ -208,11 +276,11 @@ def counted(held: list[tuple[bytes, int, list[str]]], lexicon: Lexicon, least: i
         parts.append(rows)
     rows = np.concatenate(parts, axis=1)
     columns, counts = added_up(rows[:-1], rows[-1])
-    frequency = _frequencies(lexicon, len(numbers))
     told = [w.split("\t", 1) for w in numbers]
     spelt, langs = pa.array(["", *lexicon.words, *(w for w, _ in told)]), pa.array(["", *lexicon.langs, *(lang for _, lang in told)])
     for length, found, n in prefixes(columns, counts):
-        shared = (frequency[found] > lexicon.cell_words).all(0)
+        # what is dealt by further words lies in other cells too
+        shared = too_frequent(np.vstack((found, found[-1:])), lexicon)[-1] > 0 if length < MOST_WORDS_OF_A_PHRASE else np.zeros(len(n), bool)
         kept = np.flatnonzero(shared | (n >= least))
         if len(kept):
             phrase = pc.binary_join_element_wise(*(spelt.take(pa.array(c[kept])) for c in found), " ")
@@ -292,13 +360,16 @@ def collocations(docs: DataFrame, *, least: int = LEAST_COUNT, most_rows: int =
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     frequent = common.materialize(word_counts(docs).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
     totals = frequent.where("word IS NULL").select("lang", F.col("n").alias("total"))
-    usable = frequent.where("word IS NOT NULL")
+    usable = frequent.where("NOT contains(word, ' ')")
     total = totals.agg(F.sum("total")).first()[0] or 0
     size = F.octet_length("word")
     short = (size <= LISTED_BYTES) | ((F.col("n") >= max(1, total // 1000)) & (size <= HOT_BYTES))
     listed = usable.where(short).orderBy(F.desc("n"), "lang", "word").limit(LISTED).collect()
     cells = 1 << min(MOST_CELL_BITS, max(4, (total // CELL_WORDS).bit_length()))
-    lexicon = Lexicon([r["lang"] for r in listed], [r["word"] for r in listed], np.array([r["n"] for r in listed], np.int64), usable.count() == len(listed), max(1, total // cells), cells)
+    cell_words = max(1, total // cells)
+    heavy = frequent.where(F.contains("word", F.lit(" ")) & (F.col("n") > max(cell_words, total // HEAVY))).select("lang", "word", "n").collect()
+    langs, spelt = [r["lang"] for r in listed], [r["word"] for r in listed]
+    lexicon = Lexicon(langs, spelt, np.array([r["n"] for r in listed], np.int64), usable.count() == len(listed), cell_words, cells, heavy_phrases([tuple(r) for r in heavy], langs, spelt))
     found = common.materialize(phrase_counts(docs, lexicon, least), "candidates")
     counts = usable.select("lang", F.col("word").alias("phrase"), "n").union(found.select("lang", "phrase", "n"))
     hot = usable.where(F.col("n") >= max(1, total // 1000)).select("lang", F.col("word").alias("phrase"), "n")

@@ -81,6 +81,8 @@ def test_hot_words_in_many_cells_change_nothing(spark, monkeypatch, cell):
     monkeypatch.setattr(phrases, "CELL_WORDS", cell)
     monkeypatch.setattr(phrases, "SORTED", 700)
     monkeypatch.setattr(phrases, "COUNTED", 5)
+    monkeypatch.setattr(phrases, "OFTEN_LEAST", 2)
+    monkeypatch.setattr(phrases, "HEAVY", 10**9)
     monkeypatch.setattr(phrases, "SLICE_BYTES", 300)
     rows = corpus(4)
     assert found(spark, rows, least=3) == brute(rows, 3, 2000)
@@ -113,14 +115,32 @@ def test_prefixes_are_those_of_all_suffixes(rows, frequency):
                 counts[tuple(r[:k])] = counts.get(tuple(r[:k]), 0) + 1
     made = phrases.added_up(columns, np.ones(columns.shape[1], np.int64))
     assert {tuple(p): n for _, found, ns in phrases.prefixes(*made) for p, n in zip(found.T.tolist(), ns.tolist())} == counts
-    # a prefix that is not shared lies in one cell: its suffixes agree in all words by which they are dealt
-    depth = phrases.shared_depth(columns, np.array([0, *frequency]), 4)
+    # a prefix that is not too frequent lies in one cell, whatever the counts are
+    listed = ["a", "b", "c"]
+    rows = [("en", " ".join(listed[w - 1] for w in p), n) for p, n in counts.items() if len(p) < 5]
+    lexicon = phrases.Lexicon(["en"] * 3, listed, np.array(sorted(frequency, reverse=True)), True, 4, 64, phrases.heavy_phrases([r for r in rows if r[2] > 4], ["en"] * 3, listed))
+    cells = phrases.dealt(columns, np.arange(4, dtype=np.uint64), lexicon)
     where = {}
-    for r, d in zip(columns.T.tolist(), depth.tolist()):
+    for r, cell in zip(columns.T.tolist(), cells.tolist()):
         for k in range(2, 6):
-            if all(r[:k]) and min(frequency[w - 1] for w in r[:k]) <= 4:
-                where.setdefault(tuple(r[:k]), set()).add(tuple(r[:d]))
-    assert all(len(cells) == 1 for cells in where.values())
+            if all(r[:k]):
+                where.setdefault(tuple(r[:k]), set()).add(cell)
+    for p, found in where.items():
+        shared = len(p) < 5 and phrases.too_frequent(np.array([*p, 0]).reshape(-1, 1), lexicon)[len(p) - 1][0]
+        assert shared or len(found) == 1
+
+
+def test_a_pair_that_is_everywhere_is_dealt_to_many_cells():
+    rng = random.Random(3)
+    text = " ".join(x for _ in range(4000) for x in ("very", "common", f"w{rng.randrange(500)}", f"v{rng.randrange(500)}"))
+    tokens = text.encode().split()
+    heavy = phrases.often(tokens, Counter(tokens))
+    assert heavy[b"very common"] == 4000
+    listed = ["very", "common", *sorted({w for w in text.split()} - {"very", "common"})]
+    lexicon = phrases.Lexicon(["en"] * len(listed), listed, np.array([4000, 4000] + [8] * (len(listed) - 2)), True, 250, 64, phrases.heavy_phrases([("en", "very common", 4000)], ["en"] * len(listed), listed))
+    numbers = np.array([listed.index(w) + 1 for w in text.split()])
+    sizes = [n for _, _, n, _ in phrases.blocks(numbers, lexicon, [])]
+    assert max(sizes) < 1500 and sum(sizes) > 15_000
 
 
 def test_scores_beyond_64_bits_are_exact(spark):
