@@ -28,7 +28,7 @@ SHINGLE = 5
 HASH_BYTES = 6
 #: Hashes below this share of all are kept: 1 / FRACTION.
 FRACTION = 16
-LEAST = 48
+LEAST = 40
 _SHIFT = np.uint64(64 - 8 * HASH_BYTES)
 _BELOW = np.uint64((1 << 8 * HASH_BYTES) // FRACTION)
 #: Text that a worker turns into shingles at once.
@@ -38,7 +38,7 @@ RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ROWS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, place int, end string, text string"
+_ROWS = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, place int, end string, text string"
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def _finish(firsts: list[tuple], nexts: list[tuple]) -> list[list]:
     return [
         [a[0] for a in firsts],
         [len(a[1]) for a in firsts],
-        [hashlib.sha256(t.encode()).hexdigest() for t in changed],
+        [hashlib.sha256(t.encode()).digest() for t in changed],
         [pack(a[2]) for a in firsts],
         [pack(x) for x in theirs],
         [likeness(a[2], x) for a, x in zip(firsts, theirs)],
@@ -129,7 +129,7 @@ def _finish(firsts: list[tuple], nexts: list[tuple]) -> list[list]:
 
 
 def _types() -> list[pa.DataType]:
-    return [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+    return [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
 
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
@@ -191,7 +191,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     closed = lasts.join(firsts, "place").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(close, _ROWS)
     every = told.where("place IS NULL").union(closed)
-    hexed = [F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in _NAMES[:7]]
+    hexed = [F.lower(F.hex(c)).alias(c) if c.endswith(("fingerprint", "sha256")) else F.col(c) for c in _NAMES[:7]]
     return every.select(*hexed)
 
 
