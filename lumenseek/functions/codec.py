@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed values of the formats.
 PAYLOAD_MAGIC = b"VGRP"
@@ -23,6 +25,32 @@ def pack_payload(dim: int, ranges: list[tuple[int, int]], vectors) -> bytes:
     return _HEADER.pack(PAYLOAD_MAGIC, PAYLOAD_VERSION, dim, len(ranges)) + np.asarray(ranges, "<u4").tobytes() + matrix.tobytes()
 
 
+def pack_payloads(dim: int, column: pa.ListArray) -> pa.BinaryArray:
+    """The payload of each row's list of (chunk_idx, start_line, end_line, embedding); null counts as an empty list. All bytes are laid out by offsets, not row by row.
+
+    An embedding of another length than ``dim`` is an error.
+    """
+    rows = column.flatten()
+    sizes = np.nan_to_num(np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
+    vectors = rows.field("embedding")
+    if len(rows) and (np.asarray(pc.list_value_length(vectors)) != dim).any():
+        raise ValueError(f"expected vectors of {dim}")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(rows), dim)
+    ranges = np.stack((rows.field("start_line").to_numpy(), rows.field("end_line").to_numpy()), axis=1).astype("<u4")
+    bounds = np.append(0, np.cumsum([payload_size(int(n), dim) for n in sizes]))
+    data = np.zeros(int(bounds[-1]), np.uint8)
+    before = np.append(0, np.cumsum(sizes))
+    words = data.view("<u4")  # headers, ranges and vectors are all whole words
+    starts = bounds[:-1] // 4
+    head = np.frombuffer(_HEADER.pack(PAYLOAD_MAGIC, PAYLOAD_VERSION, dim, 0), "<u4")
+    words[starts], words[starts + 1], words[starts + 2] = head[0], head[1], sizes
+    place = np.arange(len(rows)) - np.repeat(before[:-1], sizes)
+    first = np.repeat(starts + 3, sizes)
+    words[(first + 2 * place)[:, None] + np.arange(2)] = ranges
+    words[(first + 2 * np.repeat(sizes, sizes) + dim * place)[:, None] + np.arange(dim)] = flat.view("<u4")
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def payload_rows(payload: bytes) -> int | None:
     """How many vectors the header tells; None if there is no header."""
     if len(payload) < _HEADER.size or payload[:4] != PAYLOAD_MAGIC:

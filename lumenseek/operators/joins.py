@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows; the count stops there."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``rows`` rows (``BROADCAST_ROWS`` by default); the count stops there."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, rows) else df

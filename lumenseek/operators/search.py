@@ -9,12 +9,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenseek.functions import chunking, formatting, paths, vectors
-from lumenseek.operators.joins import broadcast_if_small
+from lumenseek.operators import shared
+from lumenseek.operators.joins import broadcast_if_small, is_small
 from lumenseek.operators.store import Store
 
 HIT_COLUMNS = ["path", "start_line", "end_line", "score", "blob_sha", "chunk_idx"]
@@ -73,6 +76,37 @@ def scan_top_k(rows: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     return top_k(rows.select(*_ROW, "embedding").mapInArrow(run, schema), k)
 
 
+def scores(rows: DataFrame, query: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """``scored`` of all rows by one matrix product per Arrow batch, with the columns ``keys`` besides; the vectors stay behind."""
+    q = np.asarray(query, np.float64)
+    names = [*_ROW, *(c for c in keys if c not in _ROW)]
+    schema = rows.select(*names).schema.add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = _matrix(batch.column("embedding"), len(q)) @ q
+            told = pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(score)], [*names, "score"])
+            yield told.filter(pa.array(np.isfinite(score)))
+
+    return rows.select(*names, "embedding").mapInArrow(run, schema)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if (np.diff(column.offsets.to_numpy()) != dim).any():
+        raise ValueError(f"expected vectors of {dim}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def top_of(rows: DataFrame, current: DataFrame, query: Sequence[float], k: int, keys: Sequence[str]) -> DataFrame:
+    """The k best of the rows whose ``keys`` are in ``current``. No plan shuffles vectors.
+
+    Few keys are sent to the scan. Many are not: then all rows are scored where they are read, and what meets the keys is a narrow row for each.
+    """
+    if is_small(current):
+        return scan_top_k(rows.join(F.broadcast(current), list(keys), "left_semi"), query, k)
+    return top_k(scores(rows, query, keys).join(current, list(keys), "left_semi").select(*_ROW, "score"), k)
+
+
 def fan_out(winners: DataFrame, files: DataFrame, prefix: str | None = None) -> DataFrame:
     """A hit per winner and path below the prefix that holds its blob; k bounds the winners, not the hits."""
     named = files.where(paths.under_prefix(F.col("path"), prefix)).select("path", "blob_sha")
@@ -82,55 +116,109 @@ def fan_out(winners: DataFrame, files: DataFrame, prefix: str | None = None) ->
 
 def search(vector_rows: DataFrame, files: DataFrame, query: Sequence[float], k: int = 10, prefix: str | None = None, *, scan: str = "arrow") -> DataFrame:
     """Hits of one query vector. ``scan``: ``arrow`` for large tables, ``sql`` for built-in functions only. An empty table gives no hits."""
-    rows = candidates(vector_rows, files, prefix)
-    winners = scan_top_k(rows, query, k) if scan == "arrow" else top_k(scored(rows, vectors.literal(query)), k)
+    if scan == "arrow":
+        current = files.where(paths.under_prefix(F.col("path"), prefix)).select("blob_sha").distinct()
+        winners = top_of(vector_rows, current, query, k, ["blob_sha"])
+    else:
+        winners = top_k(scored(candidates(vector_rows, files, prefix), vectors.literal(query)), k)
     return fan_out(winners, files, prefix)
 
 
+#: Bytes of vectors that a task holds to meet all queries, of queries that it keeps instead of reading them again, and of the scores that it makes at once.
+CHUNK_BYTES, KEPT_QUERY_BYTES, SCORE_BYTES = 32 << 20, 64 << 20, 32 << 20
+
+
 def search_many(vector_rows: DataFrame, queries: DataFrame, k: int, *, block: int = 1024) -> DataFrame:
     """The k best windows of every query (qid, qvec): qid, rank and the columns of a scored row.
 
-    The queries are dealt to blocks of about ``block``, each broadcast; each batch of vectors meets a block in one matrix product and
-    hands on its k best rows for each query, so rows per query stay few however many vectors there are.
+    The queries are written in blocks to the shared folder. One scan reads the vectors; a task holds a chunk of them and multiplies it with one block of
+    queries after the other. It hands on what is among the chunk's k best for a query and no worse than the k best that it has seen for it before. Those few rows
+    are merged for each query. Neither side is held whole anywhere. Null queries are left out; without queries or vectors there are no rows.
     """
-    n = -(-queries.count() // block) or 1
-    found = None
-    for i in range(n):
-        rows = queries.select("qid", "qvec").where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect()
-        each = _scan_block(vector_rows, [(r["qid"], r["qvec"]) for r in rows], k)
-        found = each if found is None else found.union(each)
+    spark = vector_rows.sparkSession
+    folder = shared.scratch(spark, "queries")
+    queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("qvec").cast("array<float>").alias("qvec")).where("qid IS NOT NULL AND qvec IS NOT NULL").write.option("maxRecordsPerFile", block).parquet(folder)
+    schema = "qid bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vector_rows.select(*_ROW).schema) + ", score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _QueryBlocks(folder)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield from blocks.best(pa.Table.from_batches(held).combine_chunks(), k)
+                held, size = [], 0
+        if held:
+            yield from blocks.best(pa.Table.from_batches(held).combine_chunks(), k)
+
+    found = vector_rows.select(*_ROW, "embedding").mapInArrow(run, schema)
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "blob_sha", "chunk_idx")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def _scan_block(rows: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int) -> DataFrame:
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids) or not k:
+class _QueryBlocks:
+    """The blocks of queries in a folder, for one task: read one by one for each chunk of vectors, or kept if they are few, with the k best scores of each so far."""
+
+    def __init__(self, folder: str) -> None:
+        self.files, self.plain = shared.filesystem(folder)
+        found = self.files.get_file_info(fs.FileSelector(self.plain))
+        self.names = sorted(f.path for f in found if f.base_name.endswith(".parquet"))
+        self.few = sum(f.size for f in found if f.size) <= KEPT_QUERY_BYTES
+        self.read: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.seen: dict[str, np.ndarray] = {}
+
+    def block(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        if name in self.read:
+            return self.read[name]
+        table = pq.read_table(name, filesystem=self.files, columns=["qid", "qvec"])
+        ids = table.column("qid").to_numpy()
+        flat = table.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        told = ids, flat.reshape(len(ids), len(flat) // max(1, len(ids))).astype(np.float64)
+        if self.few:
+            self.read[name] = told
+        return told
+
+    def best(self, chunk: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+        if not chunk.num_rows or k < 1:
+            return
+        rows = chunk.select(_ROW)
+        column = chunk.column("embedding").combine_chunks()
+        for name in self.names:
+            ids, queries = self.block(name)
+            if not len(ids):
                 continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            scores = matrix @ flat.reshape(batch.num_rows, -1).astype(np.float64).T
-            scores = np.where(np.isfinite(scores), scores, -np.inf)
-            kept = batch.select(_ROW)
-            for i, row in enumerate(scores):
-                kth = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                place = np.flatnonzero((row >= kth) & (row > -np.inf))
-                part = kept.take(pa.array(place))
-                found = pa.table([pa.array(np.full(len(place), ids[i])), *part.columns, pa.array(row[place])], names=["qid", *_ROW, "score"])
-                yield from found.sort_by([("score", "descending"), ("blob_sha", "ascending"), ("chunk_idx", "ascending")]).slice(0, k).combine_chunks().to_batches()
-
-    schema = "qid bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*_ROW).schema) + ", score double"
-    return rows.select(*_ROW, "embedding").mapInArrow(run, schema)
+            matrix = _matrix(column, queries.shape[1]).T
+            some = max(1, SCORE_BYTES // (8 * chunk.num_rows))
+            for at in range(0, len(ids), some):
+                score = queries[at : at + some] @ matrix
+                score[~np.isfinite(score)] = -np.inf
+                which, place = np.nonzero((score >= self._bar(name, at, score, k)[:, None]) & (score > -np.inf))
+                found = pa.table([pa.array(ids[at + which], pa.int64()), *rows.take(pa.array(place)).columns, pa.array(score[which, place])], names=["qid", *_ROW, "score"])
+                found = found.sort_by([("qid", "ascending"), ("score", "descending"), ("blob_sha", "ascending"), ("chunk_idx", "ascending")])
+                qids = found.column("qid").to_numpy()
+                firsts = np.flatnonzero(np.diff(qids, prepend=qids[:1] - 1)) if len(qids) else np.zeros(0, np.int64)
+                rank = np.arange(len(qids)) - np.repeat(firsts, np.diff(np.append(firsts, len(qids))))
+                yield from found.filter(pa.array(rank < k)).combine_chunks().to_batches()
+
+    def _bar(self, name: str, at: int, score: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best score of each query so far, this chunk included; what is below it can be no winner."""
+        top = np.partition(score, score.shape[1] - k, 1)[:, -k:] if score.shape[1] > k else score
+        before = self.seen.get(f"{name} {at}")
+        if before is not None:
+            top = np.concatenate((top, before), axis=1)
+        if top.shape[1] > k:
+            top = np.partition(top, top.shape[1] - k, 1)[:, -k:]
+        if self.few:
+            self.seen[f"{name} {at}"] = top
+        return top.min(1) if top.shape[1] >= k else np.full(len(score), -np.inf)
 
 
 def show_lines(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits with the lines of the file as it is now: the whole window, not the cut text. No lines (null) for a missing or shrunken file."""
-    texts = files.where("content IS NOT NULL").select(F.col("path").alias("__path"), F.split(F.col("content").cast("binary").cast("string"), "\n", -1).alias("__lines"))
+    # only the hits' files are split into lines; contents are not shuffled unless the hits are too many to send to every task
+    shown = files.where("content IS NOT NULL").join(broadcast_if_small(hits.select("path").distinct()), "path", "left_semi")
+    texts = shown.select(F.col("path").alias("__path"), F.split(F.col("content").cast("binary").cast("string"), "\n", -1).alias("__lines"))
     joined = hits.join(texts, F.col("path") == F.col("__path"), "left")
     whole = F.col("start_line") <= F.size("__lines")
     shown = F.when(whole, F.slice("__lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1))
@@ -138,11 +226,16 @@ def show_lines(hits: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def search_store(spark: SparkSession, store: Store, files: DataFrame, query: Sequence[float], k: int = 10, prefix: str | None = None) -> DataFrame:
-    """Search the current files' vectors; damaged entries are dropped from the store and left out."""
-    listed = files.where(paths.is_textual(F.col("path")))
-    shas = listed.select("blob_sha")
-    # the entries are checked in one pass over the vectors; after that the scan reads what is sound
-    return search(store.sound_vectors(shas), listed, query, k, prefix)
+    """Search the current files' vectors; damaged entries are dropped from the store and left out.
+
+    Only entries of files below the prefix are looked at. What is live and sound is told by the entries alone, so the vectors are read once, and no plan shuffles them.
+    """
+    listed = files.where(paths.is_textual(F.col("path")) & paths.under_prefix(F.col("path"), prefix))
+    shas = listed.select("blob_sha").distinct()
+    store.heal(shas)
+    head = store.head()
+    winners = top_of(store.rows(head), store.live(shas, head=head), query, k, ["blob_sha", "seq"])
+    return fan_out(winners, listed, prefix)
 
 
 def render(hits: DataFrame, *, as_json: bool = False, show: DataFrame | None = None) -> str:
@@ -150,7 +243,10 @@ def render(hits: DataFrame, *, as_json: bool = False, show: DataFrame | None = N
     if as_json:
         return formatting.hits_document(r.asDict() for r in hits.collect())
     out = []
-    for row in (hits if show is None else show_lines(hits, show).orderBy(F.desc("score"), "blob_sha", "chunk_idx", "path")).collect():
+    if show is not None:  # the hits are found once, and then their lines
+        local = hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+        hits = show_lines(local, show).orderBy(F.desc("score"), "blob_sha", "chunk_idx", "path")
+    for row in hits.collect():
         out.append(f"{row['score']:.4f}  {row['path']}:{row['start_line']}-{row['end_line']}")
         if show is not None and row["lines"] is not None:
             out += [*(f"    {line}" for line in row["lines"]), ""]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +28,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return path
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """What opens a path, and the path there: any address that pyarrow knows, or a plain local path."""
+    return fs.FileSystem.from_uri(path) if path.split("/", 1)[0].endswith(":") else (fs.LocalFileSystem(), path)

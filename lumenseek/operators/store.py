@@ -5,18 +5,28 @@ Layout below the location, which may lie in any file system that Spark writes to
     vectors/model=M/snap=S/   blob_sha, chunk_idx, start_line, end_line, embedding
     blobs/model=M/snap=S/     blob_sha, version, dim, n_chunks (0: known, but nothing to embed)
     tombstones/model=M/snap=S/  blob_sha
-    manifests/M/<number>.json  the live snapshots in order
+    damaged/model=M/snap=S/   blob_sha of the entries that do not fit their vectors
+    checks/M/S.json           the snapshot's files with their lengths when it was checked, and how many entries are damaged
+    manifests/M/<number>.json  what changed: the snapshots that came to those of the manifest before
+    lineage/M/<id>.json       the manifests before one that came from another store
 
-A commit writes a fresh snapshot first and then the next manifest, which must not exist yet. Whoever
+A commit writes a fresh snapshot, checks it, and then writes the next manifest, which must not exist yet. Whoever
 finds its number taken reads the newer manifest and tries the next number, so no writer's snapshot is lost. A crash before the manifest
-leaves files that nothing refers to. Readers see the last manifest only. Of a blob in several
+leaves files that nothing refers to. Readers see the state of the last manifest only. Of a blob in several
 snapshots the newest counts; a tombstone ends what older snapshots hold.
+
+Manifests are a log: each tells what it adds, and every ``FULL_EVERY``-th tells all live snapshots, and the ids of the manifests since the full one before it.
+So a commit writes a few hundred bytes however long the history is, and a reader reads ``FULL_EVERY`` small files at most.
+
+Whether entries fit their vectors is examined once, when a snapshot is written, and again only if the snapshot's files are not the ones
+that were examined. A search reads the vectors once.
 """
 
 from __future__ import annotations
 
 import contextlib
 import fcntl
+import hashlib
 import json
 import time
 import uuid
@@ -24,10 +34,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.functions import codec, hashing
+from lumenseek.operators import shared
 from lumenseek.operators.joins import broadcast_if_small
 
 VERSION = 1
@@ -35,6 +47,8 @@ VECTORS = "blob_sha string, chunk_idx int, start_line int, end_line int, embeddi
 BLOBS = "blob_sha string, version int, dim int, n_chunks int"
 TOMBSTONES = "blob_sha string"
 KINDS = {"vectors": VECTORS, "blobs": BLOBS, "tombstones": TOMBSTONES}
+#: Manifests between two that tell the whole state.
+FULL_EVERY = 100
 
 
 class Diverged(RuntimeError):
@@ -58,6 +72,12 @@ class Files:
     def names(self, directory: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(directory))) if self.exists(directory) else []
 
+    def lengths(self, directory: str) -> dict[str, int]:
+        """Length of each data file in a directory."""
+        if not self.exists(directory):
+            return {}
+        return {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self.path(directory)) if s.getPath().getName()[0] not in "._"}
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:
@@ -109,11 +129,14 @@ class Files:
 
 @dataclass
 class Manifest:
+    """The state that a manifest stands for."""
+
     number: int = 0
     id: str = ""
-    parents: list[str] = field(default_factory=list)  # ids of all manifests before, oldest first
     snaps: list[dict] = field(default_factory=list)  # {"id", "kinds"} in order
     created: float = 0.0
+    full: int = 0  # number of the last manifest, up to this one, that tells the whole state
+    since: list[str] = field(default_factory=list)  # ids of that manifest and those after it, oldest first
 
 
 class Store:
@@ -129,10 +152,41 @@ class Store:
     def _manifests(self) -> str:
         return f"{self.location}/manifests/{self.model}"
 
+    def _manifest(self, number: int) -> str:
+        return f"{self._manifests()}/{number:010d}.json"
+
     def head(self) -> Manifest:
-        """The last manifest; an empty one if the model has none."""
-        numbers = [n for n in self.files.names(self._manifests()) if n.endswith(".json")]
-        return Manifest(**json.loads(self.files.read(f"{self._manifests()}/{numbers[-1]}"))) if numbers else Manifest()
+        """The state of the last manifest; an empty one if the model has none."""
+        names = [n for n in self.files.names(self._manifests()) if n.endswith(".json")]
+        if not names:
+            return Manifest()
+        told, numbers = [], [int(n.split(".")[0]) for n in names]
+        while not told or "snaps" not in told[-1]:
+            told.append(json.loads(self.files.read(self._manifest(numbers.pop()))))
+        told.reverse()
+        snaps = [*told[0]["snaps"], *(s for t in told[1:] for s in t["add"])]
+        return Manifest(told[-1]["number"], told[-1]["id"], snaps, told[-1]["created"], told[0]["number"], [t["id"] for t in told])
+
+    def ancestors(self, head: Manifest) -> set[str]:
+        """Ids of all manifests before a head, read from one in ``FULL_EVERY``."""
+        out, at = set(head.since) - {head.id}, head.full
+        while at:
+            told = json.loads(self.files.read(self._manifest(at)))
+            out |= set(told["since"])
+            if told.get("lineage"):
+                out |= set(json.loads(self.files.read(f"{self.location}/lineage/{self.model}/{told['lineage']}.json")))
+            at = told["previous"]
+        return out
+
+    def _write(self, number: int, id_: str, head: Manifest, snaps: list[dict], *, lineage: str | None = None) -> bool:
+        """Write a manifest that follows ``head``, as a change to it if it only adds snapshots and few have done so; False if the number is taken."""
+        data: dict = {"number": number, "id": id_, "created": time.time()}
+        added = len(head.snaps)
+        if lineage is None and head.id and snaps[:added] == head.snaps and len(head.since) < FULL_EVERY:
+            data["add"] = snaps[added:]
+        else:
+            data |= {"snaps": snaps, "since": head.since, "previous": head.full, "lineage": lineage}
+        return self.files.create(self._manifest(number), json.dumps(data))
 
     def _publish(self, change) -> Manifest:
         """Publish what ``change`` makes of the head's snapshots; it is asked again if another writer was faster, and may return None to give up."""
@@ -142,9 +196,8 @@ class Store:
                 snaps = change(head)
                 if snaps is None:
                     return head
-                following = Manifest(head.number + 1, uuid.uuid4().hex, [*head.parents, *([head.id] if head.id else [])], snaps, time.time())
-                if self.files.create(f"{self._manifests()}/{following.number:010d}.json", json.dumps(following.__dict__)):
-                    return following
+                if self._write(head.number + 1, uuid.uuid4().hex, head, snaps):
+                    return self.head()
 
     def _data(self, kind: str, snap: str) -> str:
         return f"{self.location}/{kind}/model={self.model}/snap={snap}"
@@ -172,48 +225,79 @@ class Store:
         """Ids that need no embedding, damaged entries included; they are found when they are loaded."""
         return self.blobs().where(hashing.is_blob_sha(F.col("blob_sha"))).select("blob_sha")
 
-    def vectors(self, wanted: DataFrame | None = None, *, head: Manifest | None = None) -> DataFrame:
-        """Rows of the valid live blobs (of ``wanted``, a table of blob_sha, if given)."""
+    def _damaged(self, head: Manifest) -> DataFrame | None:
+        """blob_sha and seq of the damaged entries of the live snapshots; None if there are none. Snapshots whose files are not those that were examined are examined now."""
+        found = None
+        for seq, snap in enumerate(head.snaps):
+            if "blobs" in snap["kinds"] and self._checked(snap):
+                rows = self.spark.read.schema("blob_sha string").parquet(self._data("damaged", snap["id"])).select("blob_sha", F.lit(seq).alias("seq"))
+                found = rows if found is None else found.union(rows)
+        return found
+
+    def _files(self, snap: dict) -> dict:
+        return {kind: self.files.lengths(self._data(kind, snap["id"])) for kind in sorted(snap["kinds"])}
+
+    def _checked(self, snap: dict) -> int:
+        """How many entries of a snapshot are damaged, from its check; it is made if there is none for the files as they are and this dim."""
+        at = f"{self.location}/checks/{self.model}/{snap['id']}.json"
+        files = self._files(snap)
+        if self.files.exists(at):
+            told = json.loads(self.files.read(at))
+            if told["files"] == files and told["dim"] == self.dim:
+                return told["damaged"]
+        return self._examine(snap, files, at)
+
+    def _examine(self, snap: dict, files: dict, at: str) -> int:
+        """Write down which entries of a snapshot do not fit: their version, dim, the count or numbers of their rows, or a vector's length."""
+        read = {kind: self.spark.read.schema(KINDS[kind]).parquet(self._data(kind, snap["id"])) if kind in snap["kinds"] else self.spark.createDataFrame([], KINDS[kind]) for kind in ("blobs", "vectors")}
+        self._misfits(read["blobs"], read["vectors"]).write.mode("overwrite").parquet(self._data("damaged", snap["id"]))
+        damaged = self.spark.read.schema("blob_sha string").parquet(self._data("damaged", snap["id"])).count()
+        self.files.replace(at, json.dumps({"files": files, "dim": self.dim, "damaged": damaged}))
+        return damaged
+
+    def _misfits(self, blobs: DataFrame, rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy("blob_sha").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != self.dim).alias("n_bad"), F.count_distinct("chunk_idx").alias("n_idx"))
+        both = blobs.join(counted, "blob_sha", "left")
+        n = F.coalesce("n", F.lit(0))
+        fits = (F.col("version") == VERSION) & (F.col("dim") == self.dim) & (n == F.col("n_chunks")) & (F.coalesce("n_idx", F.lit(0)) == n) & (F.coalesce("n_bad", F.lit(0)) == 0)
+        return both.where(~F.coalesce(fits, F.lit(False))).select("blob_sha").distinct()
+
+    def live(self, wanted: DataFrame | None = None, *, head: Manifest | None = None) -> DataFrame:
+        """blob_sha and seq of the live blobs (of ``wanted``, a table of blob_sha, if given) that are not damaged. No vector is read."""
         head = head or self.head()
-        blobs, rows = self.blobs(head), self._rows("vectors", head)
+        blobs = self.blobs(head).select("blob_sha", "seq")
         if wanted is not None:
             blobs = blobs.join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi")
-        bad = self._invalid(blobs, rows)
-        good = blobs.join(bad, "blob_sha", "left_anti").select("blob_sha", "seq")
+        damaged = self._damaged(head)
+        return blobs if damaged is None else blobs.join(damaged, ["blob_sha", "seq"], "left_anti")
+
+    def rows(self, head: Manifest | None = None) -> DataFrame:
+        """All rows of vectors with their snapshot's place ``seq``, of which those that ``live`` names count."""
+        return self._rows("vectors", head or self.head())
+
+    def vectors(self, wanted: DataFrame | None = None, *, head: Manifest | None = None) -> DataFrame:
+        """Rows of the valid live blobs (of ``wanted``, a table of blob_sha, if given)."""
+        head = head or self.head()
         # the vectors are wide: they are only shuffled if there are too many blobs to send to every task
-        return rows.join(broadcast_if_small(good), ["blob_sha", "seq"], "left_semi").drop("seq")
+        return self._rows("vectors", head).join(broadcast_if_small(self.live(wanted, head=head)), ["blob_sha", "seq"], "left_semi").drop("seq")
 
     def sound_vectors(self, wanted: DataFrame) -> DataFrame:
-        """``vectors`` of ``wanted`` after ``heal``, with a single check of the entries: the damaged ones are tombstoned and left out."""
-        head = self.head()
-        blobs, rows = self.blobs(head).join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi"), self._rows("vectors", head)
-        bad = self._invalid(blobs, rows).distinct().cache()
-        try:
-            damaged = bad.count()
-            if damaged:
-                self.commit(deletes=bad)
-                head = self.head()
-                blobs = self.blobs(head).join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi")
-                rows = self._rows("vectors", head)
-        finally:
-            bad.unpersist()
-        return rows.join(broadcast_if_small(blobs.select("blob_sha", "seq")), ["blob_sha", "seq"], "left_semi").drop("seq")
-
-    def _invalid(self, blobs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Ids whose header or rows do not fit: version, dim, the count of rows, or a vector's length."""
-        counted = rows.groupBy("blob_sha", "seq").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != self.dim).alias("n_bad"), F.count_distinct("chunk_idx").alias("n_idx"))
-        both = blobs.join(counted, ["blob_sha", "seq"], "left")
-        n = F.coalesce("n", F.lit(0))
-        fits = (F.col("version") == VERSION) & (F.col("dim") == self.dim) & (n == F.col("n_chunks")) & (F.coalesce("n_idx", F.lit(0)) == n) & (F.coalesce("n_bad", F.lit(0)) == 0)
-        return both.where(~F.coalesce(fits, F.lit(False))).select("blob_sha")
+        """``vectors`` of ``wanted`` after ``heal``: the damaged entries are tombstoned and left out."""
+        self.heal(wanted)
+        return self.vectors(wanted)
 
     def invalid(self, wanted: DataFrame) -> DataFrame:
+        """blob_sha of the damaged ones of the wanted blobs."""
         head = self.head()
-        blobs = self.blobs(head).join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi")
-        return self._invalid(blobs, self._rows("vectors", head))
+        damaged = self._damaged(head)
+        if damaged is None:
+            return self.spark.createDataFrame([], "blob_sha string")
+        return self.blobs(head).join(damaged, ["blob_sha", "seq"], "left_semi").join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi").select("blob_sha")
 
     def heal(self, wanted: DataFrame) -> int:
         """Tombstone the damaged ones of the wanted blobs, so that the next index embeds them again; returns how many."""
+        if self._damaged(self.head()) is None:
+            return 0
         bad = self.invalid(wanted).distinct().cache()
         try:
             n = bad.count()
@@ -238,6 +322,8 @@ class Store:
                 kinds.append(kind)
         if not kinds:
             return self.head()
+        if "blobs" in kinds:
+            self._checked({"id": snap, "kinds": kinds})
         return self._publish(lambda head: [*head.snaps, {"id": snap, "kinds": kinds}])
 
     def remove(self, blob_shas: DataFrame) -> Manifest:
@@ -261,21 +347,40 @@ class Store:
                 raise Diverged("the store changed during the compaction")
             return [{"id": snap, "kinds": ["vectors", "blobs"]}]
 
+        self._checked({"id": snap, "kinds": ["vectors", "blobs"]})
         after = self._publish(swap)
         if vacuum:
-            for kind in KINDS:
+            for kind in (*KINDS, "damaged"):
                 for name in self.files.names(f"{self.location}/{kind}/model={self.model}"):
                     if name != f"snap={snap}":
                         self.files.delete(f"{self.location}/{kind}/model={self.model}/{name}")
+            for name in self.files.names(f"{self.location}/checks/{self.model}"):
+                if name != f"{snap}.json":
+                    self.files.delete(f"{self.location}/checks/{self.model}/{name}")
+            # the history's ids stay, as one file, so that other stores can still tell whether they are behind or apart
+            self._forget()
+        return head.id, after.id
+
+    def _forget(self) -> None:
+        """Replace the log by one manifest of the same state."""
+        with self.files.lock(self.model):
+            head = self.head()
+            self._note_lineage(head.id, self.ancestors(head))
+            if not self._write(head.number + 1, head.id, Manifest(), head.snaps, lineage=head.id):
+                raise Diverged("another writer was faster")
             for name in self.files.names(self._manifests())[:-1]:
                 self.files.delete(f"{self._manifests()}/{name}")
-        return head.id, after.id
+
+    def _note_lineage(self, id_: str, ids: set[str]) -> None:
+        self.files.replace(f"{self.location}/lineage/{self.model}/{id_}.json", json.dumps(sorted(ids)))
 
     def clear(self) -> bool:
         """Delete this model; others stay. False if there was nothing."""
         there = bool(self.head().id)
         self.files.delete(self._manifests())
-        for kind in KINDS:
+        for place in ("checks", "lineage"):
+            self.files.delete(f"{self.location}/{place}/{self.model}")
+        for kind in (*KINDS, "damaged"):
             self.files.delete(f"{self.location}/{kind}/model={self.model}")
         return there
 
@@ -284,18 +389,14 @@ class Store:
     def payloads(self, wanted: DataFrame | None = None) -> DataFrame:
         """blob_sha and its vectors in the binary payload format, one row per valid live blob with or without vectors."""
         head, dim = self.head(), self.dim
-        blobs = self.blobs(head)
-        if wanted is not None:
-            blobs = blobs.join(wanted.select("blob_sha").distinct(), "blob_sha", "left_semi")
-        rows = self.vectors(wanted, head=head)
-        packed = rows.groupBy("blob_sha").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "start_line", "end_line", "embedding"))).alias("rows"))
-        valid = blobs.join(self._invalid(blobs, self._rows("vectors", head)), "blob_sha", "left_anti")
+        valid = self.live(wanted, head=head).select("blob_sha")
+        packed = self.vectors(wanted, head=head).groupBy("blob_sha").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "start_line", "end_line", "embedding"))).alias("rows"))
 
-        @F.pandas_udf("binary")
-        def pack(column):
-            return column.map(lambda found: codec.pack_payload(dim, [(r["start_line"], r["end_line"]) for r in (found if found is not None else [])], [r["embedding"] for r in (found if found is not None else [])]))
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("blob_sha"), codec.pack_payloads(dim, batch.column("rows"))], ["blob_sha", "payload"])
 
-        return valid.join(packed, "blob_sha", "left").select("blob_sha", pack("rows").alias("payload"))
+        return valid.join(packed, "blob_sha", "left").select("blob_sha", "rows").mapInArrow(pack, "blob_sha string, payload binary")
 
 
 def models(spark: SparkSession, location: str) -> list[str]:
@@ -304,12 +405,56 @@ def models(spark: SparkSession, location: str) -> list[str]:
 
 
 def _copy_model(spark: SparkSession, source: Store, target: Store) -> None:
-    """Copy the live snapshots that the target lacks, by tasks; one that was cut short has no success mark and is written again."""
-    for snap in source.head().snaps:
-        for kind in snap["kinds"]:
-            at = target._data(kind, snap["id"])
-            if not target.files.exists(f"{at}/_SUCCESS"):
-                spark.read.schema(KINDS[kind]).parquet(source._data(kind, snap["id"])).write.mode("overwrite").parquet(at)
+    """Copy the files of the live snapshots that the target lacks, byte by byte and by tasks, then their checks.
+
+    A file appears under its name when it is whole; one that is there with the right length is not copied again, so a copy that broke off goes on where it stopped.
+    """
+    snaps = source.head().snaps
+    wanted = []
+    for snap in snaps:
+        for kind in (*snap["kinds"], "damaged"):
+            have = target.files.lengths(target._data(kind, snap["id"]))
+            wanted += [(source._data(kind, snap["id"]), target._data(kind, snap["id"]), name, size) for name, size in source.files.lengths(source._data(kind, snap["id"])).items() if have.get(name) != size]
+    copy_files(spark, wanted)
+    for snap in snaps:
+        told = f"{source.location}/checks/{source.model}/{snap['id']}.json"
+        if source.files.exists(told):
+            target.files.replace(f"{target.location}/checks/{target.model}/{snap['id']}.json", source.files.read(told))
+
+
+def copy_files(spark: SparkSession, wanted: list[tuple[str, str, str, int]]) -> int:
+    """Copy files (from folder, to folder, name, length) by tasks; returns the bytes. What arrives is compared with what was read by its hash."""
+    if not wanted:
+        return 0
+    rows = spark.createDataFrame(wanted, "source string, target string, name string, size bigint").repartition(min(len(wanted), 10_000), "source", "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [transfer(r["source"], r["target"], r["name"], r["size"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["size"])
+
+    return rows.mapInArrow(run, "size bigint").agg(F.sum("size")).first()[0]
+
+
+def transfer(source: str, target: str, name: str, size: int, *, piece: int = 8 << 20) -> int:
+    """Copy one file in pieces under another name, read it again to compare hashes, and give it its name."""
+    (files, plain), (others, place) = shared.filesystem(f"{source}/{name}"), shared.filesystem(target)
+    others.create_dir(place, recursive=True)
+    temporary, n, sent = f"{place}/.{name}.{uuid.uuid4().hex}", 0, hashlib.sha256()
+    with files.open_input_stream(plain) as f, others.open_output_stream(temporary) as g:
+        while data := f.read(piece):
+            g.write(data)
+            sent.update(data)
+            n += len(data)
+    arrived = hashlib.sha256()
+    with others.open_input_stream(temporary) as f:
+        while data := f.read(piece):
+            arrived.update(data)
+    if n != size or arrived.digest() != sent.digest():
+        others.delete_file(temporary)
+        raise OSError(f"{source}/{name} did not arrive whole")
+    others.move(temporary, f"{place}/{name}")
+    return n
 
 
 def push(spark: SparkSession, location: str, remote: str, *, force: bool = False) -> list[str]:
@@ -318,11 +463,11 @@ def push(spark: SparkSession, location: str, remote: str, *, force: bool = False
     for model in models(spark, location):
         mine, theirs = Store(spark, location, model, 0), Store(spark, remote, model, 0)
         head, other = mine.head(), theirs.head()
-        if other.id and other.id != head.id and other.id not in head.parents and not force:
+        if other.id and other.id != head.id and not force and other.id not in mine.ancestors(head):
             raise Diverged(f"{model}: the remote has changes that this store lacks")
         if other.id != head.id:
             _copy_model(spark, mine, theirs)
-            _set_head(theirs, head)
+            _set_head(theirs, mine)
         done.append(model)
     return done
 
@@ -334,17 +479,18 @@ def pull(spark: SparkSession, location: str, remote: str) -> list[str]:
         mine, theirs = Store(spark, location, model, 0), Store(spark, remote, model, 0)
         if theirs.head().id != mine.head().id:
             _copy_model(spark, theirs, mine)
-            _set_head(mine, theirs.head())
+            _set_head(mine, theirs)
         done.append(model)
     return done
 
 
-def _set_head(store: Store, head: Manifest) -> None:
-    """Make ``head`` the last manifest: older numbers than the present one's go on from there."""
+def _set_head(store: Store, source: Store) -> None:
+    """Make the head of ``source`` that of ``store``: a manifest of the whole state, with the ids of all that came before it in a file of its own."""
+    head = source.head()
+    store._note_lineage(head.id, source.ancestors(head))
     with store.files.lock(store.model):
         number = max(head.number, store.head().number + 1)
-        data = json.dumps(head.__dict__ | {"number": number})
-        if not store.files.create(f"{store._manifests()}/{number:010d}.json", data):
+        if not store._write(number, head.id, Manifest(), head.snaps, lineage=head.id):
             raise Diverged("another writer was faster")
 
 

@@ -29,6 +29,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from lumenseek.functions import gitformat, hashing
 from lumenseek.operators import shared
+from lumenseek.operators.shared import filesystem
 
 #: Objects of a partition of ``located``, and compressed bytes read at once.
 IDS_PER_PARTITION = 100_000
@@ -43,10 +44,6 @@ LOCATED = "id string, pack string, offset bigint"
 INDEX = "path string, mode int, stage int, blob_sha string, size bigint"
 
 
-def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _names(files: fs.FileSystem, directory: str) -> list[str]:
     found = files.get_file_info(fs.FileSelector(directory, allow_not_found=True))
     return sorted(f.base_name for f in found)

@@ -77,3 +77,32 @@ def test_query_text():
     assert search.query_text(["two", "words"]) == "two words"
     with pytest.raises(ValueError, match="empty"):
         search.query_text([])
+
+
+def test_many_queries_in_one_scan(spark, monkeypatch):
+    """Blocks, chunks and thresholds change nothing; equal scores are broken by id and window."""
+    rng = np.random.default_rng(2)
+    rows = [(f"{i % 70:040x}", i // 70, 1, 1, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(400)] + [("f" * 40, 0, 1, 1, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "blob_sha string, chunk_idx int, start_line int, end_line int, embedding array<float>").repartition(3)
+    queries = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(90)]
+    asked = spark.createDataFrame([*queries, (None, [1.0] * 4), (99, None)], "qid int, qvec array<double>")
+    monkeypatch.setattr(search, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(search, "SCORE_BYTES", 4000)
+    expected = []
+    for qid, q in queries:
+        order = sorted((-sum(a * b for a, b in zip(q, v)), sha, c) for sha, c, _, _, v in rows if v[0] == v[0])[:6]
+        expected += [(qid, rank, sha, c, -s) for rank, (s, sha, c) in enumerate(order, 1)]
+    for few in (search.KEPT_QUERY_BYTES, 0):
+        monkeypatch.setattr(search, "KEPT_QUERY_BYTES", few)
+        found = search.search_many(df, asked, 6, block=20)
+        assert sorted((r["qid"], r["rank"], r["blob_sha"], r["chunk_idx"], r["score"]) for r in found.collect()) == expected
+    assert search.search_many(df, asked.limit(0), 6).count() == 0 and search.search_many(df.limit(0), asked, 6).count() == 0 and search.search_many(df, asked, 0).count() == 0
+
+
+def test_shown_files_are_chosen_before_they_are_split(spark):
+    files = spark.createDataFrame([(f"f{i}.txt", f"a\nb{i}\nc".encode()) for i in range(20)] + [("none.txt", None)], "path string, content binary")
+    hits = spark.createDataFrame([("f3.txt", 2, 3, 0.5, "x", 0), ("gone.txt", 1, 1, 0.4, "y", 0), ("f4.txt", 2, 9, 0.3, "z", 0)], "path string, start_line int, end_line int, score double, blob_sha string, chunk_idx int")
+    shown = search.show_lines(hits, files)
+    assert {r["path"]: r["lines"] for r in shown.collect()} == {"f3.txt": ["b3", "c"], "gone.txt": None, "f4.txt": ["b4", "c"]}
+    plan = shown._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert not [n for n in plan.split("\n\n") if "Exchange" in n.split("\n")[0] and "content" in n]

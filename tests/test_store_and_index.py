@@ -234,6 +234,86 @@ def test_payload_export(spark, store):
     assert found["1"][:2] == (2, [(1, 1)]) and found["1"][2].tolist() == [[1.0, 0.0]] and found["2"][1] == []
 
 
+def test_manifests_stay_small_and_still_tell_divergence(spark, tmp_path, store, monkeypatch):
+    monkeypatch.setattr(stores, "FULL_EVERY", 10)
+    ids = [store._publish(lambda head, i=i: [*head.snaps, {"id": f"s{i}", "kinds": []}]).id for i in range(64)]
+    head = store.head()
+    assert [s["id"] for s in head.snaps] == [f"s{i}" for i in range(64)] and head.number == 64 and store.ancestors(head) == set(ids[:-1])
+    sizes = [store.files.lengths(store._manifests())[f"{i:010d}.json"] for i in range(1, 65)]
+    assert sum(n > 250 for n in sizes) <= 7 and max(sizes) < 3000
+    remote = str(tmp_path / "remote")
+    stores.push(spark, store.location, remote)
+    far = Store(spark, remote, "constant", 2)
+    assert far.head().id == head.id and far.ancestors(far.head()) == store.ancestors(head)
+    other = Store(spark, str(tmp_path / "other"), "constant", 2)
+    stores.pull(spark, other.location, remote)
+    mine = other._publish(lambda head: [*head.snaps, {"id": "more", "kinds": []}])
+    assert other.ancestors(mine) == set(ids)
+    # an old head of the other side is known although it came over by a pull
+    stores.push(spark, other.location, remote)
+    store._publish(lambda head: [*head.snaps, {"id": "apart", "kinds": []}])
+    with pytest.raises(stores.Diverged):
+        stores.push(spark, store.location, remote)
+    store._publish(lambda head: [])
+    assert store.head().snaps == [] and len(store.ancestors(store.head())) == 65
+
+
+def test_changed_files_are_examined_again(spark, store):
+    for c in "123":
+        store.commit(*entry(spark, c * 40))
+    wanted = store.known()
+    assert store.heal(wanted) == 0
+    snap = store.head().snaps[1]["id"]
+    # the vectors of one snapshot are replaced behind the store's back
+    chunks, _ = entry(spark, "2" * 40, 3)
+    chunks.write.mode("overwrite").parquet(store._data("vectors", snap))
+    again = Store(spark, store.location, "constant", 2)
+    assert [r[0][0] for r in again.invalid(wanted).collect()] == ["2"] and again.heal(wanted) == 1
+    assert sorted(r["blob_sha"][0] for r in again.vectors().collect()) == ["1", "3"] and again.known().count() == 2
+
+
+def test_a_search_reads_the_vectors_once_and_shuffles_none(spark, store, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"{i:040x}", 0, 1, 1, [float(x) for x in rng.normal(size=2)]) for i in range(60)]
+    store.commit(spark.createDataFrame(rows, stores.VECTORS), spark.createDataFrame([(r[0], 1, 2, 1) for r in rows], stores.BLOBS))
+    store.remove(spark.createDataFrame([(rows[5][0],)], "blob_sha string"))
+    files = spark.createDataFrame([(f"d{i % 3}/f{i}.txt", r[0]) for i, r in enumerate(rows)], "path string, blob_sha string")
+    found = {}
+    for most in (500_000, 0):
+        monkeypatch.setattr("lumenseek.operators.joins.BROADCAST_ROWS", most)
+        hits = search.search_store(spark, store, files, [1.0, 0.5], 7, "d1/")
+        plan = hits._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        nodes = plan.split("\n\n")
+        assert not [n for n in nodes if "Exchange" in n.split("\n")[0] and "embedding" in n]
+        assert sum("embedding" in n and "Scan parquet" in n.split("\n")[0] for n in nodes) == 1
+        found[most] = [tuple(r) for r in hits.collect()]
+    expected = sorted(((1.0 * v[0] + 0.5 * v[1], f"d{i % 3}/f{i}.txt") for i, (_, _, _, _, v) in enumerate(rows) if i % 3 == 1 and i != 5), reverse=True)[:7]
+    assert found[0] == found[500_000] and [h[0] for h in found[0]] == [p for _, p in expected]
+
+
+def test_a_broken_copy_goes_on_where_it_stopped(spark, tmp_path, store):
+    store.commit(*entry(spark, "1" * 40))
+    store.commit(*entry(spark, "2" * 40))
+    remote = tmp_path / "remote"
+    far = Store(spark, str(remote), "constant", 2)
+    snaps = store.head().snaps
+    stores.push(spark, store.location, str(remote))
+    import pathlib
+
+    def data(location):
+        return {p.relative_to(location): p.read_bytes() for p in sorted(pathlib.Path(location).rglob("*.parquet")) if not p.name.startswith(".")}
+
+    assert data(remote) == data(store.location)
+    whole = sorted(pathlib.Path(far._data("vectors", snaps[0]["id"])).glob("*.parquet"))[0]
+    size = whole.stat().st_size
+    whole.write_bytes(whole.read_bytes()[: size // 2])
+    kept = sorted(pathlib.Path(far._data("vectors", snaps[1]["id"])).glob("*.parquet"))[0]
+    stamp = kept.stat().st_mtime_ns
+    stores._copy_model(spark, store, far)
+    assert data(remote) == data(store.location) and kept.stat().st_mtime_ns == stamp
+    assert not [p for p in remote.rglob(".part*") if not p.name.endswith(".crc")]
+
+
 def greedy(sizes, most):
     """The groups' numbers, blob by blob: a group ends before a blob that would take it over ``most``, and once it has ``most``."""
     out, number, held = [], 0, 0
@@ -259,6 +339,25 @@ def test_cuts_go_on_from_range_to_range(ranges, most):
     assert found == [g for _, _, g in greedy(flat, most)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=8), min_size=1, max_size=6), st.integers(1, 12))
+def test_carry_functions_compose_to_the_greedy_cut(ranges, most):
+    for sizes in ranges:
+        f = indexer.carry_function(np.array(sizes, np.int64), most)
+        assert len(f.start) <= most + 1 and f.start[0] == 0
+        for held in range(most):
+            cuts, left = indexer.greedy_cuts(np.array(sizes, np.int64), held, most)
+            assert indexer.apply(f, held) == (len(cuts), left)
+    functions = [indexer.carry_function(np.array(sizes, np.int64), most) for sizes in ranges]
+    for ordered in (lambda fs: [indexer.compose(a, b) for a, b in zip(fs[::2], fs[1::2])] + fs[len(fs) // 2 * 2 :],):
+        while len(functions) > 1:
+            functions = ordered(functions)
+    flat = np.array([n for sizes in ranges for n in sizes], np.int64)
+    for held in range(most):
+        cuts, left = indexer.greedy_cuts(flat, held, most)
+        assert indexer.apply(functions[0], held) == (len(cuts), left)
+
+
 def test_groups_are_the_greedy_ones(spark):
     import hashlib
 
