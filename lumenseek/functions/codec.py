@@ -15,7 +15,7 @@ CORPUS_MAGIC = b"VGGCORP1"
 _HEADER = struct.Struct("<4sHHI")
 
 
-def payload_size(n: int, dim: int) -> int:
+def payload_size(n, dim: int):
     return _HEADER.size + 8 * n + 4 * n * dim
 
 
@@ -37,9 +37,9 @@ def pack_payloads(dim: int, column: pa.ListArray) -> pa.BinaryArray:
         raise ValueError(f"expected vectors of {dim}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(rows), dim)
     ranges = np.stack((rows.field("start_line").to_numpy(), rows.field("end_line").to_numpy()), axis=1).astype("<u4")
-    bounds = np.append(0, np.cumsum([payload_size(int(n), dim) for n in sizes]))
+    bounds = np.append(0, np.cumsum(payload_size(sizes, dim))).astype(np.int64)
     data = np.zeros(int(bounds[-1]), np.uint8)
-    before = np.append(0, np.cumsum(sizes))
+    before = np.append(0, np.cumsum(sizes)).astype(np.int64)
     words = data.view("<u4")  # headers, ranges and vectors are all whole words
     starts = bounds[:-1] // 4
     head = np.frombuffer(_HEADER.pack(PAYLOAD_MAGIC, PAYLOAD_VERSION, dim, 0), "<u4")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,9 @@ from lumenseek.operators.store import BLOBS, VECTORS, VERSION, Store
 from lumenseek.sources import gitobjects
 
 
-def payloads(spark: SparkSession, path: str, revision: str) -> DataFrame:
-    """blob_sha and payload of every entry below a notes reference; names that are no content id are left out."""
-    files = gitobjects.tree_files(spark, path, gitobjects.resolve(path, revision))
+def payloads(spark: SparkSession, path: str, tree: str) -> DataFrame:
+    """blob_sha and payload of every entry of a notes tree; names that are no content id are left out."""
+    files = gitobjects.tree_files(spark, path, tree)
     named = files.select(hashing.sha_of_entry(F.col("path")).alias("blob_sha"), F.col("blob_sha").alias("id")).where("blob_sha IS NOT NULL")
     return gitobjects.contents(named, path).select("blob_sha", F.col("content").alias("payload"))
 
@@ -38,10 +39,15 @@ def unpacked(rows: DataFrame, dim: int) -> DataFrame:
 
 
 def take_over(spark: SparkSession, path: str, revision: str, store: Store) -> int:
-    """Commit the valid entries of a notes reference that the store lacks; returns how many. Damaged ones are left out and are embedded by the next index."""
+    """Commit the valid entries of a notes reference that the store lacks; returns how many."""
+    return take_over_tree(spark, path, gitobjects.resolve(path, revision), store)
+
+
+def take_over_tree(spark: SparkSession, path: str, tree: str, store: Store) -> int:
+    """The same from the notes' tree. Damaged entries are left out and are embedded by the next index."""
     known = store.known()
-    told = unpacked(payloads(spark, path, revision).join(known, "blob_sha", "left_anti"), store.dim)
-    staged = f"{store.location}/staging/notes-{gitobjects.uuid.uuid4().hex}"
+    told = unpacked(payloads(spark, path, tree).join(known, "blob_sha", "left_anti"), store.dim)
+    staged = f"{store.location}/staging/notes-{uuid.uuid4().hex}"
     try:
         told.write.parquet(staged)
         read = spark.read.parquet(staged)

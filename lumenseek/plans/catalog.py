@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from lumenseek.functions import chunking, formatting, hashing, paths, vectors
-from lumenseek.operators import embedders, indexer, search, shared, stats
+from lumenseek.functions import chunking, formatting, hashing, paths, udtf, vectors
+from lumenseek.operators import embedders, indexer, notes, search, shared, stats
 from lumenseek.operators import store as stores
 from lumenseek.operators.store import Store
-from lumenseek.sources import tables
+from lumenseek.sources import corpus, gitobjects, interchange, tables
 
 DIM = 64
 PREFIX = "src1"
@@ -315,7 +316,91 @@ def incremental_index(spark, sf_dir):
     return spark.createDataFrame(rows, "run bigint, files_total bigint, blobs_unique bigint, blobs_already_cached bigint, blobs_embedded bigint, blobs_skipped bigint, chunks_embedded bigint, entries bigint")
 
 
-_QUERIES = [scan_textual_files, git_blob_sha, distinct_blobs, canonical_path, paths_per_blob, modified_files, chunk_ranges, chunk_texts, chunk_stats, index_todo, index_cached, index_stats, checkpoint_groups, l2_norms, l2_normalize, hash_embed, topk_inner_product, topk_scan, topk_prefix_filter, topk_fanout_paths, topk_batch, search_documents, show_lines, hits_json, hits_text, store_stats, corpus_extract, compare_runs, merge_stores, store_heal, store_gc, store_payloads, incremental_index]
+def git_contents(spark, sf_dir):
+    """Documents' contents from a git object store, by id: packs that tasks wrote, and an id for every tenth document that the store lacks."""
+    docs = _docs(spark, sf_dir)
+    path = gitobjects.new_repository(_scratch(spark, "objects"))
+    gitobjects.write_packs(docs.select(F.lit("blob").alias("kind"), "content"), path)
+    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint")
+    lost = docs.where(number % 10 == 0).select(F.sha1(F.concat(F.lit("lost "), number.cast("string")).cast("binary")).alias("id"))
+    found = gitobjects.contents(docs.select(F.col("blob_sha").alias("id")).union(lost), path)
+    return found.select(F.col("id").alias("blob_sha"), "kind", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("md5"))
+
+
+def git_revision_files(spark, sf_dir):
+    """Documents as files of a tree, two levels of folders deep, walked from its root without a work tree."""
+    docs = _docs(spark, sf_dir)
+    path = gitobjects.new_repository(_scratch(spark, "objects"))
+    fan = F.sha1(F.col("path").cast("binary"))
+    named = docs.select(F.concat_ws("/", F.substring(fan, 1, 2), F.substring(fan, 3, 1), F.substring_index("path", "/", -1)).alias("path"), "blob_sha", "content")
+    trees, root = gitobjects.trees(named.select("path", F.lit(0o100644).alias("mode"), "blob_sha"))
+    gitobjects.write_packs(named.select(F.lit("blob").alias("kind"), "content").unionByName(trees.select("kind", "content")), path)
+    files = gitobjects.tree_files(spark, path, root)
+    read = gitobjects.contents(files.withColumnRenamed("blob_sha", "id"), path)
+    return read.select("path", F.col("id").alias("blob_sha"), F.octet_length("content").cast("bigint").alias("n_bytes"))
+
+
+def notes_take_over(spark, sf_dir):
+    """The even blobs' vectors, exported as payloads into a git tree at two digits, a slash and the rest of the id, and taken over into a fresh store."""
+    rows, _ = _embeddings(spark, sf_dir)
+    payloads = _stored(spark, rows).payloads(rows.where("vec_id % 2 = 0").select("blob_sha"))
+    path = gitobjects.new_repository(_scratch(spark, "objects"))
+    trees, root = gitobjects.trees(payloads.select(hashing.entry_path(F.col("blob_sha")).alias("path"), F.lit(0o100644).alias("mode"), hashing.git_blob_sha(F.col("payload")).alias("blob_sha")))
+    gitobjects.write_packs(payloads.select(F.lit("blob").alias("kind"), F.col("payload").alias("content")).unionByName(trees.select("kind", "content")), path)
+    store = Store(spark, _scratch(spark, "store"), f"vectors-{DIM}", DIM)
+    taken = notes.take_over_tree(spark, path, root, store)
+    return store.vectors().select("blob_sha", "chunk_idx", "start_line", "end_line", F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"), F.lit(taken).cast("bigint").alias("taken"))
+
+
+def push_and_pull(spark, sf_dir):
+    """What a third store has after a first one was pushed, changed and pushed again, and pulled; and whether a push over foreign changes was refused."""
+    rows, _ = _embeddings(spark, sf_dir)
+    mine = _stored(spark, rows.where("vec_id % 3 = 0"))
+    remote, third = _scratch(spark, "store"), _scratch(spark, "store")
+    stores.push(spark, mine.location, remote)
+    mine.remove(rows.where("vec_id % 6 = 0").select("blob_sha"))
+    stores.push(spark, mine.location, remote)
+    stores.pull(spark, third, remote)
+    other = _stored(spark, rows.where("vec_id % 5 = 0"))
+    try:
+        stores.push(spark, other.location, remote)
+        refused = False
+    except stores.Diverged:
+        refused = True
+    return Store(spark, third, mine.model, DIM).vectors().select("blob_sha", F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"), F.lit(refused).alias("refused"))
+
+
+def search_stored(spark, sf_dir):
+    """The ten best below a prefix, from a store in which every seventh entry is damaged and every fifth was removed."""
+    rows, files = _embeddings(spark, sf_dir)
+    store = _stored(spark, rows, F.when(F.col("vec_id") % 7 == 0, 2).otherwise(1))
+    store.remove(rows.where("vec_id % 5 = 0").select("blob_sha"))
+    hits = search.search_store(spark, store, files, _query_vector(spark, sf_dir), 10, PREFIX)
+    return hits.select("path", "blob_sha", F.round("score", 6).alias("score"))
+
+
+def chunk_windows(spark, sf_dir):
+    """Line windows of pages by the table function, as SQL users call it."""
+    udtf.register(spark)
+    pages = tables.from_table(_table(spark, sf_dir, "pages"), F.col("page_id").cast("string"), F.col("html"))
+    name = f"pages_{uuid.uuid4().hex}"
+    pages.createOrReplaceTempView(name)
+    return spark.sql(f"SELECT CAST(path AS BIGINT) AS page_id, CAST(w.chunk_idx AS BIGINT) AS chunk_idx, w.text FROM {name}, LATERAL chunk_windows(content) AS w")
+
+
+def corpus_round_trip(spark, sf_dir):
+    """The chunks of all documents, written as corpus files by tasks and read back in stretches."""
+    chunks = interchange.with_seq(chunking.with_chunks(_blobs(_docs(spark, sf_dir))).select("blob_sha", "chunk_idx", "text"))
+    path = _scratch(spark, "corpus")
+    corpus.write(chunks, path)
+    found = corpus.read(spark, path, splitbytes="1000000")
+    totals = found.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = totals.select("file", before.alias("base"))  # a row for each file
+    return found.join(F.broadcast(base), "file").select((F.col("base") + F.col("seq")).alias("seq"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+_QUERIES = [git_contents, git_revision_files, notes_take_over, push_and_pull, search_stored, chunk_windows, corpus_round_trip, scan_textual_files, git_blob_sha, distinct_blobs, canonical_path, paths_per_blob, modified_files, chunk_ranges, chunk_texts, chunk_stats, index_todo, index_cached, index_stats, checkpoint_groups, l2_norms, l2_normalize, hash_embed, topk_inner_product, topk_scan, topk_prefix_filter, topk_fanout_paths, topk_batch, search_documents, show_lines, hits_json, hits_text, store_stats, corpus_extract, compare_runs, merge_stores, store_heal, store_gc, store_payloads, incremental_index]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -401,6 +486,17 @@ def oracle_sql() -> dict[str, str]:
         "corpus_extract": f"WITH {_SQL_DOC_CHUNKS}, {_SQL_CUT} SELECT blob_sha, k AS chunk_idx, CAST(strlen(body) AS BIGINT) AS n_bytes FROM cut",
         "compare_runs": """WITH c AS (SELECT list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * (1 + label / 100.0) AS c FROM embeddings)
             SELECT round(avg(c), 5) AS mean, round(min(c), 5) AS worst, count(*) AS n FROM c""",
+        "git_contents": f"""WITH {_SQL_DOCS} SELECT blob_sha, 'blob' AS kind, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS md5 FROM docs
+            UNION ALL SELECT sha1('lost ' || doc_id), NULL, NULL, NULL FROM docs WHERE doc_id % 10 = 0""",
+        "git_revision_files": f"""WITH {_SQL_DOCS} SELECT substr(sha1(path), 1, 2) || '/' || substr(sha1(path), 3, 1) || '/doc_' || doc_id || '.txt' AS path, blob_sha, CAST(strlen(text) AS BIGINT) AS n_bytes FROM docs""",
+        "notes_take_over": """SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, CAST(0 AS INT) AS chunk_idx, CAST(1 AS INT) AS start_line, CAST(20 AS INT) AS end_line,
+            round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm, count(*) OVER () AS taken FROM embeddings WHERE vec_id % 2 = 0""",
+        "push_and_pull": """SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm, true AS refused
+            FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 6 <> 0""",
+        "search_stored": f"""WITH {_SQL_VECTORS}, s AS (SELECT blob_sha, {_SQL_SCORE} AS score FROM vecs, q WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND blob_sha IN (SELECT blob_sha FROM paths WHERE starts_with(path, '{PREFIX}'))),
+            w AS (SELECT * FROM s ORDER BY score DESC, blob_sha LIMIT 10) SELECT path, blob_sha, round(score, 6) AS score FROM w JOIN paths USING (blob_sha) WHERE starts_with(path, '{PREFIX}')""",
+        "chunk_windows": f"WITH blobs AS (SELECT page_id AS blob_sha, html AS text FROM pages), {_SQL_LINES}, {_SQL_CUT} SELECT blob_sha AS page_id, k AS chunk_idx, body AS text FROM cut",
+        "corpus_round_trip": f"WITH {_SQL_DOC_CHUNKS}, {_SQL_CUT} SELECT row_number() OVER (ORDER BY blob_sha, k) - 1 AS seq, CAST(strlen(body) AS BIGINT) AS n_bytes, md5(body) AS md5 FROM cut",
         "merge_stores": "SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, CAST(0 AS BIGINT) AS chunk_idx FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0",
         "store_heal": "SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, CAST(0 AS BIGINT) AS chunk_idx, (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0) AS dropped FROM embeddings WHERE vec_id % 7 <> 0",
         "store_gc": """SELECT sha1(CAST(vec_id AS VARCHAR)) AS blob_sha, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm, CAST(1 AS BIGINT) AS snapshots

@@ -1,4 +1,4 @@
-"""Corpora and vector dumps in their binary formats, as tables."""
+"""Vector dumps in their binary format, as tables, and the numbering of a corpus."""
 
 from __future__ import annotations
 
@@ -14,18 +14,6 @@ from pyspark.sql import Window
 from lumenseek.functions import codec
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq and text of every record of the corpus files at ``path``; a file with another magic fails."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                texts = codec.unpack_corpus(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["file", "seq", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, seq bigint, text string")
-
-
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """file, seq and embedding of every vector of the dumps at ``path``."""
 
@@ -50,21 +38,6 @@ def dump_vectors(vectors: DataFrame, path: str, most: int = 256) -> int:
     return len(rows)
 
 
-def write_corpus(corpus: DataFrame, path: str, most: int = 0) -> int:
-    """Write texts (seq, text; the first ``most``, 0: all) in order to one local file, streamed a partition at a time; returns how many."""
-    rows = corpus.select("seq", "text").orderBy("seq")
-    rows = rows.limit(most) if most else rows
-    n = 0
-    with open(path, "wb") as f:
-        f.write(codec.pack_corpus([]))
-        for row in rows.toLocalIterator():
-            f.write(codec.pack_corpus([row["text"]])[16:])
-            n += 1
-        f.seek(8)
-        f.write(n.to_bytes(8, "little"))
-    return n
-
-
 def with_seq(corpus: DataFrame) -> DataFrame:
     """seq from 0 in (blob_sha, chunk_idx) order. Ids are hashes: rows are numbered within ranges of ids, and only the ranges' totals are summed in one place."""
     ranged = corpus.withColumn("__range", F.substring("blob_sha", 1, 3))
