@@ -38,10 +38,18 @@ SEGMENT_IDS = 500_000
 PART_BYTES = 16 << 20
 MOST_PARTS = 100_000
 FILE_SEGMENTS = 48
+#: Characters of a text that tell ranges of one doc_id apart.
+KEY_CHARS = 64
+
+
+#: Bit lengths of 16-bit values, which most ids are.
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bit lengths of unsigned 64-bit values, exact."""
+    if len(values) and values.max() < len(_SHORT):
+        return _SHORT[values]
     low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     high = values >> np.uint64(32)
     if not high.any():
@@ -80,12 +88,16 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         if fits.any():
             np.putmask(choice, fits & (left >= count), selector)
     counts = np.array([SELECTORS.get(s, (0, 0))[0] for s in range(16)])
-    steps = counts[choice].tolist()
-    at, firsts = 0, []
-    while at < n:
+    # all blocks go from word to word together
+    steps = counts[choice]
+    at, firsts = np.arange(0, n, BLOCK), []
+    ends = np.minimum(at + BLOCK, n)
+    while len(at):
         firsts.append(at)
-        at += steps[at]
-    first = np.array(firsts, np.int64)
+        at = at + steps[at]
+        inside = at < ends
+        at, ends = at[inside], ends[inside]
+    first = np.sort(np.concatenate(firsts)) if n else np.zeros(0, np.int64)
     chosen = choice[first] if n else np.zeros(0, np.uint8)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
@@ -204,7 +216,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
         held.clear()
         common.release()
 
-    segments = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "segment binary")
+    # rows of one doc_id, nulls among them, may fill several ranges, told apart by how their texts begin
+    sorted_ = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, KEY_CHARS)).sortWithinPartitions("doc_id", "text")
+    segments = sorted_.mapInArrow(run, "segment binary")
     # the cast keeps the bytes as they are, and so does the text writer
     segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END.decode("ascii")).option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 

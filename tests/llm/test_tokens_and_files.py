@@ -261,3 +261,16 @@ def test_pack_awkward_rows(spark):
             at += n
         assert at <= 64
     assert packing.pack(empty(spark), WORDS).count() == 0
+
+
+def test_rows_of_one_doc_id_fill_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(simple8b, "PART_BYTES", 400)
+    texts = [f"{chr(97 + i % 26)} text number {i} of one id" for i in range(120)]
+    path = common.scratch_path(spark, "one-id")
+    simple8b.write(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string"), path, BYTES)
+    rows = simple8b.read(spark, path).collect()
+    sizes = [sum(r["part"] == p for r in rows) for p in {r["part"] for r in rows}]
+    assert len(rows) == 120 and len(sizes) > 3 and max(sizes) < 60
+    found = simple8b.index(spark, path).orderBy("start").collect()
+    counts = [len(whole(BYTES).encode(t, add_special_tokens=False).ids) + 1 for t in sorted(texts)]
+    assert [r["n_tokens"] for r in found] == counts and [r["start"] for r in found] == [sum(counts[:i]) for i in range(120)]
