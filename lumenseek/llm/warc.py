@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. Spark's text writer puts the members out with an empty gzip member as its line separator,
 so the files are ordinary ``.warc.gz`` data in any store that Spark writes to. The reader checks every
 member and record; after a failed check it searches for the next valid member or version line, goes on there,
-and logs the bytes between as quarantined.
+and logs the bytes between as quarantined. It does so inside members too: a member that is sound loses only those of its records that are not,
+and of one that is cut short or fails its checksum the records before the damage count, if their own digests hold.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER_START = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
-_CHUNK = 1 << 16
+_CHUNK, _STEP = 1 << 16, 64
 _NAMESPACE = uuid.UUID("9d7c1f5e-0d0b-4a53-8a1c-5f3a0c1b2e77")
 
 
@@ -43,9 +44,12 @@ class Record(NamedTuple):
 
 
 class Gap(NamedTuple):
+    """Quarantined bytes of the file, or, with ``inner``, of the content of the member that lies there. Records that were read before a member's damage lie in its gap."""
+
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
 
 
 def _line(value: str) -> str:
@@ -89,20 +93,35 @@ _BEGIN = re.compile(rb"WARC/1\.[01](?=\r?\n)")
 _STOP = re.compile(rb"(\r\n\r\n)|\nWARC/1\.[01]\r?\n")
 
 
-def _parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record at ``at``; a failed check raises ValueError."""
+def sha1_of(told: str) -> str | None:
+    """The hex SHA-1 of a digest header, whose value may be in base 32 or hex of either case; null for other digests and damaged ones."""
+    kind, _, value = told.strip().partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
+def _parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int, bool]:
+    """Headers, block and end of the record at ``at``, and whether its payload has the digest that it tells; a failed check raises ValueError."""
     version = _BEGIN.match(data, at)
     if not version:
         raise ValueError("no version line")
     stop = _STOP.search(data, version.end())
     if not stop or not stop[1]:
         raise ValueError("header has no end")
-    headers = {}
+    headers: dict[str, str] = {}
+    last = None
     for line in bytes(data[at : stop.start()]).split(b"\r\n")[1:]:
+        if last is not None and line[:1] in (b" ", b"\t"):  # a folded line goes on
+            headers[last] = f"{headers[last]} {line.strip().decode('utf-8', 'replace')}".strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
-        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        last = name.strip().decode("utf-8", "replace").lower()
+        headers[last] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not length.isdigit() or not length.isascii():
         raise ValueError("bad content length")
@@ -111,44 +130,105 @@ def _parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     block = bytes(data[begin:end])
     if len(block) < int(length) or bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise ValueError("block cut short or not ended")
-    told = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and told.startswith("sha1:"):
-        payload = block.partition(b"\r\n\r\n")[2]
-        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != told[5:]:
-            raise ValueError("payload digest differs")
-    return headers, block, end + 4
+    told = sha1_of(headers.get("warc-payload-digest", "")) if headers.get("warc-type") == "response" else None
+    if told and hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest() != told:
+        raise ValueError("payload digest differs")
+    return headers, block, end + 4, bool(told)
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content and the end of the gzip member at ``at``; damage raises ValueError."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content and the end of the gzip member at ``at``; or, with the reason, what could be read of a damaged one."""
     unpacker, out, to = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof:
             if to >= len(data):
-                raise ValueError("member cut short")
+                return b"".join(out), to, "member cut short"
             out.append(unpacker.decompress(data[to : to + _CHUNK]))
             to = min(to + _CHUNK, len(data))
     except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
-    return b"".join(out), to - len(unpacker.unused_data)
+        return _readable(data, at, sum(map(len, out))), to, f"bad member: {e}"
+    return b"".join(out), to - len(unpacker.unused_data), None
+
+
+def _readable(data: memoryview, at: int, least: int) -> bytes:
+    """What a damaged member's data hold up to the damage, in small steps and without the checksum; ``least`` bytes and more are known to be readable."""
+    flags, to = data[at + 3], at + 10
+    if flags & 4:
+        to += 2 + int.from_bytes(data[to : to + 2], "little")
+    for bit in (8, 16):  # name and comment
+        if flags & bit:
+            while to < len(data) and data[to]:
+                to += 1
+            to += 1
+    to += 2 if flags & 2 else 0
+    unpacker, out, n = zlib.decompressobj(-15), [], 0
+    try:
+        while not unpacker.eof and to < len(data):
+            step = _CHUNK if n + 64 * _CHUNK < least else _STEP
+            out.append(unpacker.decompress(data[to : to + step]))
+            n += len(out[-1])
+            to += step
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+_NEXT = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.[01]")
+_NEXT_INSIDE = re.compile(rb"(?<=\n)WARC/1\.[01](?=\r?\n)")
+
+
+def _inside(content: bytes, start: int, end: int) -> Iterator[Record | Gap]:
+    """The records of a sound member, and a gap for each part of its content that is none."""
+    view, at = memoryview(content), 0
+    while at < len(content):
+        try:
+            headers, block, following, _ = _parse(view, at)
+        except ValueError as e:
+            reason, first = str(e), at
+            for m in _NEXT_INSIDE.finditer(view, at + 1):
+                try:
+                    headers, block, following, _ = _parse(view, m.start())
+                except ValueError:
+                    continue
+                at = m.start()
+                break
+            else:
+                yield Gap(start, end, reason, (first, len(content)))
+                return
+            yield Gap(start, end, reason, (first, at))
+        yield Record(start, end, headers, block)
+        at = following
+
+
+def _before_damage(content: bytes, start: int, end: int) -> Iterator[Record]:
+    """The records that a damaged member holds before the damage: those whose digests hold and that another record follows."""
+    view = memoryview(content)
+    for m in re.finditer(rb"(?:\A|(?<=\n))WARC/1\.[01](?=\r?\n)", view):
+        try:
+            headers, block, following, proven = _parse(view, m.start())
+        except ValueError:
+            continue
+        if proven and _BEGIN.match(view, following):
+            yield Record(start, end, headers, block)
+
 
+def _valid_at(data: memoryview, at: int) -> tuple[list[Record | Gap], int]:
+    """The records of the member or the plain record at ``at``, with the member's inner gaps, and its end.
 
-def _valid_at(data: memoryview, at: int) -> tuple[list[Record], int]:
-    """The records of the member or the plain record at ``at`` and its end; ValueError if a check fails."""
+    ValueError if it is damaged, with the records before the damage as its second argument. What holds no record at all is no member.
+    """
     if bytes(data[at : at + 3]) == MEMBER_START:
-        content, end = _inflate(data, at)
-        view, inner, found = memoryview(content), 0, []
-        while inner < len(content):
-            headers, block, inner = _parse(view, inner)
-            found.append(Record(at, end, headers, block))
+        content, end, damage = _inflate(data, at)
+        if damage:
+            raise ValueError(damage, list(_before_damage(content, at, end)))
+        found = list(_inside(content, at, end))
+        if content and not any(isinstance(x, Record) for x in found):
+            raise ValueError(found[0].reason, [])
         return found, end
-    headers, block, end = _parse(data, at)
+    headers, block, end, _ = _parse(data, at)
     return [Record(at, end, headers, block)], end
 
 
-_NEXT = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.[01]")
-
-
 def salvage(data: bytes | memoryview) -> Iterator[Record | Gap]:
     """All valid records in order, and a ``Gap`` for each run of bytes that belongs to none. Offsets are those of the file."""
     data = memoryview(data)
@@ -157,12 +237,16 @@ def salvage(data: bytes | memoryview) -> Iterator[Record | Gap]:
         try:
             records, end = _valid_at(data, at)
         except ValueError as e:
-            reason, start = str(e), at
+            reason, start = e.args[0], at
+            yield from e.args[1] if len(e.args) > 1 else ()
             for m in _NEXT.finditer(data, at + 1):
                 try:
                     records, end = _valid_at(data, m.start())
-                except ValueError:
-                    continue
+                except ValueError as inner:
+                    if len(inner.args) > 1 and inner.args[1]:  # a damaged member, but one: what it lost has a gap of its own
+                        records, end = [], m.start()
+                    else:
+                        continue
                 at = m.start()
                 break
             else:
@@ -223,10 +307,18 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataFrame:
+def _number(told: str | None) -> int | None:
+    """A header's whole number of 64 bits; null for anything else."""
+    if told is None or not re.fullmatch(r"-?[0-9]{1,19}", told):
+        return None
+    return n if -(1 << 63) <= (n := int(told)) < 1 << 63 else None
+
+
+def read(spark: SparkSession, path: str, *, with_payload: bool = False, whole: bool = False) -> DataFrame:
     """One row per valid record of the files below ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to.
 
-    ``payload_bytes`` and ``payload_digest`` are those of the full payload, for a revisit as its headers tell them. Damaged parts are skipped; see ``gaps``.
+    ``payload_bytes`` and ``payload_digest`` are those of the full payload, for a revisit as its headers tell them; ids and digests in
+    another form than this writer's are null. Damaged parts are skipped, see ``gaps``, or, with ``whole``, end the query.
     Records without a page id have a null one, repeated records are told each, and files without records give no rows. A file is held whole.
     """
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
@@ -238,10 +330,9 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataF
             n, digest = len(payload), hashlib.sha1(payload).hexdigest()
         else:
             told = re.search(rb"(?im)^Content-Length:\s*(\d+)", http)
-            n = int(told[1]) if told else None
-            name = found.headers.get("warc-payload-digest", "").partition(":")[2]
-            digest = base64.b32decode(name).hex() if name else None
-        ids = [int(x) if x else None for x in (found.headers.get("x-page-id"), found.headers.get("x-refers-to-page-id"))]
+            n = _number(told[1].decode()) if told else None
+            digest = sha1_of(found.headers.get("warc-payload-digest", ""))
+        ids = [_number(found.headers.get(x)) for x in ("x-page-id", "x-refers-to-page-id")]
         return (ids[0], found.headers.get("warc-target-uri"), kind, n, digest, ids[1], *([payload] if with_payload else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +342,8 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataF
             for content in batch.column(1):
                 held, size = [], 0
                 for found in salvage(content.as_buffer()):
+                    if whole and isinstance(found, Gap):
+                        raise ValueError(f"bytes {found.start} to {found.end} of an archive: {found.reason}")
                     if isinstance(found, Record):
                         held.append(row(found))
                         size += len(found.block)
@@ -264,21 +357,24 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataF
 
 
 def gaps(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, end and reason of every quarantined run of bytes in the files below ``path``; no rows if all is sound or there is no file."""
+    """file, start, end and reason of every quarantined run of bytes in the files below ``path``; no rows if all is sound or there is no file.
+
+    inner_start and inner_end: where in the content of the sound member from start to end the bytes lie; null for bytes of the file itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = [g for g in salvage(content.as_buffer()) if isinstance(g, Gap)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([g.start for g in found], pa.int64()), pa.array([g.end for g in found], pa.int64()), pa.array([g.reason for g in found], pa.string())], ["file", "start", "end", "reason"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([g.start for g in found], pa.int64()), pa.array([g.end for g in found], pa.int64()), pa.array([g.reason for g in found], pa.string()), *(pa.array([g.inner[k] if g.inner else None for g in found], pa.int64()) for k in (0, 1))], ["file", "start", "end", "reason", "inner_start", "inner_end"])
 
-    return _files(spark, path).mapInArrow(run, "file string, start bigint, end bigint, reason string")
+    return _files(spark, path).mapInArrow(run, "file string, start bigint, end bigint, reason string, inner_start bigint, inner_end bigint")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "warc")
     write(common.table(spark, sf_dir, "pages"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """

@@ -1,6 +1,8 @@
+import base64
 import gzip
 import hashlib
 
+import pytest
 from oracle import assert_same, connect
 
 from lumenseek.llm import common, warc
@@ -50,6 +52,68 @@ def test_plain_records_resume_at_the_next_version_line():
     assert gaps[0].start == len(records[0]) and gaps[0].end == len(records[0]) + len(wrong)
 
 
+def test_a_bad_record_costs_only_itself_inside_a_member():
+    records = built()
+    records[2] = records[2].replace(b"page 2", b"pAge 2", 1)
+    data = warc.member(b"".join(records))
+    ids, gaps = split(data + warc.member(built(6)[5]))
+    assert ids == list("01345") and [(g.start, g.end, "digest" in g.reason) for g in gaps] == [(0, len(data), True)]
+    before = len(records[0] + records[1])
+    assert gaps[0].inner == (before, before + len(records[2]))
+    tail = warc.member(b"".join(built()) + b"trailing bytes")
+    assert split(tail)[0] == list("01234") and len(split(tail)[1]) == 1
+
+
+def test_a_cut_or_corrupt_member_keeps_what_stands_before_the_damage():
+    records = built(50)
+    data = warc.member(b"".join(records))
+    ids, gaps = split(data[:-20])
+    assert ids == [str(i) for i in range(len(ids))] and 40 <= len(ids) < 50 and [(g.start, g.end) for g in gaps] == [(0, len(data) - 20)] and "short" in gaps[0].reason
+    ids, gaps = split(data[:-4])  # all is there but the end of the checksum
+    assert ids == [str(i) for i in range(49)]
+    wrong = data[:-8] + b"\0\0\0\0" + data[-4:]
+    ids, gaps = split(wrong + warc.member(built(51)[50]))
+    assert ids == [*(str(i) for i in range(49)), "50"] and "bad member" in gaps[0].reason and gaps[0].end == len(wrong)
+    ids, gaps = split(data[:-20] + data[:-20] + warc.member(built(51)[50]))
+    assert ids.count("0") == 2 and ids[-1] == "50"
+    # without a digest nothing proves a record of a damaged member
+    bare = [r.replace(b"WARC-Payload-Digest: sha1:", b"X-Other: ") for r in built(10)]
+    assert split(warc.member(b"".join(bare))[:-4])[0] == []
+
+
+def test_foreign_archives_give_nulls_and_no_errors(spark, tmp_path):
+    def made(i, *changes):
+        data = built(i + 1)[i]
+        for a, b in changes:
+            assert a in data
+            data = data.replace(a, b)
+        return data
+
+    digest = hashlib.sha1(b"page 3 " * 50).digest()
+    b32 = base64.b32encode(digest)
+    records = [
+        made(0, (b"X-Page-ID: 0", b"X-Page-ID: zero")),
+        made(1, (b"X-Page-ID: 1", b"X-Page-ID: " + b"9" * 30)),
+        made(2, (b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: md5:")),
+        made(3, (b"sha1:" + b32, b"sha1:" + digest.hex().encode())),
+        made(3, (b"sha1:" + b32, b"sha1:" + b32.lower())),
+        made(4, (b"WARC-Target-URI: http://h/4", b"WARC-Target-URI:\r\n\thttp://h/4")),
+        made(5, (b"WARC-Type: response", b"WARC-Type: metadata"), (b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: md5:")),
+    ]
+    (tmp_path / "foreign.warc").write_bytes(b"".join(records))
+    found = warc.read(spark, str(tmp_path)).collect()
+    assert [r["page_id"] for r in found] == [None, None, 2, 3, 3, 4, 5] and [r["url"] for r in found][5] == "http://h/4"
+    assert found[3]["payload_digest"] == digest.hex() and found[6]["payload_digest"] is None and warc.gaps(spark, str(tmp_path)).count() == 0
+
+
+def test_a_reader_of_whole_archives_fails_on_a_gap(spark, tmp_path):
+    data = warc.member(built(1)[0])
+    (tmp_path / "a.warc.gz").write_bytes(data + b"garbage")
+    assert warc.read(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="of an archive"):
+        warc.read(spark, str(tmp_path), whole=True).collect()
+
+
 def test_adversarial_bytes_do_not_crash():
     for data in (b"\x1f\x8b\x08", b"WARC/1.1\r\n", b"WARC/1.0\r\nContent-Length: -1\r\n\r\n", b"\x1f\x8b\x08" * 1000, b"WARC/1.1\r\n\r\n" * 100):
         ids, gaps = split(data)
