@@ -22,18 +22,27 @@ def held_out(doc_id) -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """text and label (0 or 1) of about ``most`` labelled documents outside the held-out fold, or all if there are fewer.
 
-    The labels are thinned by a hash of doc_id to the share that the count asks for, which no order of rows or files changes;
-    the thinned ids, bounded by ``most``, then meet the documents. A document labelled twice has the larger label; null labels are none.
+    The labelled ids are thinned by a hash to the share that their count asks for, which no order of rows or files changes;
+    the thinned ids, bounded by ``most``, then meet the documents. A document labelled twice has the larger label; null labels are none. Of rows that repeat a
+    doc_id the least text counts.
     """
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    n = usable.count()
-    if n > most:
-        share = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000))
-        usable = usable.where(share < int(1_000_000 * most / n))
     once = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+    n = once.count()
+    if n > most:
+        once = once.where(F.xxhash64("doc_id", F.lit("train")) < threshold(n, most))
+        if n > 20 * most > 0 and not once.limit(1).count():  # as good as impossible with any sound hash
+            raise ValueError(f"none of {n} labelled documents was chosen")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(once), "doc_id").select("doc_id", "text", "label")
+    met = texts.join(F.broadcast(once), "doc_id").select("doc_id", "text", "label")
+    # a doc_id that many rows repeat counts as one of them, the same in every run; partial aggregates leave one row a task
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def threshold(n: int, most: int) -> int:
+    """Signed 64-bit hashes below this are the share ``most`` / ``n`` of all, to the last bit."""
+    return (most << 64) // n - (1 << 63)
 
 
 def learnt(sample: DataFrame, learn: Callable[[list[str], list[int]], bytes], most_bytes: int) -> bytes:

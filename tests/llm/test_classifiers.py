@@ -176,3 +176,22 @@ def test_keep_clean_keeps_columns(spark):
     docs = documents(spark, AWKWARD)
     assert toxicity.keep_clean(docs, model).columns == docs.columns and toxicity.keep_clean(docs, model).count() == docs.count()
     assert toxicity.keep_clean(docs, model._replace(bias=1.0)).count() == 0
+
+
+def test_samples_keep_their_size_at_any_count(spark):
+    """The share is taken from all 64 bits of the hash, so it is never 0."""
+    for n in (10**4, 10**8, 10**11, 10**15):
+        found = (sampling.threshold(n, 7000) + 2**63) / 2**64
+        assert abs(found / (7000 / n) - 1) < 1e-6 or n > 10**14 and found > 0
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    chosen = sampling.training_rows(docs, labels, "toxic", 2000)
+    assert 1800 < chosen.count() < 2200
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    docs = spark.createDataFrame([(1, f"copy {i:03d}") for i in range(500)] + [(2, None), (3, "three")], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 30)], "doc_id bigint, toxic int")
+    rows = {r["doc_id"]: r["text"] for r in sampling.training_rows(docs, labels, "toxic", 100).collect()}
+    kept = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5}
+    assert rows == {i: {1: "copy 000", 2: None, 3: "three"}[i] for i in kept}
