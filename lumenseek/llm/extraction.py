@@ -1,9 +1,10 @@
 """Main text of HTML pages by composite text density.
 
-Every DOM node has a density: characters per tag, weighed by how few of its characters and tags belong to links; nodes of links alone have none. The sum of
-its children's densities is largest for the node that holds an article's paragraphs; it is sought among the elements that hold others, as a
-paragraph alone is no article. That node is the article, or the article or main element around it, whose authors say what belongs to it: then nothing is added. Else the least
-density on its path up to the body, which itself is diluted by all else, is the threshold: what stands beside that path and is at least so dense belongs to the article too.
+Every DOM node has a density: characters per tag, weighed by how few of its characters and tags belong to links; nodes of links alone have none, and it does not grow with
+a node's size. The sum of its children's densities is largest for the node that holds an article's paragraphs; it is sought among the elements that hold others, as a
+paragraph alone is no article. That node is the article, or the article or main element around it, whose authors say what belongs to it: then nothing is added. Else
+a share of the least density on its path up to the body, which itself is diluted by all else, and no less than a smaller share of its own, is the threshold: what stands beside that path and is at least so dense belongs to the article too, and so
+does a heading that stands before such a part.
 
 Elements that by their tag, role or attributes are no article text (menus, adverts, forms and so on) are left out of the tree from the start, and so
 are those whose class or id names such a part. Words that are said of other things too count as the last one of a name only, generic words such as box aside: share-price is a price, share-box is not. A class or id
@@ -65,6 +66,11 @@ WEAK_NAMES = frozenset("banner consent cookie cookies header masthead menu notic
 #: Elements that do not hold a whole article: single blocks of text.
 TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address caption figcaption legend summary option tr td th hr".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The least shares of links that count, so that no link at all is worth no more than a few; and the shares of the least density on the path, and of the article's own, that text beside it must have.
+LEAST_LINKS = 0.01
+PATH_SHARE, OWN_SHARE = 0.3, 0.15
+
 _TAG_PATTERN = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]LIMIT"|'[^']LIMIT')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"""
 _TAG = re.compile(_TAG_PATTERN.replace("LIMIT", "*+"), re.S)
 #: After a quote that no other one ends, values are read up to this length only, as each search for their ends goes through the page.
@@ -116,8 +122,9 @@ def _drop(tag: str, attributes: str, in_article: bool) -> _Drop:
         if tag not in ("html", "body", *ARTICLE):
             for token in value.split():
                 words = _named(token, in_article)
+                only = bool(words) and len(words) == len({w.lower() for w in _NAME_WORDS.findall(token)})
                 marks |= words
-                exact |= bool(words) and len(words) == len({w.lower() for w in _NAME_WORDS.findall(token)})
+                exact |= only
         if tag == "article" and any(w.lower() in ("comment", "comments", "ad", "advert", "promo", "related") for w in _NAME_WORDS.findall(value)):
             return _Drop(True)
     return _Drop(False, frozenset(marks), exact)
@@ -297,13 +304,14 @@ def _spared(nodes: list[_Node]) -> frozenset[int]:
 
 
 def _density(node: _Node, body: _Node) -> float:
+    """Characters outside links per tag, times the logarithm of how rare links are among both, to a base that grows with the links of the node and of the page."""
     if not node.chars:
         return 0.0
-    chars, tags = node.chars, max(1, node.tags)
-    plain = max(1, chars - node.link_chars)
-    linked = math.log(max(1.0, chars / max(1, node.link_chars) * tags / max(1, node.link_tags)) + (math.e - 1 if plain > 1 else 0))
-    base = math.log(chars / plain * node.link_chars + body.link_chars / max(1, body.chars) * chars + math.e)
-    return chars / tags * linked / math.log(base + math.e - 1)
+    tags = max(1, node.tags)
+    of_chars, of_tags = node.link_chars / node.chars, node.link_tags / tags
+    rare = max(0.0, -math.log(min(1.0, of_chars + LEAST_LINKS) * min(1.0, of_tags + LEAST_LINKS)))
+    base = math.log(of_chars / max(LEAST_LINKS, 1 - of_chars) + body.link_chars / max(1, body.chars) + math.e)
+    return (node.chars - node.link_chars) / tags * rare / base
 
 
 def main_text(page: str | None) -> str:
@@ -328,14 +336,27 @@ def main_text(page: str | None) -> str:
         path.append(nodes[path[-1]].parent)
     best = next((i for i in path if nodes[i].tag in ARTICLE), best)
     path = path[path.index(best) :]
-    threshold = min(nodes[i].density for i in path if i != body or best == body)
     taken = bytearray(len(nodes))
     taken[best : nodes[best].end] = b"\1" * (nodes[best].end - best)
     if nodes[best].tag not in ARTICLE:
-        on_path = set(path)
+        threshold = max(PATH_SHARE * min(nodes[i].density for i in path if i != body or best == body), OWN_SHARE * nodes[best].density)
+        on_path, parents = set(path), set(path) - {best}
+        beside: dict[int, list[int]] = {}  # the path's nodes' children in page order
         for i, n in enumerate(nodes):
-            if n.parent in on_path and i not in on_path and n.parent != best and not n.dropped and n.density >= threshold > 0:
-                taken[i : n.end] = b"\1" * (n.end - i)
+            if n.parent in parents and not n.dropped:
+                beside.setdefault(n.parent, []).append(i)
+        for children in beside.values():
+            follows = False
+            for i in reversed(children):
+                n = nodes[i]
+                if i not in on_path:
+                    if n.density >= threshold > 0 or follows and n.tag in HEADINGS and n.chars > n.link_chars:
+                        taken[i : n.end] = b"\1" * (n.end - i)
+                        follows = True
+                    elif n.chars:
+                        follows = False
+                else:
+                    follows = True
     return "\n\n".join(text for owner, text in blocks if taken[owner])
 
 
