@@ -17,6 +17,8 @@ from lumenseek.operators import shared
 
 #: Arrow batches between Spark and Python: Spark's own limit of 64 MB is held several times over in an executor.
 BATCH_BYTES = 4 << 20
+#: Row groups of scratch tables; Parquet's own 128 MB stay in an executor's heap until they are full.
+ROW_GROUP_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -42,11 +44,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage. Row groups are small, as a task holds one in memory."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.scratch = path
     return read

@@ -32,7 +32,7 @@ PERCENT = 75
 HASH_BITS, TAG_BITS, MAP_BITS = 32, 4, 26
 LEVELS, MANY = (2, 3, 4, 6, 8, 12, 16), 8
 MOST_MARKED = 1 << (MAP_BITS - 2)
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 RANGE_BYTES = 4 << 20
 #: Ranges are 2**MOST_RANGE_BITS at most; larger ones are counted in several passes of PASS_BYTES each.
 MOST_RANGE_BITS = 18
