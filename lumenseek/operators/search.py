@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumenseek.functions import chunking, formatting, paths, vectors
-from lumenseek.operators import shared
+from lumenseek.operators import joins, shared
 from lumenseek.operators.joins import broadcast_if_small, is_small
 from lumenseek.operators.store import Store
 
+#: Keys of current blobs, some 100 bytes each, up to which they are sent to the scan.
+KEY_ROWS = 100_000
 HIT_COLUMNS = ["path", "start_line", "end_line", "score", "blob_sha", "chunk_idx"]
 _ROW = ["blob_sha", "chunk_idx", "start_line", "end_line"]
 
@@ -102,7 +104,7 @@ def top_of(rows: DataFrame, current: DataFrame, query: Sequence[float], k: int,
 
     Few keys are sent to the scan. Many are not: then all rows are scored where they are read, and what meets the keys is a narrow row for each.
     """
-    if is_small(current):
+    if is_small(current, min(joins.BROADCAST_ROWS, KEY_ROWS)):
         return scan_top_k(rows.join(F.broadcast(current), list(keys), "left_semi"), query, k)
     return top_k(scores(rows, query, keys).join(current, list(keys), "left_semi").select(*_ROW, "score"), k)
 
