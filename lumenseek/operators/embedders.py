@@ -194,14 +194,20 @@ def endpoint(url: str) -> str:
 
 
 class OnnxEmbedder:
-    """A local directory with ``model.onnx`` and ``tokenizer.json``; the session is made once per Python worker, when first used."""
+    """A local directory with ``model.onnx`` and ``tokenizer.json``; the session is made once per Python worker, when first used.
 
-    batch_size = 1
+    Texts go through the model in batches of like length in tokens, of ``batch_size`` texts and ``token_budget`` tokens, padding included, at most; ``padded`` and
+    ``run`` count the tokens of padding and all tokens so far.
+    """
+
+    batch_size = 32
+    token_budget = 4096
 
     def __init__(self, directory: str, spec: ModelSpec, most_tokens: int = 512, threads: int = 1) -> None:
         self.directory, self.spec, self.model, self.dim = directory, spec, spec.short, spec.dim
         self.most_tokens, self.threads = most_tokens, threads
         self._session = None
+        self.padded = self.run = 0
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_session": None}
@@ -215,22 +221,47 @@ class OnnxEmbedder:
             options.intra_op_num_threads = self.threads
             tokenizer = Tokenizer.from_file(f"{self.directory}/tokenizer.json")
             tokenizer.enable_truncation(self.most_tokens)
-            tokenizer.enable_padding()
+            told = tokenizer.padding
+            self._pad = told["pad_id"] if told else 0
+            tokenizer.no_padding()
             self._session = onnxruntime.InferenceSession(f"{self.directory}/model.onnx", options), tokenizer
         return self._session
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
         session, tokenizer = self._load()
         wanted = {i.name for i in session.get_inputs()}
-        rows = []
-        for at in range(0, len(texts), self.batch_size):
-            encoded = tokenizer.encode_batch(list(texts[at : at + self.batch_size]))
-            ids = np.array([e.ids for e in encoded], np.int64)
-            mask = np.array([e.attention_mask for e in encoded], np.int64)
-            feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-            hidden = session.run(None, {k: v for k, v in feeds.items() if k in wanted})[0]
-            rows.append(pooled(hidden, mask, self.spec.pooling))
-        return normalized(np.concatenate(rows) if rows else np.zeros((0, self.dim)))
+        out = np.zeros((len(texts), self.dim))
+        for at in range(0, len(texts), ENCODED_TEXTS):
+            encoded = tokenizer.encode_batch(list(texts[at : at + ENCODED_TEXTS]))
+            lengths = np.array([len(e.ids) for e in encoded], np.int64)
+            for batch in token_batches(lengths, self.token_budget, self.batch_size):
+                width = max(1, int(lengths[batch].max()))
+                ids, mask = np.full((len(batch), width), self._pad, np.int64), np.zeros((len(batch), width), np.int64)
+                for row, i in enumerate(batch.tolist()):
+                    ids[row, : lengths[i]] = encoded[i].ids
+                    mask[row, : lengths[i]] = 1
+                feeds = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+                hidden = session.run(None, {k: v for k, v in feeds.items() if k in wanted})[0]
+                out[at + batch] = pooled(hidden, mask, self.spec.pooling)
+                self.run += ids.size
+                self.padded += ids.size - int(lengths[batch].sum())
+        return normalized(out)
+
+
+#: Texts that are cut into tokens together, among which batches of like length are formed.
+ENCODED_TEXTS = 2048
+
+
+def token_batches(lengths: np.ndarray, budget: int, most: int) -> list[np.ndarray]:
+    """Places of texts in batches, by length: at most ``most`` texts, whose tokens with padding are ``budget`` at most; a longer text is a batch of its own."""
+    order = np.argsort(lengths, kind="stable")
+    out, first = [], 0
+    for i in range(1, len(order) + 1):
+        full = i < len(order) and (i - first >= most or (i - first + 1) * int(lengths[order[i]]) > budget)
+        if full or i == len(order):
+            out.append(order[first:i])
+            first = i
+    return out
 
 
 def pooled(hidden: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:

@@ -74,6 +74,24 @@ def test_local_model(spark, directory, batch):
         assert np.allclose([r["embedding"] for r in sorted(rows)], unit(expected), atol=1e-6)
 
 
+def test_batches_hold_texts_of_like_length(directory):
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(0, 60, 500)
+    batches = embedders.token_batches(lengths, 256, 16)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(500))
+    assert all(len(b) <= 16 and (len(b) == 1 or len(b) * lengths[b].max() <= 256) for b in batches)
+    assert embedders.token_batches(np.array([900, 3]), 256, 16)[-1].tolist() == [0] and embedders.token_batches(np.zeros(0, np.int64), 256, 16) == []
+    texts = [" ".join(rng.choice(list(VOCABULARY)[2:], n)) for n in lengths + 1]
+    plain = embedders.OnnxEmbedder(directory, embedders.ModelSpec("tiny", "tiny", 3))
+    plain.batch_size, plain.token_budget = 1, 1
+    model = embedders.OnnxEmbedder(directory, embedders.ModelSpec("tiny", "tiny", 3))
+    assert np.allclose(model.embed(texts), plain.embed(texts), atol=1e-6)
+    # in the order in which they come, batches of as many texts would be padding by half
+    came = [lengths[i : i + 32] + 1 for i in range(0, 500, 32)]
+    before = sum(len(b) * b.max() - b.sum() for b in came) / sum(len(b) * b.max() for b in came)
+    assert plain.padded == 0 and model.padded / model.run < before / 2
+
+
 def test_auto_falls_back_from_a_missing_model_to_the_service(directory, tmp_path, caplog):
     assert isinstance(embedders.build("minilm", directory=directory, url="http://x"), embedders.OnnxEmbedder)
     assert not caplog.records
