@@ -18,7 +18,7 @@ COLUMNS = list(corpus_pipeline.COLUMNS)
 def test_stages_are_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
