@@ -87,10 +87,18 @@ def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def filter_rows(docs: DataFrame, keep, column: str = "text", limit: int = 2_000_000) -> DataFrame:
     """The rows, with all their columns, for which ``keep`` (of an Arrow text column) is true.
 
-    ``keep`` sees about ``limit`` bytes at a time, and columns pass through as they are.
+    ``keep`` sees about ``limit`` bytes at a time, and columns pass through as they are. Null texts reach ``keep`` as nulls, repeated rows are judged each, and an empty
+    table stays empty.
     """
     names = docs.columns
     place = names.index(column)

@@ -363,7 +363,10 @@ class Classes(NamedTuple):
 
 
 def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
-    """Sets, nodes and components of ``docs`` (columns doc_id and text). ``percent``: more than 50, as sets of one and two shingles are not compared."""
+    """Sets, nodes and components of ``docs`` (columns doc_id and text). ``percent``: more than 50, as sets of one and two shingles are not compared.
+
+    Null and empty texts are no nodes, repeated rows are one, and an empty table gives empty tables.
+    """
     if not 50 < percent <= 100:
         raise ValueError(f"the similarity must be over 50 % and at most 100 %, not {percent} %")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -406,12 +409,13 @@ def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     chosen = nodes.join(found, "node", "left").groupBy(component.alias("c")).agg(F.min(F.struct("doc_key", "text_key")).alias("one"))
     again = signed.where("n > 0").groupBy(_doc_key(), "text_key").count().where("count > 1").select("doc_key", "text_key", F.lit(True).alias("again"))
     kept = common.materialize(chosen.select("one.doc_key", "one.text_key").join(again, ["doc_key", "text_key"], "left"), "kept")
-    kept = kept.select(F.col("doc_key").alias("__doc"), F.col("text_key").alias("__text"), F.col("again").alias("__again"))
+    key, text_key, twice = (common.free_name(docs, name) for name in ("doc_key", "text_key", "again"))
+    kept = kept.select(F.col("doc_key").alias(key), F.col("text_key").alias(text_key), F.col("again").alias(twice))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    marked = docs.join(_sized(kept), (doc == F.col("__doc")) & (F.xxhash64(text) == F.col("__text")))
-    once = marked.where("__again IS NULL").drop("__doc", "__text", "__again")
-    repeated = marked.where("__again").dropDuplicates(["__doc", "__text"]).drop("__doc", "__text", "__again")
+    marked = docs.join(_sized(kept), (doc == F.col(key)) & (F.xxhash64(text) == F.col(text_key)))
+    once = marked.where(F.col(twice).isNull()).drop(key, text_key, twice)
+    repeated = marked.where(F.col(twice)).dropDuplicates([key, text_key]).drop(key, text_key, twice)
     wordless = docs.where(F.translate(text, " \t\n\v\f\r", "") == "")
     return once.union(repeated).union(wordless)
 

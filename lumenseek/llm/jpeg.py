@@ -408,7 +408,7 @@ def difference_hash(*images: np.ndarray) -> str:
 
 
 def add_media(docs: DataFrame) -> DataFrame:
-    """doc_id and media: each text (null: empty) as UTF-8, stored losslessly in baseline JPEG images. Other columns are ignored."""
+    """doc_id and media: each text (null: empty) as UTF-8, stored losslessly in baseline JPEG images. Other columns are ignored; repeated rows are answered each, and an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

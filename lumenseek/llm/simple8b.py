@@ -243,7 +243,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of the documents asked for, a row for each time that they were written. Only the blocks that hold them are decoded."""
+    """doc_id and ids of the documents asked for, a row for each time that they were written. Only the blocks that hold them are decoded.
+
+    Documents of null or empty texts have the end id alone; ids that were not written, and files without segments, give no rows.
+    """
     wanted = frozenset(doc_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

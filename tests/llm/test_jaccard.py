@@ -180,3 +180,10 @@ def test_marks_know_shared_shingles(spark):
     shared = set.intersection(*(set(s.tolist()) for s in sets[:20]))
     assert len(shared) == 1 and marks.levels(np.array(sorted(shared), np.uint64)).tolist() == [2]
     assert not marks.levels(sets[-1]).any()
+
+
+def test_clashing_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x", 1, 2, 3), (2, "a b c d e f", "y", 1, 2, 3), (2, "a b c d e f", "y", 1, 2, 3), (3, "", "z", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, doc_key string, text_key int, _text_key int, again int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
