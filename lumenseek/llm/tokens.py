@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cached pieces per Python worker, and the longest piece that is kept.
 CACHE_PIECES = 1_000_000
@@ -79,14 +81,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every text, in order, without special tokens; the empty text has none."""
-        pieces: list[str] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            cut = self.cut(text)
-            per_text[i] = len(cut)
-            pieces += cut
-        slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
-        del pieces
+        slots, per_text = self._slots_of(texts)
         new, self.slots.new = self.slots.new, []
         self._store(new)
         self.calls[slots] += 1
@@ -99,6 +94,33 @@ class Encoder:
             self._shrink()
         return ids, np.diff(bounds)
 
+    def _slots_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of all pieces in a row, and how many each text has. Texts that are cut at every blank and line feed are cut together, and only their distinct pieces are looked up."""
+        even = np.fromiter(map(_cut_at_blanks, texts), bool, len(texts)) if self.cut is _cut_byte_level else np.zeros(len(texts), bool)
+        pieces: list[str] = []
+        per_text = np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(~even).tolist():
+            cut = self.cut(texts[i])
+            per_text[i] = len(cut)
+            pieces += cut
+        odd = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        del pieces
+        if not even.any():
+            return odd, per_text
+        column = pa.array([text for text, e in zip(texts, even.tolist()) if e], pa.large_string())
+        column = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(column, "\0")
+        found = lists.flatten().dictionary_encode()
+        distinct = np.fromiter(map(self.slots.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        slots = distinct[found.indices.to_numpy()]
+        per_text[even] = np.diff(lists.offsets.to_numpy())
+        if even.all():
+            return slots, per_text
+        out = np.zeros(len(slots) + len(odd), np.int64)
+        of_even = np.repeat(even, per_text)
+        out[of_even], out[~of_even] = slots, odd
+        return out, per_text
+
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces in a row, and where each piece's end."""
         counts = self.counts[slots]
@@ -208,13 +230,26 @@ _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
 _WITH_RUNS = re.compile(r" ?[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+(?![^ \t\n\r\v\f])|[ \t\n\r\v\f]")
 
 
+def _has_other_spaces(text: str) -> bool:
+    return any(c in text for c in (_OTHER_SPACES[:5] if text.isascii() else _OTHER_SPACES))
+
+
+def _has_runs(text: str) -> bool:
+    return text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS)
+
+
+def _cut_at_blanks(text: str) -> bool:
+    """Whether a byte-level tokenizer's text is cut at all its blanks and line feeds, of which no two follow each other, and nowhere else."""
+    return bool(text) and not _has_other_spaces(text) and not _has_runs(text)
+
+
 def _cut_byte_level(text: str) -> list[str]:
     # a blank belongs to the word after it; a line feed between two words is a piece of its own
     if not text:
         return []
-    if any(c in text for c in (_OTHER_SPACES[:5] if text.isascii() else _OTHER_SPACES)):
+    if _has_other_spaces(text):
         return [text]
-    if text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS):
+    if _has_runs(text):
         return _WITH_RUNS.findall(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
