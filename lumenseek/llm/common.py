@@ -43,12 +43,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage. Row groups are small, as a task holds one in memory."""
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage. Row groups are small, as a task holds one in memory.
+
+    ``files``: as many tasks and files at most, for tables that are small beside the number of partitions; each file costs several calls of the file system.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     path = scratch_path(spark, tag)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    written = df if files is None else df.coalesce(files)
+    written.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.scratch = path
     return read

@@ -25,37 +25,37 @@ MOST_HUBS = 50_000
 FEW_EDGES = 2_000
 
 
-def _with_least(rows: DataFrame, ends: int) -> DataFrame:
+def _with_least(rows: DataFrame, ends: int, files: int | None) -> DataFrame:
     """u, v and m of the rows (u, v): the least v of all rows with that u. ``ends``: as many rows as there are at most."""
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     if ends <= FEW_EDGES:
         return rows.join(least, "u").select("u", "v", "m")
-    hubs = common.materialize(least.where(F.col("n") > max(HUB_EDGES, ends // MOST_HUBS)).select("u", "m"), "hubs")
+    hubs = common.materialize(least.where(F.col("n") > max(HUB_EDGES, ends // MOST_HUBS)).select("u", "m"), "hubs", files)
     others = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti")
     return rows.join(F.broadcast(hubs), "u").select("u", "v", "m").union(others.join(others.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m"))
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, files: int | None) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return _with_least(both, 2 * n, files).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    told = _with_least(edges, n)
+def _small_star(edges: DataFrame, n: int, files: int | None) -> DataFrame:
+    told = _with_least(edges, n, files)
     return told.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(told.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node and component (the least node reachable) for every node of the edges (columns a and b; any order, repeats and loops allowed).
 
-    Null nodes are ignored; no edges give no rows.
+    Null nodes are ignored; no edges give no rows. ``files``: of each step's table, at most.
     """
-    current = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    current = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", files)
     state = _state(current)
     while state[0]:
-        large = common.materialize(_large_star(current, state[0]), "edges")
+        large = common.materialize(_large_star(current, state[0], files), "edges", files)
         common.discard(current)
-        current = common.materialize(_small_star(large, state[0]), "edges")
+        current = common.materialize(_small_star(large, state[0], files), "edges", files)
         common.discard(large)
         following = _state(current)
         if following == state:

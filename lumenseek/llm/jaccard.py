@@ -44,6 +44,8 @@ BROADCAST_BYTES = 32 << 20
 PAIRS_AT_ONCE = 100
 GROUPS_AT_ONCE = 500
 LEAST_BITS = 64
+#: Nodes of a task and file of the tables of ids, pairs and links, at least, if there are FEW_FILES of them.
+FILE_NODES, FEW_FILES = 20_000, 8
 #: Text that a worker turns into shingles at once.
 SLICE_BYTES = 400_000
 
@@ -199,7 +201,7 @@ def shared_shingles(docs: DataFrame) -> Marks:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["range", "least", "n", "data"])
 
     dealt = docs.select("text").mapInArrow(deal, "range bigint, data binary")
-    counted = common.materialize(dealt.groupBy("range").applyInArrow(count, "range bigint, least int, n bigint, data binary"), "shared")
+    counted = common.materialize(dealt.groupBy("range").applyInArrow(count, "range bigint, least int, n bigint, data binary"), "shared", ranges)
     totals = {r["least"]: r["n"] for r in counted.groupBy("least").agg(F.sum("n").alias("n")).collect()}
     some = next((k for k in sorted(totals) if totals[k] <= MOST_MARKED), MANY)
     maps = []
@@ -262,7 +264,7 @@ def _doc_key() -> F.Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_key")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, files: int | None = None) -> DataFrame:
     """Those of the node pairs (a, b) whose sets are similar, compared on the whole texts.
 
     Bitmaps rule most others out first. Only texts of nodes that occur in a pair that is left are fetched, one for each.
@@ -275,15 +277,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
             yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*x, percent) for x in zip(*columns)], pa.bool_()))
 
     told = pairs.join(next(sides), "a").join(next(sides), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    pairs = common.materialize(told.mapInArrow(plausible, "a binary, b binary"), "pairs")
+    pairs = common.materialize(told.mapInArrow(plausible, "a binary, b binary"), "pairs", files)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_key", "text_key"), "node")
-    asked_ids = common.materialize(asked, "asked")
+    asked_ids = common.materialize(asked, "asked", files)
     keyed = docs.select(_doc_key(), F.xxhash64("text").alias("text_key"), "text")
-    texts = common.materialize(keyed.join(_sized(asked_ids), ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = common.materialize(keyed.join(_sized(asked_ids), ["doc_key", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts", files)
     # the pairs of one b are dealt to parts, and its text meets each part once; a task reads it before the texts that it is compared with
     sizes = pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / PAIRS_AT_ONCE).cast("int").alias("last"))
     parts = sizes.select("b", F.explode(F.sequence(F.lit(0), "last")).alias("part"), (F.col("last") + 1).alias("parts"))
-    parts = common.materialize(parts, "parts")
+    parts = common.materialize(parts, "parts", files)
     many = _sized(parts.where("part = 0 AND parts > 1").select("b", "parts"))
     dealt = pairs.join(many, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
     others = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
@@ -306,7 +308,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int =
         common.release()
 
     rows = others.union(leaders).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
-    links = common.materialize(rows.mapInArrow(run, "a binary, b binary"), "links")
+    links = common.materialize(rows.mapInArrow(run, "a binary, b binary"), "links", files)
     common.discard(pairs, asked_ids, texts, parts)
     return links
 
@@ -320,7 +322,7 @@ def leader_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     return keyed.join(leaders, "key").where((F.col("node") != F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct()
 
 
-def group_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+def group_pairs(signed: DataFrame, percent: int = PERCENT, files: int | None = None) -> DataFrame:
     """Pairs of nodes in different components that share a prefix shingle and pass the filters.
 
     signed: node, n, gid, prefix and comp (a hash of the component). Shingles that only one component has are dropped after a
@@ -330,17 +332,17 @@ def group_pairs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     room = F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")
     tokens = signed.where("n > 1").select("gid", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
     several = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("token", "least")
-    several = common.materialize(several, "shared-shingles")
+    several = common.materialize(several, "shared-shingles", files)
     rows = tokens.join(_sized(several), "token").where(room >= F.col("least"))
     groups = rows.groupBy("token", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    groups = common.materialize(groups, "groups")
+    groups = common.materialize(groups, "groups", files)
     still = groups.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
-    groups = common.materialize(groups.join(still, "token", "left_semi").withColumn("room", room), "open-groups")
+    groups = common.materialize(groups.join(still, "token", "left_semi").withColumn("room", room), "open-groups", files)
     # sizes in the ratio of the similarity lie in the same band or in neighbouring ones, so groups of a shingle meet band by band; the large meets of a hot one are dealt to parts
     edges = F.array(*(F.lit(e) for e in size_bands(percent)))
     groups = groups.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("n"))))
     crowds = groups.groupBy("token", "band").agg(F.count("*").alias("size")).where(F.col("size") > GROUPS_AT_ONCE)
-    crowds = _sized(common.materialize(crowds.select("token", "band", F.ceil(F.col("size") / GROUPS_AT_ONCE).cast("int").alias("parts")), "crowds"))
+    crowds = _sized(common.materialize(crowds.select("token", "band", F.ceil(F.col("size") / GROUPS_AT_ONCE).cast("int").alias("parts")), "crowds", files))
     columns = ("gid", "n", "room", "lo", "hi")
     small = groups.select("token", *(F.col(c).alias(f"{c}_a") for c in columns), F.explode(F.array("band", F.col("band") + 1)).alias("band")).join(crowds, ["token", "band"], "left")
     small = small.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
@@ -360,6 +362,7 @@ class Classes(NamedTuple):
     signed: DataFrame  # the rows of ``signatures``
     nodes: DataFrame  # node, least (doc_id), copies, and the doc_key and text_key of one of its documents
     found: DataFrame  # node, component of every node with a link
+    files: int  # of tables with a row for each node
 
 
 def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
@@ -373,14 +376,15 @@ def classes(docs: DataFrame, *, percent: int = PERCENT) -> Classes:
     marks = shared_shingles(rows)
     signed = common.materialize(signatures(rows, marks, percent), "signatures")
     linked = signed.where("n > 0")
+    files = max(FEW_FILES, linked.count() // FILE_NODES)
     # copies cost nothing more: one document stands for each node
     nodes = linked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(_doc_key(), "text_key", "n", "bits")).alias("one"))
-    nodes = common.materialize(nodes.select("node", "least", "copies", "one.doc_key", "one.text_key", "one.n", "one.bits"), "nodes")
-    known = components(verified(leader_pairs(linked, percent), nodes, rows, percent))
+    nodes = common.materialize(nodes.select("node", "least", "copies", "one.doc_key", "one.text_key", "one.n", "one.bits"), "nodes", files)
+    known = components(verified(leader_pairs(linked, percent), nodes, rows, percent, files), files)
     labelled = linked.select("node", "n", "gid", "prefix").join(_sized(known), "node", "left")
     labelled = labelled.withColumn("comp", F.xxhash64(F.coalesce("component", "node")))
-    more = verified(group_pairs(labelled, percent), nodes, rows, percent)
-    return Classes(signed, nodes, components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    more = verified(group_pairs(labelled, percent, files), nodes, rows, percent, files)
+    return Classes(signed, nodes, components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), files), files)
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -390,12 +394,12 @@ def join(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     component is their own doc_id. Repeated rows are answered each and are equal sets. A null doc_id has the least doc_id of its
     component, null if there is none. An empty table gives no rows.
     """
-    signed, nodes, found = classes(docs, percent=percent)
+    signed, nodes, found, files = classes(docs, percent=percent)
     named = nodes.join(found, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     families = named.join(least, "component").select("node", "component_id")
     alone = nodes.where("copies > 1").join(found, "node", "left_anti").select("node", F.col("least").alias("component_id"))
-    names = common.materialize(families.union(alone), "names")
+    names = common.materialize(families.union(alone), "names", files)
     return signed.select("doc_id", "n", "node").join(_sized(names), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -404,11 +408,11 @@ def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
 
     Of rows that repeat its doc_id and text one stays; a null doc_id counts as the smallest. Texts without words are in no component and all stay.
     """
-    signed, nodes, found = classes(docs, percent=percent)
+    signed, nodes, found, files = classes(docs, percent=percent)
     component = F.coalesce("component", "node")
     chosen = nodes.join(found, "node", "left").groupBy(component.alias("c")).agg(F.min(F.struct("doc_key", "text_key")).alias("one"))
     again = signed.where("n > 0").groupBy(_doc_key(), "text_key").count().where("count > 1").select("doc_key", "text_key", F.lit(True).alias("again"))
-    kept = common.materialize(chosen.select("one.doc_key", "one.text_key").join(again, ["doc_key", "text_key"], "left"), "kept")
+    kept = common.materialize(chosen.select("one.doc_key", "one.text_key").join(again, ["doc_key", "text_key"], "left"), "kept", files)
     key, text_key, twice = (common.free_name(docs, name) for name in ("doc_key", "text_key", "again"))
     kept = kept.select(F.col("doc_key").alias(key), F.col("text_key").alias(text_key), F.col("again").alias(twice))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
