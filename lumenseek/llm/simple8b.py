@@ -40,6 +40,8 @@ MOST_PARTS = 100_000
 FILE_SEGMENTS = 48
 #: Characters of a text that tell ranges of one doc_id apart.
 KEY_CHARS = 64
+#: Text that is encoded at once: the more, the fewer words are looked up again.
+SLICE_BYTES = 4_000_000
 
 
 #: Bit lengths of 16-bit values, which most ids are.
@@ -204,7 +206,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = tokens.DO
 
         held, n, before = [], 0, 0
         for batch in batches:
-            for piece in common.slices(batch, "text", 1_000_000):
+            for piece in common.slices(batch, "text", SLICE_BYTES):
                 ids, counts = tokens.with_end(*encoder.ids(common.texts_of(piece.column("text"))), end_id)
                 held.append((piece.column("doc_id").to_pylist(), ids, counts))
                 n += len(ids)
