@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,16 +127,16 @@ def search(vector_rows: DataFrame, files: DataFrame, query: Sequence[float], k:
     return fan_out(winners, files, prefix)
 
 
-#: Bytes of vectors that a task holds to meet all queries, of queries that it keeps instead of reading them again, and of the scores that it makes at once.
-CHUNK_BYTES, KEPT_QUERY_BYTES, SCORE_BYTES = 32 << 20, 64 << 20, 32 << 20
+#: Bytes of vectors that a task holds to meet all queries, of queries as well as of their best scores that it keeps instead of making them again, and of the scores that it makes at once.
+CHUNK_BYTES, KEPT_QUERY_BYTES, SCORE_BYTES = 32 << 20, 64 << 20, 8 << 20
 
 
 def search_many(vector_rows: DataFrame, queries: DataFrame, k: int, *, block: int = 1024) -> DataFrame:
     """The k best windows of every query (qid, qvec): qid, rank and the columns of a scored row.
 
     The queries are written in blocks to the shared folder. One scan reads the vectors; a task holds a chunk of them and multiplies it with one block of
-    queries after the other. It hands on what is among the chunk's k best for a query and no worse than the k best that it has seen for it before. Those few rows
-    are merged for each query. Neither side is held whole anywhere. Null queries are left out; without queries or vectors there are no rows.
+    queries after the other. It hands on what is among the chunk's k best for a query, ties included, and no worse than the k best that it has seen for it before, if
+    it kept those. Those few rows are merged for each query. Neither side is held whole anywhere. Null queries are left out; without queries or vectors there are no rows.
     """
     spark = vector_rows.sparkSession
     folder = shared.scratch(spark, "queries")
@@ -149,8 +150,10 @@ def search_many(vector_rows: DataFrame, queries: DataFrame, k: int, *, block: in
             held.append(batch)
             size += batch.nbytes
             if size >= CHUNK_BYTES:
-                yield from blocks.best(pa.Table.from_batches(held).combine_chunks(), k)
+                chunk = pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                yield from blocks.best(chunk, k)
+                del chunk
         if held:
             yield from blocks.best(pa.Table.from_batches(held).combine_chunks(), k)
 
@@ -160,15 +163,14 @@ def search_many(vector_rows: DataFrame, queries: DataFrame, k: int, *, block: in
 
 
 class _QueryBlocks:
-    """The blocks of queries in a folder, for one task: read one by one for each chunk of vectors, or kept if they are few, with the k best scores of each so far."""
+    """The blocks of queries in a folder, for one task: read one by one for each chunk of vectors, or kept as far as they are few, as are the k best scores of each so far."""
 
     def __init__(self, folder: str) -> None:
         self.files, self.plain = shared.filesystem(folder)
-        found = self.files.get_file_info(fs.FileSelector(self.plain))
-        self.names = sorted(f.path for f in found if f.base_name.endswith(".parquet"))
-        self.few = sum(f.size for f in found if f.size) <= KEPT_QUERY_BYTES
+        self.names = sorted(f.path for f in self.files.get_file_info(fs.FileSelector(self.plain)) if f.base_name.endswith(".parquet"))
         self.read: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.seen: dict[str, np.ndarray] = {}
+        self.read_bytes = self.seen_bytes = 0  # as they are held; a file may be much smaller
 
     def block(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         if name in self.read:
@@ -177,8 +179,10 @@ class _QueryBlocks:
         ids = table.column("qid").to_numpy()
         flat = table.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         told = ids, flat.reshape(len(ids), len(flat) // max(1, len(ids))).astype(np.float64)
-        if self.few:
+        size = ids.nbytes + told[1].nbytes
+        if self.read_bytes + size <= KEPT_QUERY_BYTES:
             self.read[name] = told
+            self.read_bytes += size
         return told
 
     def best(self, chunk: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
@@ -186,33 +190,43 @@ class _QueryBlocks:
             return
         rows = chunk.select(_ROW)
         column = chunk.column("embedding").combine_chunks()
+        # the place of each row among ties
+        tie = np.empty(chunk.num_rows, np.int64)
+        tie[pc.sort_indices(rows, [("blob_sha", "ascending"), ("chunk_idx", "ascending")]).to_numpy()] = np.arange(chunk.num_rows)
+        matrix = None
         for name in self.names:
             ids, queries = self.block(name)
             if not len(ids):
                 continue
-            matrix = _matrix(column, queries.shape[1]).T
+            if name not in self.seen and self.seen_bytes + 8 * k * len(ids) <= KEPT_QUERY_BYTES:
+                self.seen[name] = np.full((len(ids), k), -np.inf)
+                self.seen_bytes += self.seen[name].nbytes
+            if matrix is None or len(matrix) != queries.shape[1]:
+                matrix = _matrix(column, queries.shape[1]).T
             some = max(1, SCORE_BYTES // (8 * chunk.num_rows))
             for at in range(0, len(ids), some):
                 score = queries[at : at + some] @ matrix
                 score[~np.isfinite(score)] = -np.inf
                 which, place = np.nonzero((score >= self._bar(name, at, score, k)[:, None]) & (score > -np.inf))
+                if not len(which):
+                    continue
+                # numbers only until k are left of each query: with many copies, all of a chunk may tie
+                order = np.lexsort((tie[place], -score[which, place], which))
+                which, place = which[order], place[order]
+                firsts = np.flatnonzero(np.diff(which, prepend=-1))
+                kept = np.arange(len(which)) - np.repeat(firsts, np.diff(np.append(firsts, len(which)))) < k
+                which, place = which[kept], place[kept]
                 found = pa.table([pa.array(ids[at + which], pa.int64()), *rows.take(pa.array(place)).columns, pa.array(score[which, place])], names=["qid", *_ROW, "score"])
-                found = found.sort_by([("qid", "ascending"), ("score", "descending"), ("blob_sha", "ascending"), ("chunk_idx", "ascending")])
-                qids = found.column("qid").to_numpy()
-                firsts = np.flatnonzero(np.diff(qids, prepend=qids[:1] - 1)) if len(qids) else np.zeros(0, np.int64)
-                rank = np.arange(len(qids)) - np.repeat(firsts, np.diff(np.append(firsts, len(qids))))
-                yield from found.filter(pa.array(rank < k)).combine_chunks().to_batches()
+                yield from found.combine_chunks().to_batches()
 
     def _bar(self, name: str, at: int, score: np.ndarray, k: int) -> np.ndarray:
         """The k-th best score of each query so far, this chunk included; what is below it can be no winner."""
         top = np.partition(score, score.shape[1] - k, 1)[:, -k:] if score.shape[1] > k else score
-        before = self.seen.get(f"{name} {at}")
-        if before is not None:
-            top = np.concatenate((top, before), axis=1)
-        if top.shape[1] > k:
-            top = np.partition(top, top.shape[1] - k, 1)[:, -k:]
-        if self.few:
-            self.seen[f"{name} {at}"] = top
+        if name in self.seen:
+            # chunks differ in size, and so do the stretches of a block; what is kept is copied, as a slice would hold all scores
+            seen = self.seen[name][at : at + len(score)]
+            top = np.concatenate((top, seen), axis=1)
+            seen[:] = top = np.partition(top, top.shape[1] - k, 1)[:, -k:]
         return top.min(1) if top.shape[1] >= k else np.full(len(score), -np.inf)
 
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenseek.operators import search
@@ -99,6 +100,63 @@ def test_many_queries_in_one_scan(spark, monkeypatch):
     assert search.search_many(df, asked.limit(0), 6).count() == 0 and search.search_many(df.limit(0), asked, 6).count() == 0 and search.search_many(df, asked, 0).count() == 0
 
 
+def _blocks(spark, tmp_path, queries):
+    spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "qid bigint, qvec array<float>").coalesce(1).write.parquet(str(tmp_path / "queries"))
+    return search._QueryBlocks(str(tmp_path / "queries"))
+
+
+def _chunk(embeddings, first=0):
+    n = len(embeddings)
+    ids = [f"{first + n - i:040x}" for i in range(n)]
+    ones = pa.array([1] * n, pa.int32())
+    return pa.table([pa.array(ids), ones, ones, ones, pa.array([list(map(float, v)) for v in embeddings], pa.list_(pa.float32()))], names=["blob_sha", "chunk_idx", "start_line", "end_line", "embedding"])
+
+
+def test_what_is_kept_of_a_chunk_is_the_best_scores_only(spark, tmp_path, monkeypatch):
+    """All scores of a chunk, as numbers of 8 bytes, are 40 times what may stay: k = 5 of 200 for each query."""
+    monkeypatch.setattr(search, "SCORE_BYTES", 8 * 200 * 7)
+    rng = np.random.default_rng(3)
+    blocks = _blocks(spark, tmp_path, rng.normal(size=(60, 4)).tolist())
+    for _ in blocks.best(_chunk(rng.normal(size=(200, 4))), 5):
+        pass
+    held = sum((x if x.base is None else x.base).nbytes for x in blocks.seen.values())
+    assert 0 < held <= 8 * 60 * 5
+
+
+def test_chunks_of_other_sizes_go_on_with_the_best_so_far(spark, tmp_path, monkeypatch):
+    """The last chunk is smaller, so more queries meet it at once."""
+    monkeypatch.setattr(search, "SCORE_BYTES", 8 * 200 * 7)
+    rng = np.random.default_rng(4)
+    queries, parts = rng.integers(-3, 4, (60, 4)), [rng.integers(-3, 4, (n, 4)) for n in (200, 90, 3, 200)]
+    blocks, found, rows = _blocks(spark, tmp_path, queries.astype(float).tolist()), {}, []
+    for first, part in zip((0, 1000, 2000, 3000), parts):
+        chunk = _chunk(part, first)
+        rows += zip(chunk.column("blob_sha").to_pylist(), part)
+        for batch in blocks.best(chunk, 5):
+            for r in batch.to_pylist():
+                found.setdefault(r["qid"], []).append((-r["score"], r["blob_sha"]))
+    for i, q in enumerate(queries):
+        assert sorted(found[i])[:5] == sorted((-float(v @ q), sha) for sha, v in rows)[:5]
+
+
+def test_ties_stay_numbers_until_k_are_left(spark, tmp_path, monkeypatch):
+    """Of a chunk of copies, which tie all, no more than k rows of a query are ever made, and those are the first by id."""
+    blocks, chunk, made, table = _blocks(spark, tmp_path, [[1.0, 2.0]] * 10), _chunk([[0.5, 0.5]] * 300), [], pa.table
+    monkeypatch.setattr(search.pa, "table", lambda *a, **b: made.append(table(*a, **b)) or made[-1])
+    found = [r for batch in blocks.best(chunk, 4) for r in batch.to_pylist()]
+    assert sum(t.num_rows for t in made) == len(found) == 40
+    assert {r["blob_sha"] for r in found} == {f"{i:040x}" for i in range(1, 5)}
+
+
+def test_queries_are_kept_by_what_they_take_in_memory(spark, tmp_path, monkeypatch):
+    """Equal vectors take little in a file."""
+    monkeypatch.setattr(search, "KEPT_QUERY_BYTES", 100_000)
+    blocks = _blocks(spark, tmp_path, [[1.0] * 64] * 1000)
+    assert blocks.files.get_file_info(blocks.names[0]).size < 100_000
+    assert sum(len(list(blocks.best(_chunk([[1.0] * 64] * 3), 2))) for _ in range(2)) >= 2
+    assert not blocks.read and blocks.seen_bytes == 1000 * 2 * 8
+
+
 def test_shown_files_are_chosen_before_they_are_split(spark):
     files = spark.createDataFrame([(f"f{i}.txt", f"a\nb{i}\nc".encode()) for i in range(20)] + [("none.txt", None)], "path string, content binary")
     hits = spark.createDataFrame([("f3.txt", 2, 3, 0.5, "x", 0), ("gone.txt", 1, 1, 0.4, "y", 0), ("f4.txt", 2, 9, 0.3, "z", 0)], "path string, start_line int, end_line int, score double, blob_sha string, chunk_idx int")
