@@ -19,6 +19,7 @@ from urllib import request
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -116,7 +117,7 @@ class _Heads(dict):
 
 
 #: Words that this process knows, forgotten when they are many.
-_HEADS, _KEPT_HEADS = _Heads(), 500_000
+_HEADS, _KEPT_HEADS = _Heads(), 200_000
 _ASCII_WORD = re.compile("[a-z0-9]+")
 
 
@@ -299,6 +300,18 @@ def build(name: str, backend: str = "auto", **options) -> Embedder:
     raise ValueError(f"model {name} needs a local model directory or the http backend")
 
 
+#: Bytes of texts, and of vectors as numbers of 8 bytes, that an embedder gets at once. Its words or tokens take many times as much.
+SLICE_BYTES = 2 << 20
+
+
+def _slices(batch: pa.RecordBatch, text: str, dim: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about ``SLICE_BYTES``; one text is never split."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8 * dim
+    firsts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE_BYTES, prepend=-1))
+    for first, end in zip(firsts.tolist(), np.append(firsts[1:], batch.num_rows).tolist()):
+        yield batch.slice(first, end - first)
+
+
 def embed_column(df: DataFrame, embedder: Embedder, text: str = "text", into: str = "embedding") -> DataFrame:
     """``df`` with a vector for each row's text (null: empty).
 
@@ -311,13 +324,14 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "text", into: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            matrix = np.asarray(embedder.embed(texts), np.float32) if texts else np.zeros((0, embedder.dim), np.float32)
-            if matrix.shape != (len(texts), embedder.dim):
-                raise ValueError(f"expected {len(texts)} vectors of {embedder.dim}, got {matrix.shape}")
-            offsets = np.arange(0, matrix.size + 1, embedder.dim, dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel())).cast(arrow_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, into])
+            for part in _slices(batch, text, embedder.dim):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                matrix = np.asarray(embedder.embed(texts), np.float32)
+                if matrix.shape != (len(texts), embedder.dim):
+                    raise ValueError(f"expected {len(texts)} vectors of {embedder.dim}, got {matrix.shape}")
+                offsets = np.arange(0, matrix.size + 1, embedder.dim, dtype=np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel())).cast(arrow_type)
+                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, into])
 
     ordered = df.select(*kept)
     if getattr(embedder, "by_length", True):

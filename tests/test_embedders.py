@@ -63,6 +63,21 @@ def test_embed_column_checks_shape(spark):
         E.embed_column(df, wrong).collect()
 
 
+def test_embedders_get_few_bytes_at_once(spark):
+    """Arrow batches hold up to 10,000 rows, however long their texts are; a text is never split, and empty ones are rows too."""
+
+    class Sparing(E.ConstantEmbedder):
+        def embed(self, texts):
+            if len(texts) > 1 and sum(map(len, texts)) > 8 << 20:
+                raise RuntimeError(f"{sum(map(len, texts))} bytes at once")
+            return super().embed(texts)
+
+    df = spark.range(0, 1500, 1, 1).select("id", F.when(F.col("id") % 100 == 7, None).when(F.col("id") == 3, F.repeat(F.lit("x"), 5 << 20)).otherwise(F.repeat(F.lit("word "), 4000)).alias("text"))
+    found = E.embed_column(df, Sparing()).select("id", F.octet_length("text").alias("n"), "embedding").collect()
+    assert sorted(r["id"] for r in found) == list(range(1500)) and {tuple(r["embedding"]) for r in found} == {(1.0, 0.0)}
+    assert {r["n"] for r in found if r["id"] % 100 != 7} == {20_000, 5 << 20}
+
+
 def test_onnx_is_lazy_and_picklable(tmp_path):
     model = E.OnnxEmbedder(str(tmp_path), E.MODELS["minilm"])
     assert pickle.loads(pickle.dumps(model))._session is None and model.dim == 384
